@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import chat, decontam, langid, linedup, spencode, tokencount, tokenids
+from gridspark.llm import chat, dartminhash, decontam, langid, linedup, spencode, tokencount, tokenids
 from gridspark.llm import quality as quality_rules
 
 QUERIES = {}
@@ -80,3 +80,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.stored_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
