@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import chat, dartminhash, decontam, langid, linedup, spencode, tokencount, tokenids
+from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, spencode, tokencount, tokenids
 from gridspark.llm import quality as quality_rules
 
 QUERIES = {}
@@ -85,3 +85,8 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
