@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import decontam
+from gridspark.llm import dartminhash, decontam, linedup, spencode
 from gridspark.llm import quality as quality_rules
 from gridspark.llm._shared import saved
+from gridspark.llm.queries import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,14 +15,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return quality_rules.filter_quality(docs, _table(spark, sf_dir, "labels"))
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines are cut out of the texts."""
+    return linedup.dedupe_lines(docs)
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return dartminhash.first_of_class(docs)
+
+
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts."""
     return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", keep_quality), ("benchmark_decontamination", cut_benchmark)]
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and digests of its ids and of the text decoded from them."""
+    return spencode.digest_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality_rules", keep_quality), ("line_dedup", drop_lines), ("minhash_dedup", keep_first), ("benchmark_decontamination", cut_benchmark), ("sentencepiece", encode_texts)]
 
 #: The stages train a model and run a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
