@@ -1 +1 @@
-"""Spreadsheet-shaped analytics on Spark DataFrames."""
+"""Deterministic analytics over spreadsheet-shaped data as Spark DataFrame plans."""
