@@ -148,3 +148,24 @@ def coordinate(row: Column, col: Column) -> Column:
     one, two = letter(n), F.concat(letter(F.floor((n - 26) / 26)), letter((n - 26) % 26))
     three = F.concat(letter(F.floor((n - 702) / 676)), letter(F.floor((n - 702) / 26) % 26), letter((n - 702) % 26))
     return F.concat(F.when(n < 26, one).when(n < 702, two).otherwise(three), row.cast("string"))
+
+
+def translated(formula: str, rows: int, cols: int) -> str | None:
+    """The formula as it reads when it is copied so many rows down and columns right; None if it is opaque."""
+    out, at = ["="], 1
+    while at < len(formula):
+        found = _LEXICON.match(formula, at)
+        if not found:
+            return None
+        piece, at = found[0], found.end()
+        if found.lastgroup == "ref":
+            cut = piece.rfind("!") + 1
+            ends = []
+            for end in piece[cut:].split(":"):
+                row, col, row_fixed, col_fixed = _point(end)
+                letters = "" if col is None else ("$" if col_fixed else "") + column_letters(col if col_fixed else col + cols)
+                digits = "" if row is None else ("$" if row_fixed else "") + str(row if row_fixed else row + rows)
+                ends.append(letters + digits)
+            piece = piece[:cut] + ":".join(ends)
+        out.append(piece)
+    return "".join(out)

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.formula import parsed
@@ -164,13 +164,13 @@ def impact(edge_rows: DataFrame, roots: DataFrame, outputs: DataFrame) -> DataFr
     """For each address in ``roots``: direct and transitive dependents, the sheets they are on, how many look like outputs, and if it is in a cycle."""
     flagged = edge_rows.join(outputs.select("wb", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("output")), ["wb", *_TO], "left")
 
-    def walk(key, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(graph):
             nodes, a, b = _index(graph, _FROM, _TO)
             after, place = _Next(a, b, len(nodes)), {node: i for i, node in enumerate(nodes)}
             is_output = np.zeros(len(nodes), bool)
-            is_output[b[graph["output"].fillna(False).to_numpy(bool)]] = True
+            is_output[b[graph["output"].eq(True).to_numpy()]] = True
             sheet = np.array([node[0] for node in nodes], object)
         for r in asked.drop_duplicates().itertuples(index=False):
             at = place.get((r.sheet, r.row, r.col)) if len(graph) else None
@@ -181,7 +181,9 @@ def impact(edge_rows: DataFrame, roots: DataFrame, outputs: DataFrame) -> DataFr
                 rows.append((key[0], r.sheet, r.row, r.col, int(after.at[at + 1] - after.at[at]), int(seen.sum()), sorted(set(sheet[seen])), int((seen & is_output).sum()), bool(seen[at])))
         return pd.DataFrame(rows, columns=["wb", "sheet", "row", "col", "direct", "transitive", "sheets", "outputs", "circular"])
 
-    return flagged.groupBy("wb").cogroup(roots.select(*ADDRESS).groupBy("wb")).applyInPandas(walk, IMPACT)
+    # Both sides may stem from the same cells; new aliases keep their columns apart.
+    left, right = flagged.select(*[F.col(c).alias(c) for c in flagged.columns]), roots.select(*[F.col(c).alias(c) for c in ADDRESS])
+    return left.groupBy("wb").cogroup(right.groupBy("wb")).applyInPandas(walk, IMPACT)
 
 
 def _components(after: _Next, before: _Next, n: int) -> np.ndarray:
@@ -226,7 +228,7 @@ def _components(after: _Next, before: _Next, n: int) -> np.ndarray:
 def cycles(edge_rows: DataFrame) -> DataFrame:
     """Cells in cycles of two or more: ``wb``, ``cycle`` (a number), ``sheet``, ``row``, ``col``."""
 
-    def walk(key, graph: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, graph: pd.DataFrame) -> pd.DataFrame:
         nodes, a, b = _index(graph, _FROM, _TO)
         found = _components(_Next(a, b, len(nodes)), _Next(b, a, len(nodes)), len(nodes))
         sizes = np.bincount(found, minlength=len(nodes))
@@ -236,8 +238,3 @@ def cycles(edge_rows: DataFrame) -> DataFrame:
 
     return edge_rows.groupBy("wb").applyInPandas(walk, "wb string, cycle int, sheet string, row int, col int")
 
-
-def layers(edge_rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """For each formula, how many of its precedents are populated, and the first and last of them by position."""
-    order = Window.partitionBy("wb", *_TO).orderBy("sheet", "row", "col")
-    return edge_rows.withColumn("nth", F.row_number().over(order)).groupBy("wb", *_TO).agg(F.max("nth").alias("precedents"))
