@@ -51,10 +51,10 @@ def encoding(ranks_path: str, pattern: str):
 
 
 def write_flat(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Writes ``docs`` as flat files in ascending order of id, and returns which document is which: ``file_no``, ``nth``, ``doc_id``.
+    """Writes ``docs`` as a flat file for each partition, in the order of their rows, and returns which document is which: ``file_no``, ``nth``, ``doc_id``.
 
-    A null text is empty; rows with equal ids follow each other, by text.  A file appears under its name when it is whole, so a
-    task that runs again after its executor was lost writes the same file once more.
+    A null text is empty.  Nothing is shuffled.  A file appears under its name when it is whole, so a task that runs again after its
+    executor was lost writes the same file once more.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -79,8 +79,7 @@ def write_flat(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *, i
         else:
             system.delete_file(own)
 
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
-    return saved(dealt.mapInArrow(run, f"file_no int, nth long, doc_id {kind}"), "flat-names")
+    return saved(rows.mapInArrow(run, f"file_no int, nth long, doc_id {kind}"), "flat-names")
 
 
 def flat_blocks(spark: SparkSession, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,11 +143,11 @@ def count_tokens(blocks: DataFrame, *, end_id: int = END_ID) -> DataFrame:
 
 
 def document_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id``, ``start`` and ``n_tokens`` (with the end id) of every row of ``docs``, scanned from flat files of its texts.
+    """``doc_id`` and ``n_tokens`` (with the end id) of every row of ``docs``, scanned from flat files of its texts.
 
     Null and empty texts have the end id alone; an empty table gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "flat-ids")
     names = write_flat(docs, folder, ranks_path, pattern, id_col=id_col, text_col=text_col)
-    return names.join(count_tokens(flat_blocks(spark, folder, block_bytes)), ["file_no", "nth"]).select("doc_id", "start", "n_tokens")
+    return names.join(count_tokens(flat_blocks(spark, folder, block_bytes)), ["file_no", "nth"]).select("doc_id", "n_tokens")
