@@ -25,78 +25,99 @@ MIN_DOCS = 3
 LONG_TOKENS = 50
 LONG_MIN_DOCS = 2
 FIELD = "<*>"
+#: Shared leaves are sent to all tasks up to so many (some 50 bytes each); beyond, lines are shuffled to them.
+BROADCAST_LEAVES = 1_000_000
 #: A template that many documents hold is joined in so many parts.
 SALTS = 16
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces, and every token that has an ASCII digit replaced by the variable field."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, "[ \\t\\r]+", " ")), "[^ ]*[0-9][^ ]*", FIELD)
+_BLANKS = "[ \\t\\r]+"
+_VARIABLE = "[^ ]*[0-9][^ ]*"
+
+
+def _spaced(line: Column) -> Column:
+    """The line with single spaces; most lines are that already and no pattern is run on them."""
+    return F.trim(F.when(line.contains("  ") | line.contains("\t") | line.contains("\r"), F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
+
+
+def _fields(spaced: Column) -> Column:
+    """Every token that has an ASCII digit replaced by the variable field."""
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _VARIABLE, FIELD)).otherwise(spaced)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each line of ``MIN_TOKENS`` or more tokens: ``_id``, ``_h`` (the text's hash), ``_no``, ``_line`` (single spaces), ``_n`` (tokens) and ``_leaf``."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.split(F.col(text_col), "\n").alias("_lines")).where("_lines is not null")
-    line = rows.select("_id", "_h", F.posexplode("_lines").alias("_no", "_line"))
-    return line.select("_id", "_h", "_no", masked(F.col("_line")).alias("_masked")).where(F.size(F.split("_masked", " ")) >= MIN_TOKENS)
-
-
-def _key(masked_line: Column) -> Column:
-    """128 bits that stand for a masked line in shuffles."""
-    return F.struct(F.xxhash64(masked_line).alias("a"), F.xxhash64(F.lit("template"), masked_line).alias("b"))
-
-
-def templates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every distinct masked line (``_masked``) with ``n_tokens`` and the ``template`` it generalises to."""
-    tokens = F.split("_masked", " ")
-    distinct = _lines(docs, id_col, text_col).select("_masked").distinct().select("_masked", F.size(tokens).alias("_n"), F.concat_ws(" ", F.slice(tokens, 1, DEPTH)).alias("_lead"))
-    leaf = ["_n", "_lead"]
-    shared = distinct.groupBy(*leaf).agg(F.count("*").alias("_of")).where("_of > 1")
-    positions = distinct.join(shared, leaf).select(*leaf, "_of", F.posexplode(F.split("_masked", " ")).alias("_at", "_token"))
-    votes = positions.groupBy(*leaf, "_at", "_token").agg(F.count("*").alias("_votes"), F.first("_of").alias("_of"))
-    constant = votes.groupBy(*leaf, "_at").agg(F.max_by("_token", F.struct("_votes", "_token")).alias("_token"), F.max("_votes").alias("_votes"), F.first("_of").alias("_of"))
-    ordered = F.array_sort(F.collect_list(F.struct("_at", F.when(F.col("_votes") >= AGREE * F.col("_of"), F.col("_token")).otherwise(F.lit(FIELD)).alias("_token"))))
-    leaves = constant.groupBy(*leaf).agg(F.transform(ordered, lambda x: x["_token"]).alias("_template"))
+    line = rows.select("_id", "_h", F.posexplode("_lines").alias("_no", "_raw")).select("_id", "_h", "_no", _spaced(F.col("_raw")).alias("_line"))
+    counted = line.withColumn("_n", F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "), F.lit(""))) + 1)
+    return counted.where(F.col("_n") >= MIN_TOKENS).withColumn("_leaf", F.xxhash64(_fields(F.substring_index("_line", " ", DEPTH))))
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_masked`` and the 128 bits ``_a``, ``_b`` that stand for it in shuffles."""
+    return lines.withColumn("_masked", _fields(F.col("_line"))).withColumns({"_a": F.xxhash64("_masked"), "_b": F.xxhash64(F.lit("template"), "_masked")})
+
+
+def leaf_templates(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """``_a``, ``_b`` and the ``template`` that it generalises to, of every distinct line in the leaves (``_n``, ``_leaf``) that ``shared`` names."""
+    leaf = ["_n", "_leaf"]
+    distinct = saved(_keyed(lines.select(*leaf, "_line").join(shared, leaf)).select(*leaf, "_a", "_b", "_masked").dropDuplicates(["_a", "_b"]), "line-leaves")
+    sizes = distinct.groupBy(*leaf).agg(F.count("*").alias("_of"))
+    positions = distinct.select(*leaf, F.posexplode(F.split("_masked", " ")).alias("_at", "_token"))
+    votes = positions.groupBy(*leaf, "_at", "_token").agg(F.count("*").alias("_votes"))
+    best = votes.groupBy(*leaf, "_at").agg(F.max(F.struct("_votes", "_token")).alias("_best")).join(sizes, leaf)
+    constant = F.when(F.col("_best._votes") >= AGREE * F.col("_of"), F.col("_best._token")).otherwise(F.lit(FIELD))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", constant.alias("_token"))))
+    leaves = best.groupBy(*leaf).agg(F.transform(ordered, lambda x: x["_token"]).alias("_template"))
     # The leaf's template holds for lines that agree with it in enough places.
     same = F.aggregate(F.zip_with(F.split("_masked", " "), F.col("_template"), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    general = F.when(F.col("_template").isNotNull() & (same >= SIMILAR * F.col("_n")), F.concat_ws(" ", "_template")).otherwise(F.col("_masked"))
-    return distinct.join(leaves, leaf, "left").select(F.col("_n").alias("n_tokens"), "_masked", general.alias("template"))
+    general = F.when(same >= SIMILAR * F.col("_n"), F.concat_ws(" ", "_template")).otherwise(F.col("_masked"))
+    return distinct.join(leaves, leaf).select("_a", "_b", general.alias("template"))
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_h`` (text hash) and ``_drop`` (sorted numbers of the lines to drop) of documents that lose any.
 
-    Only line numbers and 128-bit keys are shuffled.
+    Lines stand as 128-bit keys in one narrow table; the texts of lines are wanted only in leaves that several distinct lines share.
     """
-    # Lines and templates are matched by keys; the tree is small beside the corpus, its distinct lines only.
-    tree = templates(docs, id_col=id_col, text_col=text_col).select("n_tokens", _key(F.col("_masked")).alias("_key"), _key(F.col("template")).alias("_template"))
-    lines = _lines(docs, id_col, text_col).select("_id", "_h", "_no", _key(F.col("_masked")).alias("_key"))
+    lines = _lines(docs, id_col, text_col)
+    narrow = saved(_keyed(lines).select("_id", "_h", "_no", "_a", "_b", "_n", "_leaf"), "line-keys")
     # A document counts once for a template; counting is done on keys, hot ones included, with partial sums.
-    per_doc = lines.groupBy("_key", "_id").agg(F.lit(1).alias("_one"))
-    per_key = per_doc.groupBy("_key").agg(F.count("*").alias("_docs"), F.min("_id").alias("_first"), F.max("_id").alias("_last"))
-    spread = saved(per_key.join(tree, "_key"), "line-templates")
-    total = spread.groupBy("_template").agg(F.sum("_docs").alias("_sum"), F.max("_docs").alias("_most"), F.count("*").alias("_forms"), F.min("_first").alias("_first"), F.first("n_tokens").alias("n_tokens"))
+    key, template = ["_a", "_b"], ["_ta", "_tb"]
+    per_doc = narrow.select(*key, "_n", "_leaf", "_id").distinct()
+    per_key = saved(per_doc.groupBy(*key, "_n", "_leaf").agg(F.count("*").alias("_docs"), F.min("_id").alias("_first")), "line-counts")
+    shared = saved(per_key.groupBy("_n", "_leaf").agg(F.count("*").alias("_of")).where("_of > 1").select("_n", "_leaf"), "line-shared")
+    if shared.count() <= BROADCAST_LEAVES:
+        shared = F.broadcast(shared)
+    tree = leaf_templates(lines, shared).select(*key, F.xxhash64("template").alias("_ta"), F.xxhash64(F.lit("template"), "template").alias("_tb"))
+    spread = saved(per_key.join(tree, key, "left").select(*key, "_n", "_docs", "_first", F.coalesce("_ta", "_a").alias("_ta"), F.coalesce("_tb", "_b").alias("_tb")), "line-templates")
+    total = spread.groupBy(*template).agg(F.sum("_docs").alias("_sum"), F.count("*").alias("_forms"), F.min("_first").alias("_keep"), F.max("_n").alias("_n"))
     # With one form, its documents; with several, a document may hold more than one form and is counted once.
-    several = spread.join(total.where("_forms > 1").select("_template"), "_template", "left_semi").select("_key", "_template")
+    several = spread.join(total.where("_forms > 1").select(*template), template, "left_semi").select(*key, *template)
     salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
     salts = F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("_salt")
-    exact = per_doc.select("_key", "_id", salt.alias("_salt")).join(several.select("*", salts), ["_key", "_salt"]).groupBy("_template", "_id").agg(F.lit(1).alias("_one")).groupBy("_template").agg(F.count("*").alias("_docs"))
-    counted = total.join(exact, "_template", "left").select("_template", "_first", "n_tokens", F.coalesce("_docs", "_sum").alias("_docs"))
-    recurring = counted.where((F.col("_docs") >= MIN_DOCS) | ((F.col("n_tokens") >= LONG_TOKENS) & (F.col("_docs") >= LONG_MIN_DOCS)))
-    doomed = spread.join(recurring.select("_template", F.col("_first").alias("_keep")), "_template").select("_key", "_keep")
-    hit = lines.withColumn("_salt", salt).join(doomed.select("*", salts), ["_key", "_salt"]).where(~F.col("_id").eqNullSafe(F.col("_keep")))
+    held = per_doc.select(*key, "_id", salt.alias("_salt")).join(several.select("*", salts), [*key, "_salt"]).select(*template, "_id").distinct()
+    exact = held.groupBy(*template).agg(F.count("*").alias("_docs"))
+    counted = total.join(exact, template, "left").withColumn("_docs", F.coalesce("_docs", "_sum"))
+    recurring = counted.where((F.col("_docs") >= MIN_DOCS) | ((F.col("_n") >= LONG_TOKENS) & (F.col("_docs") >= LONG_MIN_DOCS)))
+    doomed = spread.join(recurring.select(*template, "_keep"), template).select(*key, "_keep")
+    hit = narrow.select("_id", "_h", "_no", *key, salt.alias("_salt")).join(doomed.select("*", salts), [*key, "_salt"]).where(~F.col("_id").eqNullSafe(F.col("_keep")))
     return hit.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("_no")).alias("_drop"))
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_drop``, null where a document loses no line."""
-    drop = dropped_lines(docs, id_col=id_col, text_col=text_col).withColumnRenamed("_id", "_di").withColumnRenamed("_h", "_dh")
-    return docs.join(drop, docs[id_col].eqNullSafe(F.col("_di")) & (F.xxhash64(docs[text_col]) == F.col("_dh")), "left").drop("_di", "_dh")
+    """``docs`` with ``_lines``, and ``_drop``, which is null where a document loses no line.
+
+    The drops are a row at most for a document and a fraction of its size; they are hashed, so that texts need no sort.
+    """
+    drop = dropped_lines(docs, id_col=id_col, text_col=text_col).withColumnRenamed("_id", "_di").withColumnRenamed("_h", "_dh").hint("shuffle_hash")
+    found = docs.join(drop, docs[id_col].eqNullSafe(F.col("_di")) & (F.xxhash64(docs[text_col]) == F.col("_dh")), "left").drop("_di", "_dh")
+    return found.withColumn("_lines", F.split(F.col(text_col), "\n"))
 
 
-def _without(text: Column, drop: Column) -> Column:
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
-    return F.when(drop.isNull(), text).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))
+def _without(text: Column) -> Column:
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    return F.when(F.col("_drop").isNull(), text).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get("_lines", i))))
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,9 +129,9 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = _marked(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")), "_doc", "_text")
     return found.select(
         F.col("_doc").alias("doc_id"),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.split("_text", "\n"))).cast("long").alias("n_lines"),
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        _without(F.col("_text"), F.col("_drop")).alias("text"),
+        _without(F.col("_text")).alias("text"),
     )
 
 
@@ -119,7 +140,7 @@ def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Documents of which no word remains go; documents that lost nothing stay as they are, null texts too.
     """
-    found = _marked(docs, id_col, text_col).withColumn("_new", _without(F.col(text_col), F.col("_drop")))
+    found = _marked(docs, id_col, text_col).withColumn("_new", _without(F.col(text_col)))
     found = found.where(F.col("_drop").isNull() | F.col("_new").rlike("[^ \\t\\r\\n]"))
     chars = {chars_col: F.when(F.col("_drop").isNull(), F.col(chars_col)).otherwise(F.length("_new")).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {}
     return found.withColumns({**chars, text_col: F.col("_new")}).select(*docs.columns)
