@@ -9,6 +9,7 @@ between white space while that chunk stays in a bounded cache; a text's ids are
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm._shared import new_path
+from gridspark.llm._shared import new_path, saved
 
 END_ID = 1
-#: Chunks in the cache; it is emptied when it has more, after a batch.
-CACHE = 400_000
+#: Chunks in the cache; it is emptied when it has more, before a group of texts.
+CACHE = 1_000_000
+#: Plain words that go to the library as one text.
+JOINED = 256
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 10_000
 FALSE_POSITIVES = 0.01
@@ -31,12 +34,19 @@ GROUP = 4 << 20
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; ``pool`` holds the ids of all cached chunks one after another."""
+    """Encodes texts chunk by chunk; ``pool`` holds the ids of all cached chunks one after another.
+
+    The tokenizer ignores case and keeps letters apart from a full stop or comma, so chunks are lower-cased and cut there, which
+    makes fewer distinct ones.  Its special tokens are looked for as they are written; texts that may hold one keep their case.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        pieces = self.library.get_vocab()
+        self.closing = np.zeros(max(pieces.values()) + 1, bool)
+        self.closing[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -44,29 +54,48 @@ class ChunkEncoder:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(itertools.chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
     def _learn(self, chunks: list[str]) -> None:
-        """One list of texts at a time goes to the library, in parts that bound its memory."""
-        pools = [self.pool]
-        sizes = [self.sizes]
-        for k in range(0, len(chunks), 20_000):
-            found = [e.ids for e in self.library.encode_batch(chunks[k : k + 20_000], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            pools.append(np.fromiter((i for ids in found for i in ids), np.int32, int(sizes[-1].sum())))
-        for c in chunks:
-            self.number[c] = len(self.number)
+        """Words of ASCII letters go to the library many to a text, where each ends with a closing piece; other chunks are texts of their own."""
+        plain = [c for c in chunks if c.isascii() and c.isalpha()]
+        other = [c for c in chunks if not (c.isascii() and c.isalpha())]
+        pools, sizes = [self.pool], [self.sizes]
+        ids, _ = self._ids([" ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)])
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("the tokenizer does not close each word with a piece of its own")
+        pools.append(ids)
+        sizes.append(np.diff(ends, prepend=0))
+        for k in range(0, len(other), 20_000):
+            ids, own = self._ids(other[k : k + 20_000])
+            pools.append(ids)
+            sizes.append(own)
+        self.number.update(zip(plain + other, range(len(self.number), len(self.number) + len(chunks)), strict=True))
         self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of each text in them); a null text has no ids, and ``end`` closes each text unless it is None."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy of its own: some string kernels misread the offsets of a slice
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z])([.,])(\s)", replacement=r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         if len(self.number) > CACHE:
             self.clear()
         distinct = words.dictionary.to_pylist()
-        if missing := [w for w in distinct if w not in self.number]:
+        known = self.number
+        place = np.array([-1 if k is None else k for k in map(known.get, distinct)], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            missing = [distinct[i] for i in new.tolist()]
             self._learn(missing)
-        place = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+            place[new] = [known[w] for w in missing]
         chunk = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         sizes = self.sizes[chunk]
         before = np.concatenate(([0], np.cumsum(sizes)))
@@ -74,7 +103,11 @@ class ChunkEncoder:
         flat = self.pool[np.repeat(self.starts[chunk] - before[:-1], sizes) + np.arange(before[-1])]
         if end is None:
             return flat, bounds
-        return np.insert(flat, bounds[1:], end).astype(np.int32), bounds + np.arange(len(texts) + 1)
+        out = np.full(len(flat) + len(texts), end, np.int32)
+        inside = np.ones(len(out), bool)
+        inside[bounds[1:] + np.arange(len(texts))] = False
+        out[inside] = flat
+        return out, bounds + np.arange(len(texts) + 1)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -150,7 +183,7 @@ def describe_ids(stored: DataFrame) -> DataFrame:
             crc = np.fromiter((zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.int64, len(lists))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc)], ["doc_id", "file_no", "row", "n_tokens", "ids_crc32"])
 
-    figures = stored.select("doc_id", "file_no", "row", "ids").mapInArrow(run, f"doc_id {kind}, file_no int, row long, n_tokens long, ids_crc32 long")
+    figures = saved(stored.select("doc_id", "file_no", "row", "ids").mapInArrow(run, f"doc_id {kind}, file_no int, row long, n_tokens long, ids_crc32 long"), "token-figures")
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = figures.withColumn("_inside", before(Window.partitionBy("file_no").orderBy("row"), "n_tokens"))
     # One row for each file meets in the second level of the scan.
