@@ -12,11 +12,20 @@ from pyspark.sql import functions as F
 from gridspark.functions import text
 from gridspark.operators import cells as grid
 from gridspark.operators import diff, graph, rules, table
+from gridspark.session import saved
+
+
+def settled(source: rules.Audit) -> rules.Audit:
+    """The same with its cells and read formulas in a working table, as every rule reads them."""
+    out = rules.Audit(source.cells, source.sheets, source.workbooks, source.names, source.declared)
+    out.parsed = saved(source.parsed, "parsed-cells")
+    out.cells = out.parsed.drop("f")
+    return out
 
 
 def audit(source: rules.Audit) -> DataFrame:
     """Findings of all rules, repeated ones grouped, in order of severity."""
-    found = rules.grouped(rules.run(source))
+    found = rules.grouped(rules.run(settled(source)))
     return found.orderBy("wb", F.desc(rules.rank(rules.SEVERITIES, F.col("severity"))), "rule", "sheet_no", "row", "col")
 
 
@@ -31,18 +40,19 @@ class Comparison:
 def compare(old: rules.Audit, new: rules.Audit, align: bool = True) -> Comparison:
     """Changes between two versions, rated by what depends on them in the new one, merged with the findings of the new one."""
     spark = old.cells.sparkSession
-    matches = diff.match_sheets(old.cells, new.cells).persist()  # a row for each sheet, used by several plans
-    pairs = diff.row_pairs(old.parsed, new.parsed, matches) if align else None
-    changes = diff.cell_changes(old.parsed, new.parsed, matches, pairs)
+    old, new = settled(old), settled(new)
+    matches = saved(diff.match_sheets(old.cells, new.cells), "sheet-matches")
+    pairs = saved(diff.row_pairs(old.parsed, new.parsed, matches), "row-pairs") if align else None
+    changes = saved(diff.cell_changes(old.parsed, new.parsed, matches, pairs), "cell-changes")
     names = new.names if new.names is not None else spark.createDataFrame([], graph.NAMES)
     declared = new.declared if new.declared is not None else spark.createDataFrame([], graph.DECLARED)
-    edge_rows = graph.edges(graph.areas(new.parsed, names, declared), new.cells)
+    edge_rows = saved(graph.edges(graph.areas(new.parsed, names, declared), new.cells), "edges")
     outputs = graph.output_like(new.cells, edge_rows)
     unsure = graph.unresolved(new.parsed, names, declared).select("wb").distinct().withColumn("unresolved", F.lit(True))
     impacts = graph.impact(edge_rows, changes.where(F.col("change").isin(*diff.RATED)), outputs).join(unsure, "wb", "left")
-    rated = diff.rated(changes, impacts)
+    rated = saved(diff.rated(changes, impacts).select(*changes.columns, "severity", "confidence"), "rated-changes")
     runs = diff.row_runs(pairs) if pairs is not None else spark.createDataFrame([], "wb string, change string, sheet string, start_row int, count long")
-    return Comparison(matches, runs, rated, diff.review_items(rated, rules.run(new)))
+    return Comparison(matches, runs, rated, diff.review_items(rated, saved(rules.run(new), "findings")))
 
 
 class NeedsConfirmation(Exception):

@@ -18,6 +18,7 @@ from gridspark.operators import cells as grid
 from gridspark.operators import diff, graph, rules, table
 from gridspark.operators.table import Filter
 from gridspark.plans import workflows
+from gridspark.session import saved
 from gridspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,7 +430,7 @@ UNION ALL SELECT wb, row, 2, 'formatting_only' FROM {_GRID} WHERE p_partkey % 71
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     old, new = sheet_cells(spark, d).where("col <= 4"), _edited(spark, d)
-    return diff.cell_changes(grid.with_formulas(old), grid.with_formulas(new), diff.match_sheets(old, new).persist())
+    return diff.cell_changes(grid.with_formulas(old), grid.with_formulas(new), saved(diff.match_sheets(old, new), "sheet-matches"))
 
 
 @query(_CHANGED)
@@ -452,8 +453,8 @@ def diff_row_runs(spark, d):
     k = F.substr("wb", F.lit(2)).cast("int") * PER_SHEET + F.col("row") - 1
     kept = old.where(~(k % 100).between(10, 13))
     new = kept.withColumn("row", F.dense_rank().over(grid.Window.partitionBy("wb").orderBy("row")))
-    pairs = diff.row_pairs(grid.with_formulas(old), grid.with_formulas(new), diff.match_sheets(old, new).persist())
-    return diff.row_runs(pairs).select("wb", "change", "start_row", "count")
+    pairs = diff.row_pairs(grid.with_formulas(old), grid.with_formulas(new), saved(diff.match_sheets(old, new), "sheet-matches"))
+    return diff.row_runs(saved(pairs, "row-pairs")).select("wb", "change", "start_row", "count")
 
 
 @query(f"SELECT DISTINCT wb, 'Parts' AS old_sheet, 'Items' AS new_sheet, CASE wb WHEN 'w1' THEN 'inferred' ELSE 'renamed' END AS how FROM {_GRID}")
