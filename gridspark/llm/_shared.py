@@ -2,30 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from gridspark.session import new_path, saved, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
-    found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridspark-")
-        spark.conf.set(_KEY, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/gridspark/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "saved", "shared_dir"]
