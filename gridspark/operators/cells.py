@@ -26,9 +26,9 @@ MIN_PATTERN, MIN_RUN = 3, 2
 
 
 def with_formulas(cells: DataFrame) -> DataFrame:
-    """``cells`` with the struct ``f`` of :data:`gridspark.functions.formula.PARSED`; only formulas go through Python."""
-    made = cells.where("formula is not null").withColumn("f", parsed(F.col("formula"), F.col("row"), F.col("col")))
-    return made.unionByName(cells.where("formula is null").withColumn("f", F.lit(None).cast(made.schema["f"].dataType)))
+    """``cells`` with the struct ``f`` of :data:`gridspark.functions.formula.PARSED`, null for constants; one pass over the cells."""
+    read = cells.withColumn("f", parsed(F.col("formula"), F.col("row"), F.col("col")))
+    return read.withColumn("f", F.when(F.col("formula").isNotNull(), F.col("f")))
 
 
 def value_text(prefix: str = "") -> Column:
