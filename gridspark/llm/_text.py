@@ -40,11 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: Iterable[bytes], limit: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) with about ``limit`` bytes in each block."""
+def blocks(texts: Iterable[bytes], limit: int = BLOCK, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts) with about ``limit`` bytes and at most ``most`` texts in each block."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        if held and size + len(text) > limit:
+        if held and (size + len(text) > limit or len(held) >= most):
             yield first, held
             first, held, size = i, [], 0
         held.append(text)
