@@ -214,3 +214,20 @@ def test_empty_relations(spark):
     assert rules.run(rules.Audit(none)).count() == 0 and grid.tables(none).count() == 0
     c = workflows.compare(rules.Audit(none), rules.Audit(none))
     assert (c.matches.count(), c.changes.count(), c.items.count(), c.row_runs.count()) == (0, 0, 0, 0)
+
+
+def test_structural_changes(spark):
+    from gridspark.sources.workbook import SHEETS, WORKBOOKS
+
+    def side(sheets, names, macros):
+        return {
+            "sheets": spark.createDataFrame([("w", s, n, v, r, [], m, False) for n, (s, v, r, m) in enumerate(sheets)], SHEETS),
+            "names": spark.createDataFrame([("w", *n) for n in names], graph.NAMES), "workbooks": spark.createDataFrame([("w", "p", 1, macros, False, False, None)], WORKBOOKS),
+        }
+
+    old = side([("A", "visible", [3], ["A1:B2"]), ("B", "visible", [], []), ("C", "visible", [], [])], [("Rate", None, "A!$A$1"), ("Gone", None, "1")], False)
+    new = side([("B", "hidden", [], []), ("A", "visible", [3, 4], ["A1:B2"]), ("D", "visible", [], [])], [("RATE", None, "A!$A$2"), ("Rate", "A", "A!$A$1")], True)
+    pairs = spark.createDataFrame([("w", "A", "A", "same"), ("w", "B", "B", "same"), ("w", "C", None, "removed"), ("w", None, "D", "added")], "wb string, old_sheet string, new_sheet string, how string")
+    assert found(diff.structural_changes(old, new, pairs).fillna("-"), "change", "sheet") == [
+        ("hidden_rows_changed", "A"), ("macros_added", "-"), ("name_added", "-"), ("name_changed", "-"), ("name_removed", "-"), ("sheet_added", "D"), ("sheet_removed", "C"), ("sheet_reordered", "A"), ("sheet_reordered", "B"), ("visibility_changed", "B"),
+    ]
