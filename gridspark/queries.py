@@ -308,18 +308,20 @@ def rule_opaque_content(spark, d):
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
     """A sheet for each order of three items or more: discounted prices to be shown with no decimals, and their stored sum below."""
-    items = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.min(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("num"))
+    cents = F.floor(F.min(F.col("l_extendedprice") * (1 - F.col("l_discount"))) * 100 + 0.5)
+    items = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(cents.alias("cents"))
     n = F.row_number().over(grid.Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    rows = items.select(F.col("l_orderkey").cast("string").alias("wb"), n.cast("int").alias("row"), "num")
-    total = rows.groupBy("wb").agg(F.max("row").alias("last"), F.round(F.sum(F.col("num").cast("decimal(18,2)")), 2).cast("double").alias("num"))
+    rows = items.select(F.col("l_orderkey").cast("string").alias("wb"), n.cast("int").alias("row"), (F.col("cents") / 100).alias("num"), "cents")
+    total = rows.groupBy("wb").agg(F.max("row").alias("last"), (F.sum("cents") / 100).alias("num"))
+    rows = rows.drop("cents")
     formula = F.concat(F.lit("=SUM(A1:A"), F.col("last").cast("string"), F.lit(")"))
     both = rows.withColumn("formula", F.lit(None).cast("string")).unionByName(total.select("wb", (F.col("last") + 1).alias("row"), "num", formula.alias("formula")))
     return both.select("wb", F.lit("S").alias("sheet"), F.lit(0).alias("sheet_no"), "row", F.lit(1).alias("col"), F.lit("n").alias("kind"), "num", F.lit(None).cast("string").alias("str"), F.lit(None).cast("timestamp_ntz").alias("ts"), "formula", F.lit("#,##0").alias("number_format"), F.lit("").alias("style"))
 
 
-@query("""WITH i AS (SELECT l_orderkey, l_linenumber, CAST(round(min(l_extendedprice * (1 - l_discount)), 2) AS DECIMAL(18,2)) AS v FROM lineitem GROUP BY 1, 2),
-t AS (SELECT CAST(l_orderkey AS VARCHAR) AS wb, count(*) AS n, round(sum(v), 0) AS shown, sum(round(v, 0)) AS displayed FROM i GROUP BY 1)
-SELECT wb, CAST(n + 1 AS INT) AS row, CAST(displayed - shown AS DOUBLE) AS drift FROM t WHERE n >= 3 AND abs(displayed - shown) >= 1""")
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, CAST(floor(min(l_extendedprice * (1 - l_discount)) * 100 + 0.5) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2),
+t AS (SELECT CAST(l_orderkey AS VARCHAR) AS wb, count(*) AS n, (sum(v) + 50) // 100 AS shown, sum((v + 50) // 100) AS displayed FROM i GROUP BY 1)
+SELECT wb, CAST(n + 1 AS INT) AS row, CAST(displayed - shown AS DOUBLE) AS drift FROM t WHERE n >= 3 AND displayed <> shown""")
 def rule_rounding_drift(spark, d):
     found = rules.RULES["EA-RND-001"](rules.Audit(_priced(spark, d)))
     return found.select("wb", "row", F.get_json_object("evidence", "$.drift").cast("double").alias("drift"))
