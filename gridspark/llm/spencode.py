@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridspark.llm._worker import kept
+
 MARK = "▁"
 #: Chunks kept in each of the cache's two generations.
 CACHE = 300_000
@@ -59,7 +61,10 @@ class Vocabulary:
         joined = set("".join(p for p in self.pieces if len(p) > 1))
         self.splits = "".join(c for c in "\n\t\r" if c not in joined)
         apart = re.escape(self.splits)
-        self.chunks = re.compile(f" +[^ {apart}]*|[{apart}]|[^ {apart}]+" if apart else " +[^ ]*|[^ ]+")
+        # So does a letter before a mark that no piece has after a letter.
+        marks = "".join(c for c in ".," if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.pieces))
+        word = rf" *+[^\W\d_]++(?=[{re.escape(marks)}])|" if marks else ""
+        self.chunks = re.compile(word + (f" +[^ {apart}]*|[{apart}]|[^ {apart}]+" if apart else " +[^ ]*|[^ ]+"))
         if sp.normalize("a  b\tc\n ﬁ") != MARK + "a  b\tc\n ﬁ".replace(" ", MARK):
             raise ValueError("the model rewrites texts before it encodes them")
 
@@ -258,14 +263,9 @@ class Encoder:
             yield joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.vocabulary.finish(decoded).encode()).hexdigest()
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, check: bool = True) -> Encoder:
     """The worker's encoder for a model; it outlives a task."""
-    if (path, check) not in _encoders:
-        _encoders[path, check] = Encoder(path, check)
-    return _encoders[path, check]
+    return kept(("sentencepiece", path, check), lambda: Encoder(path, check))
 
 
 def groups(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, list]]:
