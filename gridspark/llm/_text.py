@@ -113,3 +113,14 @@ def encoded(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batch, column: int, limit: int) -> Iterator:
+    """An Arrow batch in parts of about ``limit`` bytes of the given text column."""
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    part = np.cumsum(sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm._text import ALNUM_WORDS, Words, blocks, encoded
+from gridspark.llm._worker import tidy
 
 WINDOW = 10
 PART_CHARS = 32_000_000
-SHARD = 4 << 20
+SHARD = 1 << 20
 SAMPLE_RATE = 8
 _RANK_BLOCK = 64
 
@@ -251,7 +252,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                     ["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
 def cut(text: bytes, patterns: list[Patterns]) -> bytes:
@@ -303,7 +304,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
                     columns[chars] = pa.array([len(new[d].decode()) if d in new else c for d, c in enumerate(counts)], some.schema.field(chars).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=some.schema).filter(pa.array([d not in gone for d in range(len(held))]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def digest(items: list[str]) -> str:

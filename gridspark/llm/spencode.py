@@ -18,14 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridspark.llm._text import slices
 from gridspark.llm._worker import kept
 
 MARK = "▁"
 #: Chunks kept in each of the cache's two generations.
-CACHE = 300_000
+CACHE = 200_000
 #: Chunks of more characters use a heap; others merge side by side, so many at once.
 LONG = 64
 ROWS = 16_384
+#: Bytes of text that are encoded together.
+GROUP = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -268,19 +271,6 @@ def encoder(path: str, check: bool = True) -> Encoder:
     return kept(("sentencepiece", path, check), lambda: Encoder(path, check))
 
 
-def groups(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, list]]:
-    """(first index, texts) of about ``size`` characters."""
-    first, held, n = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and n + len(t or "") > size:
-            yield first, held
-            first, held, n = i, [], 0
-        held.append(t)
-        n += len(t or "")
-    if held:
-        yield first, held
-
-
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` (with the end id) of every row; a null or empty text has the end id alone.
 
@@ -291,8 +281,8 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path)
         for batch in batches:
-            for first, held in groups(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.array(list(e.encode(held)), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for part in slices(batch, 1, GROUP):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(e.encode(part.column(1).to_pylist())), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['_id'].dataType.simpleString()}, ids array<int>")
 
@@ -316,8 +306,8 @@ def digest_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path)
         for batch in batches:
-            for first, held in groups(batch.column(1).to_pylist()):
-                got = list(e.digests(held))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(batch, 1, GROUP):
+                got = list(e.digests(part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

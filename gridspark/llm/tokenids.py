@@ -10,6 +10,7 @@ between white space while that chunk stays in a bounded cache; a text's ids are
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm._shared import new_path, saved
+from gridspark.llm._text import slices
+from gridspark.llm._worker import kept
 
 END_ID = 1
 #: Chunks in the cache; it is emptied when it has more, before a group of texts.
@@ -110,26 +113,10 @@ class ChunkEncoder:
         return out, bounds + np.arange(len(texts) + 1)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder, which outlives a task."""
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
-def slices(batch: pa.RecordBatch, column: int, limit: int = GROUP) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``limit`` bytes of the given text column."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    part = np.cumsum(sizes) // limit
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
-    for a, b in zip(edges, edges[1:], strict=False):
-        yield batch.slice(a, b - a)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return kept(("chunks", path), lambda: ChunkEncoder(path))
 
 
 def encode_sorted(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +130,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, at = encoder(tokenizer_path), 0
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, GROUP):
                 ids, offsets = e.encode(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(at, at + len(part))), lists], ["doc_id", "row", "ids"])
