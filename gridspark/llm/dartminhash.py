@@ -13,9 +13,9 @@ Exact copies fall together before anything is joined.  In a bucket of documents
 bucket's leader, so that a bucket of n gives n - 1 pairs.  The leader is the member that meets the most others over all its
 buckets: in a group of edited copies that is their source, or what is nearest to it.  Each member first tries the leader that it
 meets most often, which settles nearly all; only buckets that still hold several classes go on, to all leaders and then to a second
-leader, from outside the first one's class, which is held against everyone.  Then buckets of up to ``SMALL`` members are
-compared across classes, and in larger ones those outside the first leader's class are dealt by each of ``DEALT`` further
-band keys and get two leaders in each part.  A link is lost only if no band, leader or part brings its two texts together.
+leader, from outside the first one's class, which is held against everyone.  Then whatever is left is compared across
+classes, pair by pair in buckets of up to ``SMALL`` members, and in larger ones in blocks: two parts of a bucket meet in one task,
+which counts the common shingles of all their members at once.  A link is lost only if its two texts share no band.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ SIMILARITY = 0.8
 ROWS, BANDS = 6, 32
 REPEAT_WEIGHT = 0.1
 SMALL = 64
-#: A large bucket of one band is dealt by the keys of so many following bands.
-DEALT = 6
+#: A larger bucket is dealt into parts of about so many members, or of so many shingles in all.
+PART, PART_SHINGLES = 128, 1 << 19
+#: Shingles that a block counts at once.
+WIDE = 1 << 13
 #: Texts that throw their darts together; each throws some thousands, however short it is.
 MOST_TEXTS = 256
 _UNIT = 2.0**-53
@@ -248,23 +250,84 @@ def _to_second(mixed: DataFrame) -> DataFrame:
     return _to_leader(mixed.join(second, "key"), "second")
 
 
-def _across(mixed: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs of members of different classes in buckets of up to ``SMALL``, each in the first bucket that both are in."""
-    small = mixed.where(F.col("size") <= SMALL).select("key", "id", "n", "c").join(bands.toDF("id", "b"), "id")
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs of members of different classes in buckets of up to ``SMALL``, each in the least of these buckets that both are in."""
+    small = mixed.where(F.col("size") <= SMALL).select("key", "id", "n", "c")
+    small = small.join(small.groupBy("id").agg(F.collect_list("key").alias("b")).toDF("_id", "b"), F.col("id") == F.col("_id")).select("id", "key", "n", "c", "b")
     other = small.toDF("v", "key", "vn", "vc", "vb")
-    first = F.get(F.filter(F.zip_with("b", "vb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-    pairs = small.join(other, (small["key"] == other["key"]) & (F.col("id") > F.col("v")) & (F.col("c") != F.col("vc")) & _similar(F.col("n"), F.col("vn")) & (first == small["key"]))
+    least = F.array_min(F.array_intersect("b", "vb"))
+    pairs = small.join(other, (small["key"] == other["key"]) & (F.col("id") > F.col("v")) & (F.col("c") != F.col("vc")) & _similar(F.col("n"), F.col("vn")) & (least == small["key"]))
     return pairs.select(F.col("id").alias("u"), "v")
 
 
-def _rest(mixed: DataFrame, bands: DataFrame) -> DataFrame:
-    """What two leaders did not settle: small buckets, and parts of large ones by a further band key, which get two leaders again."""
-    large = mixed.where((F.col("size") > SMALL) & (F.col("c") != F.col("leader.c"))).select("id", "n", "w", "c", F.col("key").alias("_key"))
-    place = F.array_position("bands", F.col("_key"))
-    further = F.transform(F.sequence(F.lit(0), F.lit(DEALT - 1)), lambda j: F.get("bands", ((place + j) % BANDS).cast("int")))
-    parts = large.join(bands, "id").select("id", "n", "w", "c", "_key", F.explode(further).alias("_next"))
-    again = saved(_mixed(parts.select(F.xxhash64("_key", "_next").alias("key"), "id", "n", "w", "c")), "near-parts")
-    return _across(mixed, bands).union(_to_leader(again)).union(_to_second(again)).distinct()
+def _parts(mixed: DataFrame) -> DataFrame:
+    """``key``, ``i``, ``j``, ``id`` and ``c``: the blocks of two parts (or one) in which the members of buckets beyond ``SMALL`` meet.
+
+    The members of a bucket's largest class have parts of their own, which need not meet each other.
+    """
+    large = mixed.where(F.col("size") > SMALL).select("key", "id", "n", "c")
+    sizes = large.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("k", "c", "s")).alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    number = lambda k, s: F.ceil(F.greatest(k / F.lit(PART), s / F.lit(PART_SHINGLES))).cast("long")
+    top = top.select("key", F.col("top.c").alias("_c"), number(F.col("top.k"), F.col("top.s")).alias("_p"), number(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("_q"))
+    inner = F.col("c") == F.col("_c")
+    own = F.when(inner, F.col("_q") + F.pmod(F.xxhash64("id"), "_p")).otherwise(F.pmod(F.xxhash64("id"), "_q"))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.when(inner, F.col("_q") - 1).otherwise(F.col("_q") + F.col("_p") - 1)))
+    dealt = large.join(top, "key").select("key", "id", "c", own.alias("_own"), met.alias("_met"))
+    return dealt.select("key", F.least("_own", "_met").alias("i"), F.greatest("_own", "_met").alias("j"), "id", "c")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``id`` and ``h``, the hashes of the distinct shingles, of ``texts`` (``id``, ``t``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, held in blocks(encoded(batch.column(1))):
+                doc, h, _ = shingles(held)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(held)))))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), lists], ["id", "h"])
+
+    return texts.select("id", "t").mapInArrow(tidy(run), f"id {texts.schema['id'].dataType.simpleString()}, h array<long>")
+
+
+def _common(sets: pa.ListArray) -> np.ndarray:
+    """[row, row] -> how many elements both lists of distinct values have."""
+    row = np.repeat(np.arange(len(sets)), np.asarray(sets.value_lengths()))
+    _, column, times = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+    twice = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    row, column = row[twice], number[column[twice]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        a, b = np.searchsorted(column, (first, first + WIDE))
+        has = np.zeros((len(sets), WIDE), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        out += has @ has.T
+    return out
+
+
+def compared(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (``u``, ``v``) between members of different classes that meet in a block: each linked one and the first that links lead to."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(table):
+        sets = table["h"].combine_chunks()
+        n, c = np.asarray(sets.value_lengths()).astype(np.int64), np.asarray(table["c"].combine_chunks().dictionary_encode().indices)
+        common = _common(sets)
+        linked = (common >= SIMILARITY * (n[:, None] + n[None, :] - common)) & (c[:, None] != c[None, :])
+        to = np.arange(len(n))
+        while True:
+            less = np.minimum(to, np.where(linked, to[None, :], len(n)).min(1))
+            if (less == to).all():
+                break
+            to = less
+        moved = np.flatnonzero(to != np.arange(len(n)))
+        return pa.table({"u": table["id"].take(pa.array(moved)), "v": table["id"].take(pa.array(to[moved]))})
+
+    return parts.join(sets, "id").groupBy("key", "i", "j").applyInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -298,14 +361,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     members = met.join(weight, "id").select("key", "id", "n", "w")
     texts = candidates_texts(docs, weight.select("id"), id_col=id_col, text_col=text_col)
     roots, done = (None if twice.isEmpty() else components(twice)), None
-    # First each member and the leader that it meets in the most buckets, then all leaders, a second one, and the rest.
+    # First each member and the leader that it meets in the most buckets, then all leaders, a second one, and small buckets.
     for step in range(4):
         mixed = saved(_mixed(_classes(members, roots)), "near-mixed")
         if step == 0:
             votes = _to_leader(mixed).groupBy("u", "v").agg(F.count("*").alias("_n"))
             pairs = votes.groupBy("u").agg(F.max_by("v", F.struct("_n", "v")).alias("v")).select("u", "v")
         else:
-            pairs = _to_leader(mixed) if step == 1 else _to_second(mixed) if step == 2 else _rest(mixed, first.select("id", "bands"))
+            pairs = _to_leader(mixed) if step == 1 else _to_second(mixed) if step == 2 else _across(mixed)
             pairs = pairs.distinct().join(done, ["u", "v"], "left_anti")
         pairs = saved(pairs, "near-pairs")
         if not pairs.isEmpty():
@@ -314,6 +377,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 roots = _joined(roots, links)
         done = pairs if done is None else done.union(pairs)
         members = mixed.select("key", "id", "n", "w")  # buckets of one class are settled
+    # Then all pairs that large buckets still hold.
+    parts = saved(_parts(_mixed(_classes(members, roots))), "near-parts")
+    if not parts.isEmpty():
+        sets = saved(shingle_sets(texts.join(parts.select("id").distinct(), "id", "left_semi")), "near-sets")
+        links = saved(compared(parts, sets), "near-links")
+        if not links.isEmpty():
+            roots = _joined(roots, links)
     rows = docs.select(F.col(id_col).alias("id")).join(own.select("id", "first"), "id", "left").select("id", F.coalesce("first", "id").alias("first"))
     if roots is None:
         return rows.select("id", F.col("first").alias("class_id"))

@@ -63,6 +63,25 @@ def test_a_large_group_of_edited_copies(spark):
     assert got == brute_classes(texts)
 
 
+def form_letters(rng, pairs, body=100, own=14, shared=3):
+    """Letters with one common body, too different to be linked but for each one and its neighbour."""
+    common = [f"c{i}" for i in range(body)]
+    texts = {}
+    for _ in range(pairs):
+        both = [rng.choice("xyz") + str(rng.random()) for _ in range(shared)]
+        for _ in range(2):
+            texts[len(texts)] = " ".join([*common, *both, *(str(rng.random()) for _ in range(own - shared))])
+    return texts
+
+
+def test_pairs_of_form_letters_meet_in_large_buckets(spark):
+    texts = form_letters(random.Random(3), 150)
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 150
+    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 130)]
