@@ -6,7 +6,8 @@ darts fall as a Poisson process; a document sees the darts under its weights, an
 earliest.  Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.  Darts are thrown in
 doubling intervals of rank until every coordinate has one, so that a signature takes time linear in the text.
 
-Rows of ``ROWS`` coordinates make ``BANDS`` band keys.  Documents that share one are candidates, and are linked if the Jaccard
+Rows of ``ROWS`` coordinates make ``BANDS`` band keys.  A document with repeated shingles has the keys of its plain set as well, so
+that two similar sets meet however often either repeats its shingles.  Documents that share a key are candidates, and are linked if the Jaccard
 similarity of their sets of shingles, computed from the texts, is ``SIMILARITY`` or more.  Classes are the components of links.
 
 Exact copies fall together before anything is joined.  In a bucket of documents with equal band keys, members are held against the
@@ -149,13 +150,22 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, rows: int = ROWS, b
                 n = len(held)
                 sizes = np.bincount(doc, minlength=n)
                 keys = band_keys(dart_signatures(doc, h, 1 + REPEAT_WEIGHT * np.log2(count), n, rows * bands), rows)
+                own = np.concatenate((np.ones(keys.shape, bool), np.zeros(keys.shape, bool)), 1)
+                keys = np.concatenate((keys, keys), 1)
+                again = np.unique(doc[count > 1])
+                if len(again):
+                    inside = np.isin(doc, again)
+                    plain = np.searchsorted(again, doc[inside])
+                    keys[again, bands:] = band_keys(dart_signatures(plain, h[inside], np.ones(len(plain)), len(again), rows * bands), rows)
+                    own[again, bands:] = keys[again, bands:] != keys[again, :bands]
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 with np.errstate(over="ignore"):
                     one = mix(h ^ mix(count.astype(np.uint64)))
                     sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))) for x in (one, mix(one + _ODD))]
                     a, b = (s[ends[1:]] - s[ends[:-1]] for s in sums)
                 some = np.flatnonzero(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys[some].ravel().view(np.int64)))
+                starts = np.concatenate(([0], np.cumsum(own[some].sum(1)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(keys[some][own[some]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).take(pa.array(some)), pa.array(a[some].view(np.int64)), pa.array(b[some].view(np.int64)), pa.array(sizes[some].astype(np.int64)), lists], ["id", "a", "b", "n", "bands"])
 
     return slim.mapInArrow(tidy(run), f"id {slim.schema['id'].dataType.simpleString()}, a long, b long, n long, bands array<long>")

@@ -82,6 +82,16 @@ def test_pairs_of_form_letters_meet_in_large_buckets(spark):
     assert got == want
 
 
+def test_texts_and_their_loops(spark):
+    rng = random.Random(4)
+    texts = {}
+    for _ in range(40):
+        once = " ".join(str(rng.random()) for _ in range(100))
+        texts |= {len(texts): once, len(texts) + 1: " ".join([once] * 200)}
+    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 130)]
