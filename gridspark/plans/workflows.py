@@ -46,10 +46,13 @@ def compare(old: rules.Audit, new: rules.Audit, align: bool = True) -> Compariso
     changes = saved(diff.cell_changes(old.parsed, new.parsed, matches, pairs), "cell-changes")
     names = new.names if new.names is not None else spark.createDataFrame([], graph.NAMES)
     declared = new.declared if new.declared is not None else spark.createDataFrame([], graph.DECLARED)
-    edge_rows = saved(graph.edges(graph.areas(new.parsed, names, declared), new.cells), "edges")
+    # A removed cell is blank now; formulas that still refer to it depend on it.
+    roots = changes.where(F.col("change").isin(*diff.RATED)).select(*graph.ADDRESS)
+    points = new.cells.select(*graph.ADDRESS).union(roots).distinct()
+    edge_rows = saved(graph.edges(graph.areas(new.parsed, names, declared), points), "edges")
     outputs = graph.output_like(new.cells, edge_rows)
     unsure = graph.unresolved(new.parsed, names, declared).select("wb").distinct().withColumn("unresolved", F.lit(True))
-    impacts = graph.impact(edge_rows, changes.where(F.col("change").isin(*diff.RATED)), outputs).join(unsure, "wb", "left")
+    impacts = graph.impact(edge_rows, roots, outputs).join(unsure, "wb", "left")
     rated = saved(diff.rated(changes, impacts).select(*changes.columns, "severity", "confidence"), "rated-changes")
     runs = diff.row_runs(pairs) if pairs is not None else spark.createDataFrame([], "wb string, change string, sheet string, start_row int, count long")
     return Comparison(matches, runs, rated, diff.review_items(rated, saved(rules.run(new), "findings")))

@@ -181,6 +181,12 @@ def test_far_changes_are_raised_and_items_merged(spark):
     assert items[1, 4] == ("constant_to_formula", ["EA-REF-001"], "high") and items[1, 1][0] == "value_changed"
 
 
+def test_removed_cells_reach_what_still_refers_to_them(spark):
+    old = {f"A{r}": r for r in range(1, 13)} | {"A14": "Total", "B14": "=SUM(A1:A12)+D1", "D1": "=A1*2", "F1": 3}
+    _, changes, _ = compared(spark, [("S", old)], [("S", {k: v for k, v in old.items() if k not in ("A5", "D1", "F1")})])
+    assert changes == [("A5", "value_removed", "medium"), ("D1", "formula_removed", "high"), ("F1", "value_removed", "low")]
+
+
 def test_sheet_matching(spark):
     data = {f"A{r}": r for r in range(1, 5)} | {f"B{r}": f"=A{r}*2" for r in range(1, 7)}
     old = sheet(spark, ("Keep", {"A1": 1}), ("Data", data), ("Exact", {"A1": 7}), ("Gone", {"A1": 9}))
