@@ -75,8 +75,13 @@ def _finding(df: DataFrame, name: str, severity: str | Column, confidence: str |
 
 @rule("EA-REF-001")
 def broken_references(a: Audit) -> DataFrame:
-    hit = a.cells.where(F.upper("formula").contains("#REF!"))
-    return _finding(hit, "EA-REF-001", "high", "high", {"formula": F.col("formula")}, 50)
+    """Formulas with #REF!, and names that refer to it in workbooks where formulas gave fewer than the limit."""
+    hit = _finding(a.cells.where(F.upper("formula").contains("#REF!")), "EA-REF-001", "high", "high", {"formula": F.col("formula")}, 50)
+    if a.names is None:
+        return hit
+    full = hit.groupBy("wb").count().where(F.col("count") >= 50).select("wb")
+    names = a.names.where(F.upper("refers_to").contains("#REF!")).join(full, "wb", "left_anti")
+    return hit.unionByName(_finding(names, "EA-REF-001", "high", "high", {"name": F.col("name"), "refers_to": F.col("refers_to")}))
 
 
 @rule("EA-CIR-001")

@@ -35,10 +35,14 @@ class Comparison:
     row_runs: DataFrame
     changes: DataFrame
     items: DataFrame
+    structure: DataFrame | None = None
 
 
 def compare(old: rules.Audit, new: rules.Audit, align: bool = True) -> Comparison:
-    """Changes between two versions, rated by what depends on them in the new one, merged with the findings of the new one."""
+    """Changes between two versions, rated by what depends on them in the new one, merged with the findings of the new one.
+
+    ``structure`` is what changed around the cells, if both versions have ``sheets`` and ``workbooks``.
+    """
     spark = old.cells.sparkSession
     old, new = settled(old), settled(new)
     matches = saved(diff.match_sheets(old.cells, new.cells), "sheet-matches")
@@ -55,7 +59,10 @@ def compare(old: rules.Audit, new: rules.Audit, align: bool = True) -> Compariso
     impacts = graph.impact(edge_rows, roots, outputs).join(unsure, "wb", "left")
     rated = saved(diff.rated(changes, impacts).select(*changes.columns, "severity", "confidence"), "rated-changes")
     runs = diff.row_runs(pairs) if pairs is not None else spark.createDataFrame([], "wb string, change string, sheet string, start_row int, count long")
-    return Comparison(matches, runs, rated, diff.review_items(rated, saved(rules.run(new), "findings")))
+    known = all(x is not None for side in (old, new) for x in (side.sheets, side.workbooks))
+    around = lambda side: {"sheets": side.sheets, "workbooks": side.workbooks, "names": side.names if side.names is not None else spark.createDataFrame([], graph.NAMES)}
+    structure = diff.structural_changes(around(old), around(new), matches) if known else None
+    return Comparison(matches, runs, rated, diff.review_items(rated, saved(rules.run(new), "findings")), structure)
 
 
 class NeedsConfirmation(Exception):

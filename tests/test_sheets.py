@@ -187,6 +187,24 @@ def test_removed_cells_reach_what_still_refers_to_them(spark):
     assert changes == [("A5", "value_removed", "medium"), ("D1", "formula_removed", "high"), ("F1", "value_removed", "low")]
 
 
+def test_broken_names_are_found(spark):
+    names = spark.createDataFrame([("w", "Lost", None, "=S!#REF!"), ("w", "Good", None, "=S!$A$1"), ("full", "Lost", None, "#REF!")], graph.NAMES)
+    cells = sheet(spark, ("S", {"A1": 1, "A2": "=#REF!+1"})).union(sheet(spark, ("S", {f"A{r}": "=#REF!" for r in range(1, 61)}), wb="full"))
+    got = rules.broken_references(rules.Audit(cells, names=names)).groupBy("wb").agg(F.count("*").alias("n"), F.count_if(F.col("evidence").contains("Lost")).alias("names"))
+    assert found(got, "wb", "n", "names") == [("full", 50, 0), ("w", 2, 1)]
+
+
+def test_compare_returns_structural_changes(spark):
+    from gridspark.sources.workbook import SHEETS, WORKBOOKS
+
+    def side(visibility, macros):
+        sheets = spark.createDataFrame([("w", "S", 0, visibility, [], [], [], False)], SHEETS)
+        return rules.Audit(sheet(spark, ("S", {"A1": 1})), sheets, spark.createDataFrame([("w", "p", 1, macros, False, False, None)], WORKBOOKS))
+
+    c = workflows.compare(side("visible", False), side("hidden", True))
+    assert found(c.structure.fillna("-"), "change", "sheet") == [("macros_added", "-"), ("visibility_changed", "S")]
+
+
 def test_sheet_matching(spark):
     data = {f"A{r}": r for r in range(1, 5)} | {f"B{r}": f"=A{r}*2" for r in range(1, 7)}
     old = sheet(spark, ("Keep", {"A1": 1}), ("Data", data), ("Exact", {"A1": 7}), ("Gone", {"A1": 9}))
