@@ -169,3 +169,36 @@ def translated(formula: str, rows: int, cols: int) -> str | None:
             piece = piece[:cut] + ":".join(ends)
         out.append(piece)
     return "".join(out)
+
+
+_BARE_SHEET = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+
+
+def sheets_renamed(formula: str, names: dict[str, str]) -> str:
+    """The formula with its references to sheets by their new names, all at once, so that swaps and chains come out right; an opaque one as it is.
+
+    What stood in quotes stays in quotes.
+    """
+    out, at = ["="], 1
+    while at < len(formula):
+        found = _LEXICON.match(formula, at)
+        if not found:
+            return formula
+        piece, at = found[0], found.end()
+        if found.lastgroup in ("ref", "name") and "!" in piece:
+            external, sheet, rest = split_sheet(piece)
+            if external is None and sheet in names:
+                new = names[sheet]
+                quoted = new if _BARE_SHEET.fullmatch(new) and piece[0] != "'" else "'" + new.replace("'", "''") + "'"
+                piece = f"{quoted}!{rest}"
+        out.append(piece)
+    return "".join(out)
+
+
+def _renamed(formula: pd.Series, moves: pd.Series) -> pd.Series:
+    return pd.Series([sheets_renamed(f, {m["old_sheet"]: m["new_sheet"] for m in own}) for f, own in zip(formula, moves, strict=True)])
+
+
+def renamed(formula: Column, moves: Column) -> Column:
+    """:func:`sheets_renamed` with the new names in an array of {old_sheet, new_sheet}."""
+    return F.pandas_udf(_renamed, "string")(formula, moves)

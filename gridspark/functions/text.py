@@ -29,6 +29,10 @@ def normalized(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(folded(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
+#: Decimal numbers alone: a cast would also take type suffixes and hexadecimal.
+_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
+
+
 def numeric(c: Column, kind: DataType) -> Column:
     """The value as a double; null if it is none, NaN included."""
     if isinstance(kind, NumericType):
@@ -36,7 +40,8 @@ def numeric(c: Column, kind: DataType) -> Column:
     elif isinstance(kind, BooleanType):
         out = c.cast("int").cast("double")
     elif isinstance(kind, StringType):
-        out = stripped(c).try_cast("double")
+        plain = stripped(c)
+        out = F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
     else:
         return F.lit(None).cast("double")
     return F.when(~F.isnan(out), out)
@@ -70,17 +75,28 @@ def transliterated(c: Column) -> Column:
     return out
 
 
-# Markers of currencies in number formats, the first that is found counts.
-CURRENCIES = [("€", "EUR"), ("EUR", "EUR"), ("£", "GBP"), ("GBP", "GBP"), ("лв", "BGN"), ("BGN", "BGN"), ("$", "USD"), ("USD", "USD")]
+# Markers of currencies in folded number formats, the first that is found counts.
+CURRENCIES = [("€", "EUR"), ("eur", "EUR"), ("лв", "BGN"), ("bgn", "BGN"), ("$", "USD"), ("usd", "USD"), ("£", "GBP"), ("gbp", "GBP")]
+SYMBOLS = {"EUR": "€", "USD": "$", "GBP": "£", "BGN": "лв "}
 
 
 def currency(number_format: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """The code of the currency that a number format shows, whatever its case."""
+    out, plain = F.lit(None).cast("string"), F.lower(number_format)
     for marker, code in reversed(CURRENCIES):
-        out = F.when(number_format.contains(marker), F.lit(code)).otherwise(out)
+        out = F.when(plain.contains(marker), F.lit(code)).otherwise(out)
     return out
 
 
+def formatted(value: Column, code: Column | None = None, count: bool = False) -> Column:
+    """A number as it is shown to a reader: ``n/a`` for null, groups of thousands, two decimals unless both are 0, the currency's sign before it."""
+    shown = F.format_number(value, 0) if count else F.regexp_replace(F.format_number(value, 2), r"\.00$", "")
+    if code is not None:
+        for name, symbol in SYMBOLS.items():
+            shown = F.when(code == name, F.concat(F.lit(symbol), shown)).otherwise(shown)
+    return F.coalesce(shown, F.lit("n/a"))
+
+
 def display_decimals(number_format: Column) -> Column:
     """How many decimals a fixed-decimal number format shows; null for formats that show none fixed.
 
@@ -93,18 +109,26 @@ def display_decimals(number_format: Column) -> Column:
     return F.when(~no_number & ~decimals.rlike("[#?]"), F.length(decimals))
 
 
-#: Decimals that :func:`display_rounded` knows; a scale must be a literal.
-MAX_DECIMALS = 6
+#: Decimals that stored figures are held with; formats with more show them as they are.
+DECIMALS = 12
+#: Figures from here on have no exact form, so that the sums of a whole column still have one.
+EXACT_BELOW = 9e17
 
 
 def exact(c: Column) -> Column:
-    """A double as the decimal that its shortest text names."""
-    return c.cast("string").cast("decimal(38,12)")
+    """A double as the decimal that its shortest text names, up to ``DECIMALS`` places; null from ``EXACT_BELOW`` on."""
+    return F.when(F.abs(c) < EXACT_BELOW, c.cast("string").try_cast(f"decimal(36,{DECIMALS})"))
+
+
+def display_unit(decimals: Column) -> Column:
+    """The least step that so many decimals show; null of null."""
+    steps = F.array(*[F.lit(f"{10**-d:.{DECIMALS}f}").cast(f"decimal(13,{DECIMALS})") for d in range(DECIMALS + 1)])
+    return F.when(decimals.isNotNull(), F.get(steps, F.least(decimals, F.lit(DECIMALS))))
 
 
 def display_rounded(c: Column, decimals: Column) -> Column:
     """A double as it is displayed: half away from zero, from its shortest decimal text."""
-    out = F.lit(None).cast("decimal(38,12)")
-    for d in range(MAX_DECIMALS, -1, -1):
-        out = F.when(decimals == d, F.round(exact(c), d).cast("decimal(38,12)")).otherwise(out)
-    return out
+    unit = display_unit(decimals)
+    up = F.abs(exact(c)) + unit * F.lit("0.5").cast("decimal(2,1)")
+    size = (up - up % unit).cast(f"decimal(36,{DECIMALS})")
+    return F.when(c < 0, -size).otherwise(size)

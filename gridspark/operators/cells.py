@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import text
-from gridspark.functions.formula import matching_shift, parsed
+from gridspark.functions.formula import coordinate, matching_shift, parsed
 from gridspark.operators.table import TRUTH, type_of
 
 #: kind: n number, s text, b boolean, d date, e error literal; null for a formula without a saved value.
@@ -54,14 +54,33 @@ def _totals_word() -> Column:
     return (F.col("kind") == "s") & (F.get(words, F.lit(0)).isin(*TOTALS) | F.concat_ws(" ", F.slice(words, 1, 2)).isin(*TOTALS))
 
 
-def tables(cells: DataFrame) -> DataFrame:
-    """Detected tables: the block's columns, ``header_row``, ``header_rows``, ``first_data``, ``last_data`` and ``total_rows``.
+def _declared_tables(spans: DataFrame, declared: DataFrame) -> DataFrame:
+    """Blocks inside a declared table that shares a column with them and has room for data; of several, the first on the sheet."""
+    room = F.col("row2") - F.col("totals_rows") >= F.col("row1") + F.col("header_rows")
+    inside = (F.col("row1") <= F.col("first_row")) & (F.col("last_row") <= F.col("row2")) & (F.col("col2") >= F.col("first_col")) & (F.col("col1") <= F.col("last_col"))
+    first = Window.partitionBy(*SHEET, "block").orderBy("row1", "col1", "name")
+    found = spans.join(declared, SHEET).where(room & inside).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    totals = F.when(F.col("totals_rows") > 0, F.sequence(F.col("row2") - F.col("totals_rows") + 1, F.col("row2"))).otherwise(F.array().cast("array<int>"))
+    return found.select(
+        *SHEET, "block", F.col("col1").alias("first_col"), F.col("col2").alias("last_col"), F.col("row1").alias("header_row"), F.col("header_rows"), (F.col("row1") + F.col("header_rows")).alias("first_data"), F.col("row2").alias("last_data"),
+        totals.alias("total_rows"), "first_row", "last_row", F.lit(True).alias("exact"),
+    )
+
+
+def tables(cells: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Tables: the block's columns and rows, ``header_row``, ``header_rows``, ``first_data``, ``last_data``, ``total_rows`` and ``rows_total``.
 
-    The header is the first of a block's first three rows with enough cells of which most are text; a second header row is one of
+    A block inside one of the ``declared`` tables (:data:`gridspark.operators.graph.DECLARED`) is what is declared (``exact``).  Elsewhere the
+    header is the first of a block's first three rows with enough cells of which most are text; a second header row is one of
     texts that is followed by one of values.  Totals rows hold a cell that begins with a totals word.  Blocks of under three rows, or
     with fewer than two rows of data, are no tables.
     """
-    spans = blocks(cells).where(F.col("last_row") - F.col("first_row") + 1 >= MIN_BLOCK_ROWS)
+    keys = [*SHEET, "block"]
+    spans = blocks(cells)
+    exact = None if declared is None else _declared_tables(spans, declared)
+    if exact is not None:
+        spans = spans.join(exact.select(*keys), keys, "left_anti")
+    spans = spans.where(F.col("last_row") - F.col("first_row") + 1 >= MIN_BLOCK_ROWS)
     is_text = (F.col("kind") == "s") & F.col("formula").isNull()
     rows = cells.groupBy(*SHEET, "row").agg(F.count("*").alias("n"), F.count_if(is_text).alias("n_text"), F.max(_totals_word()).alias("total"))
     inside = rows.join(spans, SHEET).where("row between first_row and last_row")
@@ -71,32 +90,68 @@ def tables(cells: DataFrame) -> DataFrame:
     width = F.col("last_col") - F.col("first_col") + 1
     fits = (F.col("row") < F.col("first_row") + HEADER_ROWS) & (F.col("n") >= F.greatest(F.lit(2), F.floor(width / 2))) & (F.col("share") >= TEXT_ROW)
     double = (F.col("next") >= TEXT_ROW) & (F.col("after") < TEXT_ROW)
-    keys = [*SHEET, "block"]
     header = seen.where(fits).groupBy(*keys).agg(F.min(F.struct("row", F.when(double, 2).otherwise(1).alias("rows"))).alias("h")).select(*keys, F.col("h.row").alias("header_row"), F.col("h.rows").alias("header_rows"))
     data = inside.join(header, keys).where(F.col("row") >= F.col("header_row") + F.col("header_rows"))
-    found = data.groupBy(*keys, "first_col", "last_col", "header_row", "header_rows").agg(F.min("row").alias("first_data"), F.max("row").alias("last_data"), F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("total"), F.col("row")))).alias("total_rows"))
-    return found.where((F.col("_n") >= MIN_BODY_ROWS) & (F.col("_n") - F.size("total_rows") >= MIN_BODY_ROWS)).drop("_n")
+    found = data.groupBy(*keys, "first_col", "last_col", "header_row", "header_rows", "first_row", "last_row").agg(F.min("row").alias("first_data"), F.max("row").alias("last_data"), F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("total"), F.col("row")))).alias("total_rows"))
+    found = found.where((F.col("_n") >= MIN_BODY_ROWS) & (F.col("_n") - F.size("total_rows") >= MIN_BODY_ROWS)).drop("_n").withColumn("exact", F.lit(False))
+    both = found if exact is None else found.unionByName(exact)
+    return both.withColumn("rows_total", F.col("last_data") - F.col("first_data") + 1)
+
+
+#: Words in a header that make its column look like an identifier.
+IDENTIFIERS = ("id", "no", "number", "номер", "код", "code")
+SAMPLES, SAMPLE_CHARS = 3, 40
+
+
+def shown_value() -> Column:
+    """A cell's value as a reader sees it: whole numbers without decimals."""
+    whole = (F.col("num") == F.floor("num")) & (F.abs("num") < 1e15)
+    return F.coalesce("str", F.when(whole, F.col("num").cast("long").cast("string")).otherwise(F.col("num").cast("string")), F.col("ts").cast("string"))
 
 
 def table_columns(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """A row for each column of :func:`tables`: ``name``, ``type``, ``currency``, ``n_present``, ``n_missing`` and ``n_distinct``.
+    """A row for each column of :func:`tables`: ``name``, ``type``, ``number_format``, ``currency``, ``n_present``, ``n_missing``, ``n_distinct``, ``samples`` and ``identifier``.
 
-    Of number formats, the most frequent counts; ties go to the least.
+    Of number formats, the most frequent counts; ties go to the least hash.  ``samples`` are the first distinct values; a column is an
+    identifier if its header says so and its values are all distinct, or numbers, or texts.
     """
     keys = [*SHEET, "block", "col"]
-    inside = cells.join(found, SHEET).where("col between first_col and last_col and row between header_row and last_data")
-    heads = inside.where(F.col("row") < F.col("first_data")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.coalesce("str", F.col("num").cast("string")).alias("name")))), lambda x: x["name"]), " / ").alias("name"))
-    body = inside.where((F.col("row") >= F.col("first_data")) & ~F.array_contains("total_rows", F.col("row")) & F.col("kind").isNotNull())
+    inside = cells.join(found, SHEET).where("col between first_col and last_col and row between least(header_row, first_data) and last_data")
+    heads = inside.where((F.col("row") < F.col("first_data")) & F.col("kind").isNotNull()).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", shown_value().alias("name")))), lambda x: x["name"]), " / ").alias("name"))
+    low, high = F.greatest("first_data", "first_row"), F.least("last_data", "last_row")
+    body = inside.where((F.col("row") >= low) & (F.col("row") <= high) & ~F.array_contains("total_rows", F.col("row")) & F.col("kind").isNotNull())
     formats = body.groupBy(*keys, "number_format").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("number_format", F.struct("n", F.hash("number_format"))).alias("number_format"))
     kind = F.col("kind")
     counts = body.groupBy(*keys).agg(
         F.count("*").alias("n_present"), F.count_distinct(value_text()).alias("n_distinct"), F.count_if(kind == "d").alias("_d"), F.count_if(kind == "n").alias("_n"),
         F.count_if((kind == "b") | ((kind == "s") & text.folded(F.col("str")).isin(*TRUTH))).alias("_b"), F.count_if(kind == "s").alias("_s"),
     )
-    size = F.col("last_data") - F.col("first_data") + 1 - F.size("total_rows")
-    out = heads.join(counts, keys, "left").join(formats, keys, "left").join(found.select(*SHEET, "block", size.alias("_rows")), [*SHEET, "block"]).fillna(0, ["n_present", "n_distinct", "_d", "_n", "_b", "_s"])
+    seen = body.groupBy(*keys, F.substring(shown_value(), 1, SAMPLE_CHARS).alias("_v")).agg(F.min("row").alias("_at"))
+    seen = seen.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))).where(F.col("_k") <= SAMPLES)
+    samples = seen.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("samples"))
+    totals = F.size(F.filter("total_rows", lambda r: (r >= low) & (r <= high)))
+    sizes = found.select(*SHEET, "block", (high - low + 1 - totals).alias("_rows"))
+    # Columns are those with a cell, and in a declared table all of it.
+    listed = inside.select(*keys).union(found.where("exact").select(*SHEET, "block", F.explode(F.sequence("first_col", "last_col")))).distinct()
+    out = listed.join(heads, keys, "left").join(counts, keys, "left").join(formats, keys, "left").join(samples, keys, "left").join(sizes, [*SHEET, "block"]).fillna(0, ["n_present", "n_distinct", "_d", "_n", "_b", "_s"])
     sort = type_of(F.col("n_present"), F.col("_d"), F.col("_n"), F.col("_b"), F.col("_s"), F.col("n_distinct"), F.col("number_format"))
-    return out.select(*keys, "name", sort.alias("type"), F.when(sort == "currency", text.currency(F.col("number_format"))).alias("currency"), "n_present", (F.col("_rows") - F.col("n_present")).alias("n_missing"), "n_distinct")
+    named = out.withColumns({"name": F.coalesce("name", F.concat(F.lit("Column "), F.regexp_extract(coordinate(F.lit(1), F.col("col")), "[A-Z]+", 0))), "type": sort})
+    word = text.normalized(F.col("name"))
+    says = F.arrays_overlap(F.split(word, " "), F.array(*map(F.lit, IDENTIFIERS))) | F.arrays_overlap(F.split(text.transliterated(word), " "), F.array(*[F.lit("".join(text.CYRILLIC.get(c, c) for c in w)) for w in IDENTIFIERS]))
+    identifier = (F.col("n_present") >= 3) & says & ((F.col("n_distinct") == F.col("n_present")) | F.col("type").isin("number", "text"))
+    currency = F.when(F.col("type") == "currency", text.currency(F.col("number_format"))).alias("currency")
+    return named.select(*keys, "name", "type", "number_format", currency, "n_present", (F.col("_rows") - F.col("n_present")).alias("n_missing"), "n_distinct", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), identifier.alias("identifier"))
+
+
+def table_notes(found: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``wb``, ``sheet``, ``block`` (null for a whole sheet) and ``note``: declared tables, merged ranges over a table, sheets that are not visible."""
+    merged = sheets.select(*SHEET, F.posexplode("merged").alias("_k", "_m")).select(*SHEET, "_k", "_m", F.regexp_extract("_m", r"^\$?[A-Z]+\$?(\d+)", 1).try_cast("int").alias("_a"), F.regexp_extract("_m", r"(\d+)$", 1).try_cast("int").alias("_b"))
+    met = found.join(merged, SHEET).where("_b >= least(header_row, first_data) and _a <= last_data").groupBy(*SHEET, "block").agg(F.array_sort(F.collect_list(F.struct("_k", "_m"))).alias("_l"))
+    named = F.array_join(F.transform(F.slice("_l", 1, 3), lambda x: x["_m"]), ", ")
+    over = met.select(*SHEET, "block", F.concat(F.lit("Merged ranges overlap this table: "), named).alias("note"))
+    exact = found.where("exact").select(*SHEET, "block", F.lit("Header and totals rows are as declared in the workbook").alias("note"))
+    hidden = sheets.where("visibility <> 'visible'").select(*SHEET, F.lit(None).cast("int").alias("block"), F.concat(F.lit("The sheet is "), "visibility").alias("note"))
+    return over.union(exact).union(hidden)
 
 
 def runs(parsed_cells: DataFrame, along: str, across: str) -> DataFrame:

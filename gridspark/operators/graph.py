@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.formula import parsed
+from gridspark.functions.formula import column_letters, parsed
 from gridspark.operators.cells import ADDRESS, SHEET
 
 MAX_RANGE_CELLS = 10_000
@@ -26,6 +26,7 @@ OUTPUT_SHEETS = ("summary", "dashboard", "report", "p&l", "pnl", "balance", "cas
 OUTPUT_LABELS = ("total", "ebitda", "revenue", "profit", "cash", "margin", "net", "subtotal")
 
 NAMES = "wb string, name string, scope string, refers_to string"
+LINKS = "wb string, nth int, target string"
 DECLARED = "wb string, sheet string, name string, row1 int, col1 int, row2 int, col2 int, header_rows int, totals_rows int"
 
 
@@ -53,11 +54,48 @@ def references(parsed_cells: DataFrame) -> DataFrame:
     return parsed_cells.where("formula is not null").select(*ADDRESS, F.posexplode("f.refs").alias("nth", "ref"))
 
 
+def link_targets(parsed_cells: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``wb``, ``target`` and ``place`` (by which they sort): the workbook's link targets, then what formulas refer to in other files.
+
+    ``links`` is the relation :data:`LINKS`, numbered from 1; a formula's ``[n]`` stands for the n-th of them.
+    """
+    links = links if links is not None else parsed_cells.sparkSession.createDataFrame([], LINKS)
+    refs = parsed_cells.where("formula is not null").select("wb", "sheet_no", "row", "col", F.posexplode("f.refs").alias("nth", "ref"))
+    used = refs.where("ref.external <> ''").groupBy("wb", F.col("ref.external").alias("_marker")).agg(F.min(F.struct("sheet_no", "row", "col", "nth")).alias("_at"))
+    told = used.join(links.select("wb", F.col("nth").cast("string").alias("_marker"), "target"), ["wb", "_marker"], "left")
+    place = lambda k, at: F.concat(F.array(F.lit(k)), F.array(*at)).alias("place")
+    found = told.select("wb", F.coalesce("target", "_marker").alias("target"), place(1, ["_at.sheet_no", "_at.row", "_at.col", "_at.nth"]))
+    own = links.select("wb", "target", place(0, ["nth", F.lit(0), F.lit(0), F.lit(0)]))
+    return own.union(found).groupBy("wb", "target").agg(F.min("place").alias("place"))
+
+
+def _table_areas(parsed_cells: DataFrame, declared: DataFrame) -> DataFrame:
+    """``wb``, ``_table``, ``_column`` (empty: the whole table) and the ``_areas`` of rows of data that they stand for.
+
+    Header and totals rows are left out; where no totals row is declared, one is told by a formula in the last row that uses the table.
+    A column is known if one header cell has its text.  A table without rows of data stands for no area.
+    """
+    sheet, upper = F.col("sheet").alias("_sheet"), F.upper("name").alias("_table")
+    known = declared.select("wb", sheet, upper, "row1", "col1", "row2", "col2", "header_rows", "totals_rows")
+    at = parsed_cells.select("wb", sheet, F.col("row").alias("_row"), F.col("col").alias("_col"), F.upper(F.trim("str")).alias("_column"), F.upper("formula").alias("_formula"))
+    cells = known.join(at, ["wb", "_sheet"]).where("_col between col1 and col2")
+    own = cells.where("totals_rows = 0 and _row = row2 and contains(_formula, _table)").select("wb", "_table").distinct().withColumn("_own", F.lit(1))
+    data = known.join(own, ["wb", "_table"], "left").withColumns({"_first": F.col("row1") + F.col("header_rows"), "_last": F.col("row2") - F.col("totals_rows") - F.coalesce("_own", F.lit(0))})
+
+    def area(low: str, high: str) -> Column:
+        one = F.struct(F.lit(None).cast("string").alias("text"), F.col("_sheet").alias("sheet"), F.lit(None).cast("string").alias("external"), F.col("_first").alias("row1"), F.col(low).alias("col1"), F.col("_last").alias("row2"), F.col(high).alias("col2"), F.lit(True).alias("is_range"))
+        return F.when(F.col("_first") <= F.col("_last"), F.array(one)).otherwise(F.filter(F.array(one), lambda x: F.lit(False))).alias("_areas")
+
+    heads = cells.where("header_rows >= 1 and _row = row1 + header_rows - 1 and _column is not null").groupBy("wb", "_table", "_column").agg(F.count("*").alias("_n"), F.min("_col").alias("_col")).where("_n = 1")
+    whole = data.select("wb", "_table", F.lit("").alias("_column"), area("col1", "col2"))
+    return heads.join(data, ["wb", "_table"]).select("wb", "_table", "_column", area("_col", "_col")).union(whole)
+
+
 def _name_areas(parsed_cells: DataFrame, names: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references that names and table columns stand for, addresses of formulas with a name that cannot be resolved).
 
     A name of the formula's own sheet goes before one of the workbook.  A name is resolved if it is a constant or nothing but
-    areas with a sheet; ``Table[Column]`` if the table is declared and one header cell has that text.
+    areas with a sheet; ``Table[Column]`` and ``Table[]`` as :func:`_table_areas` tells.
     """
     used = parsed_cells.where("size(f.names) > 0").select(*ADDRESS, F.explode("f.names").alias("token"))
     token = F.upper("token")
@@ -66,17 +104,9 @@ def _name_areas(parsed_cells: DataFrame, names: DataFrame, declared: DataFrame)
     known = known.select("wb", "_name", "_scope", F.when(good, F.col("p.refs")).alias("areas")).dropDuplicates(["wb", "_name", "_scope"])
     local = known.where("_scope is not null").toDF("wb", "_name", "_scope", "_local")
     everywhere = known.where("_scope is null").select("wb", "_name", F.col("areas").alias("_global"), F.lit(True).alias("_is_global"))
-    table = F.regexp_extract("token", r"^([^\[]+)\[([^\[\]#@:']+)\]$", 1)
-    column = F.regexp_extract("token", r"^([^\[]+)\[([^\[\]#@:']+)\]$", 2)
+    table, column = (F.regexp_extract("token", r"^([^\[]+)\[([^\[\]#@:']*)\]$", k) for k in (1, 2))
     used = used.select("*", token.alias("_name"), F.upper("sheet").alias("_scope"), F.upper(table).alias("_table"), F.upper(F.trim(column)).alias("_column"))
-    heads = (
-        declared.where("header_rows >= 1").select("wb", F.col("sheet").alias("_sheet"), F.upper("name").alias("_table"), "row1", "col1", "row2", "col2", "header_rows", "totals_rows")
-        .join(parsed_cells.select("wb", F.col("sheet").alias("_sheet"), F.col("row").alias("_row"), F.col("col").alias("_col"), F.upper(F.trim("str")).alias("_column")), ["wb", "_sheet"])
-        .where("_row = row1 + header_rows - 1 and _col between col1 and col2 and _column is not null")
-        .groupBy("wb", "_table", "_column").agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(None).cast("string").alias("text"), F.col("_sheet").alias("sheet"), F.lit(None).cast("string").alias("external"), (F.col("row1") + F.col("header_rows")).alias("row1"), F.col("_col").alias("col1"), (F.col("row2") - F.col("totals_rows")).alias("row2"), F.col("_col").alias("col2"), F.lit(True).alias("is_range"))).alias("_area"))
-        .where("_n = 1").select("wb", "_table", "_column", F.array("_area").alias("_areas"))
-    )
-    seen = used.join(local, ["wb", "_name", "_scope"], "left").join(everywhere, ["wb", "_name"], "left").join(heads, ["wb", "_table", "_column"], "left")
+    seen = used.join(local, ["wb", "_name", "_scope"], "left").join(everywhere, ["wb", "_name"], "left").join(_table_areas(parsed_cells, declared), ["wb", "_table", "_column"], "left")
     areas = seen.select(*ADDRESS, F.coalesce("_local", F.when(F.col("_table") == "", F.col("_global")), "_areas").alias("areas"))
     return areas.where("areas is not null").select(*ADDRESS, F.explode("areas").alias("ref")), areas.where("areas is null").select(*ADDRESS).distinct()
 
@@ -84,9 +114,11 @@ def _name_areas(parsed_cells: DataFrame, names: DataFrame, declared: DataFrame)
 def areas(parsed_cells: DataFrame, names: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """What each formula refers to, as intervals: its address, ``to_sheet``, ``row1``, ``col1``, ``row2``, ``col2`` and ``truncated``."""
     spark = parsed_cells.sparkSession
+    direct = references(parsed_cells).select(*ADDRESS, "ref")
+    if names is None and declared is None:
+        return _area(direct, used_ranges(parsed_cells))
     names = names if names is not None else spark.createDataFrame([], NAMES)
     declared = declared if declared is not None else spark.createDataFrame([], DECLARED)
-    direct = references(parsed_cells).select(*ADDRESS, "ref")
     return _area(direct.unionByName(_name_areas(parsed_cells, names, declared)[0]), used_ranges(parsed_cells))
 
 
@@ -156,12 +188,17 @@ def _reached(after: _Next, root: int, n: int) -> np.ndarray:
     return seen
 
 
+#: Examples that :func:`impact` lists.
+DIRECT_CELLS, OUTPUT_CELLS = 20, 10
 _FROM, _TO = ("sheet", "row", "col"), ("to_sheet", "to_row", "to_col")
-IMPACT = "wb string, sheet string, row int, col int, direct long, transitive long, sheets array<string>, outputs long, circular boolean"
+IMPACT = "wb string, sheet string, row int, col int, direct long, transitive long, sheets array<string>, outputs long, circular boolean, direct_cells array<string>, output_cells array<string>"
 
 
 def impact(edge_rows: DataFrame, roots: DataFrame, outputs: DataFrame) -> DataFrame:
-    """For each address in ``roots``: direct and transitive dependents, the sheets they are on, how many look like outputs, and if it is in a cycle."""
+    """For each address in ``roots``: direct and transitive dependents, the sheets they are on, how many look like outputs, and if it is in a cycle.
+
+    The first of its direct dependents and outputs, by sheet and address as text, are listed.
+    """
     flagged = edge_rows.join(outputs.select("wb", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("output")), ["wb", *_TO], "left")
 
     def walk(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -175,11 +212,15 @@ def impact(edge_rows: DataFrame, roots: DataFrame, outputs: DataFrame) -> DataFr
         for r in asked.drop_duplicates().itertuples(index=False):
             at = place.get((r.sheet, r.row, r.col)) if len(graph) else None
             if at is None:
-                rows.append((key[0], r.sheet, r.row, r.col, 0, 0, [], 0, False))
+                rows.append((key[0], r.sheet, r.row, r.col, 0, 0, [], 0, False, [], []))
             else:
                 seen = _reached(after, at, len(nodes))
-                rows.append((key[0], r.sheet, r.row, r.col, int(after.at[at + 1] - after.at[at]), int(seen.sum()), sorted(set(sheet[seen])), int((seen & is_output).sum()), bool(seen[at])))
-        return pd.DataFrame(rows, columns=["wb", "sheet", "row", "col", "direct", "transitive", "sheets", "outputs", "circular"])
+                rows.append((key[0], r.sheet, r.row, r.col, int(after.at[at + 1] - after.at[at]), int(seen.sum()), sorted(set(sheet[seen])), int((seen & is_output).sum()), bool(seen[at]), shown(nodes, after.of(np.array([at])), DIRECT_CELLS), shown(nodes, np.flatnonzero(seen & is_output), OUTPUT_CELLS)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in IMPACT.split(", ")])
+
+    def shown(nodes, at: np.ndarray, most: int) -> list[str]:
+        named = sorted((sheet, f"{column_letters(col)}{row}") for sheet, row, col in nodes[at])
+        return [f"{sheet}!{cell}" for sheet, cell in named[:most]]
 
     # Both sides may stem from the same cells; new aliases keep their columns apart.
     left, right = flagged.select(*[F.col(c).alias(c) for c in flagged.columns]), roots.select(*[F.col(c).alias(c) for c in ADDRESS])

@@ -7,8 +7,9 @@ are part of what a rule reports.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from gridspark.functions.formula import coordinate
 from gridspark.operators import cells as grid
 from gridspark.operators import graph
 from gridspark.operators.cells import ADDRESS, SHEET
+from gridspark.session import saved
 
 FINDINGS = "wb string, rule string, severity string, confidence string, sheet string, sheet_no int, row int, col int, evidence string"
 SEVERITIES = ("info", "low", "medium", "high", "critical")
@@ -36,17 +38,36 @@ MAX_RUN = 200
 
 @dataclass
 class Audit:
-    """What rules read.  ``sheets`` and ``workbooks`` are the metadata relations of a source; each may be missing."""
+    """What rules read.  All but ``cells`` are the metadata relations of a source; each may be missing."""
 
     cells: DataFrame
     sheets: DataFrame | None = None
     workbooks: DataFrame | None = None
     names: DataFrame | None = None
     declared: DataFrame | None = None
+    links: DataFrame | None = None
 
     def __post_init__(self):
         self.parsed = grid.with_formulas(self.cells)
 
+    # What several rules read; a caller may put working tables in their place.
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """``wb``, ``sheet`` and ``sheet_no``."""
+        return self.cells.select(*SHEET, "sheet_no").distinct()
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return grid.pattern_gaps(self.parsed).join(self.numbered, SHEET)
+
+    @cached_property
+    def areas(self) -> DataFrame:
+        return graph.areas(self.parsed, self.names, self.declared)
+
+    @cached_property
+    def edge_rows(self) -> DataFrame:
+        return graph.edges(self.areas, self.cells)
+
 
 Rule = Callable[[Audit], DataFrame]
 RULES: dict[str, Rule] = {}
@@ -87,14 +108,13 @@ def broken_references(a: Audit) -> DataFrame:
 @rule("EA-CIR-001")
 def circular_references(a: Audit) -> DataFrame:
     """One finding for each cycle, at its first cell, and for each formula inside its own range that is in no other cycle."""
-    spans = graph.areas(a.parsed, a.names, a.declared)
-    found = graph.edges(spans, a.cells)
-    found = found.where(~((F.col("sheet") == F.col("to_sheet")) & (F.col("row") == F.col("to_row")) & (F.col("col") == F.col("to_col"))))
+    spans = a.areas
+    found = a.edge_rows.where(~((F.col("sheet") == F.col("to_sheet")) & (F.col("row") == F.col("to_row")) & (F.col("col") == F.col("to_col"))))
     loops = graph.cycles(found)
     members = F.slice(F.array_sort(F.collect_list(F.struct("sheet", "row", "col"))), 1, 20)
     cycle = loops.groupBy("wb", "cycle").agg(members.alias("m"), F.count("*").alias("n")).select("wb", F.col("m")[0]["sheet"].alias("sheet"), F.col("m")[0]["row"].alias("row"), F.col("m")[0]["col"].alias("col"), "n", "m")
     alone = graph.self_loops(spans).join(loops.select(*ADDRESS), ADDRESS, "left_anti").select(*ADDRESS, F.lit(1).cast("long").alias("n"), F.array(F.struct("sheet", "row", "col")).alias("m"))
-    numbered = cycle.unionByName(alone).join(a.cells.select(*SHEET, "sheet_no").distinct(), SHEET)
+    numbered = cycle.unionByName(alone).join(a.numbered, SHEET)
     return _finding(numbered, "EA-CIR-001", "high", "high", {"cells": F.col("n"), "members": F.transform("m", lambda x: F.concat(x["sheet"], F.lit("!"), coordinate(x["row"], x["col"])))})
 
 
@@ -111,8 +131,12 @@ def error_values(a: Audit) -> DataFrame:
 
 @rule("EA-EXT-001")
 def external_links(a: Audit) -> DataFrame:
-    refs = graph.references(a.parsed).where("ref.external is not null").groupBy("wb").agg(F.array_sort(F.collect_set("ref.external")).alias("targets"), F.count_distinct("sheet", "row", "col").alias("cells"))
-    return _finding(refs, "EA-EXT-001", "medium", "high", {"targets": F.slice("targets", 1, 20), "cells": F.col("cells")})
+    """One finding for each workbook with link targets or formulas that refer to other files."""
+    used = graph.references(a.parsed).where("ref.external is not null")
+    cells = used.groupBy("wb").agg(F.count_distinct("sheet", "row", "col").alias("cells"))
+    targets = graph.link_targets(a.parsed, a.links).groupBy("wb").agg(F.array_sort(F.collect_list(F.struct("place", "target"))).alias("t"))
+    found = targets.join(cells, "wb", "left")
+    return _finding(found, "EA-EXT-001", "medium", "high", {"targets": F.transform(F.slice("t", 1, 10), lambda x: x["target"]), "cells": F.coalesce("cells", F.lit(0))})
 
 
 @rule("EA-HRD-001")
@@ -144,7 +168,7 @@ def hidden_data(a: Audit) -> DataFrame:
 
 
 def _gaps(a: Audit, anomaly: str) -> DataFrame:
-    return grid.pattern_gaps(a.parsed).where(F.col("anomaly") == anomaly).join(a.cells.select(*SHEET, "sheet_no").distinct(), SHEET)
+    return a.gaps.where(F.col("anomaly") == anomaly)
 
 
 @rule("EA-PAT-001")
@@ -175,46 +199,61 @@ _workbook("EA-OPQ-003", "is_protected", "info")
 _workbook("EA-RND-002", "full_precision = false", "medium")
 
 
-def totals(a: Audit) -> DataFrame:
-    """Totals with what they add up: ``total`` {row, col}, ``of`` (formula, above or left) and each component's value and format.
+def _figures(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``d`` (decimals that are shown), ``stored`` and ``displayed``; the latter are null where a figure has no exact form."""
+    d = text.display_decimals(F.coalesce("number_format", F.lit("")))
+    shown = cells.withColumn("d", F.when(F.col("kind") == "n", d))
+    return shown.withColumns({"stored": F.when(F.col("d").isNotNull(), text.exact(F.col("num"))), "displayed": F.when(F.col("d").isNotNull(), text.display_rounded(F.col("num"), F.col("d")))})
 
-    Formulas with one area on their own sheet under SUM or SUBTOTAL; numbers under or right of a run of up to ``MAX_RUN`` numbers.
-    """
+
+_SUMS = ("n", "n_bad", "sum_stored", "sum_displayed")
+
+
+def formula_totals(a: Audit) -> DataFrame:
+    """Addresses of formulas with one area on their own sheet under SUM or SUBTOTAL, and the sums of what is in the area."""
     formula = a.parsed.where("size(f.refs) = 1").where(F.arrays_overlap("f.functions", F.array(*map(F.lit, TOTALS)))).withColumn("ref", F.col("f.refs")[0])
     own = formula.where("ref.external is null and ref.is_range and ref.row1 is not null and ref.col1 is not null and (ref.sheet is null or upper(ref.sheet) = upper(sheet))")
-    spans = own.select(*SHEET, F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.least("ref.row1", "ref.row2").alias("row1"), F.greatest("ref.row1", "ref.row2").alias("row2"), F.least("ref.col1", "ref.col2").alias("col1"), F.greatest("ref.col1", "ref.col2").alias("col2"), F.lit("formula").alias("of"))
-    numbers = a.cells.where("kind = 'n'").select(*ADDRESS)
-    constant = a.cells.where("kind = 'n' and formula is null").where(text.display_decimals(F.col("number_format")).isNotNull()).select(*ADDRESS)
-    for along, across, of in (("row", "col", "above"), ("col", "row", "left")):
-        run = grid.islands(numbers, [*SHEET, across], along).groupBy(*SHEET, across, "island").agg(F.min(along).alias("_start"))
-        at = grid.islands(numbers, [*SHEET, across], along).join(run, [*SHEET, across, "island"]).join(constant, ADDRESS, "left_semi").where(F.col(along) > F.col("_start"))
-        low = F.greatest("_start", F.col(along) - MAX_RUN)
-        ends = {f"{along}1": low, f"{along}2": F.col(along) - 1, f"{across}1": F.col(across), f"{across}2": F.col(across)}
-        spans = spans.unionByName(at.select(*SHEET, F.col("row").alias("t_row"), F.col("col").alias("t_col"), *[v.cast("int").alias(k) for k, v in ends.items()], F.lit(of).alias("of")))
+    ends = {"row1": F.least("ref.row1", "ref.row2"), "row2": F.greatest("ref.row1", "ref.row2"), "col1": F.least("ref.col1", "ref.col2"), "col2": F.greatest("ref.col1", "ref.col2")}
     bins = F.explode(F.sequence(F.floor(F.col("row1") / graph.ROW_BIN), F.floor(F.col("row2") / graph.ROW_BIN))).alias("bin")
-    points = a.cells.select(*ADDRESS, "kind", "num", "number_format", F.floor(F.col("row") / graph.ROW_BIN).alias("bin"))
-    inside = spans.select("*", bins).join(points, [*SHEET, "bin"]).where("row between row1 and row2 and col between col1 and col2 and not (row = t_row and col = t_col)")
-    return inside.drop("bin")
+    spans = own.select(*SHEET, F.col("row").alias("t_row"), F.col("col").alias("t_col"), *[v.alias(k) for k, v in ends.items()]).select("*", bins)
+    points = _figures(a.cells).select(*ADDRESS, "stored", "displayed", F.floor(F.col("row") / graph.ROW_BIN).alias("bin"))
+    inside = spans.join(points, [*SHEET, "bin"]).where("row between row1 and row2 and col between col1 and col2 and not (row = t_row and col = t_col)")
+    sums = inside.groupBy(*SHEET, F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg(F.count("*").alias("n"), F.count_if(F.col("stored").isNull()).alias("n_bad"), F.sum("stored").alias("sum_stored"), F.sum("displayed").alias("sum_displayed"))
+    return sums.join(_figures(a.cells).where("stored is not null").select(*ADDRESS, "sheet_no", "d", "stored", "displayed"), ADDRESS)
+
+
+def run_totals(a: Audit, along: str, across: str) -> DataFrame:
+    """Addresses of numbers without a formula, and the sums of the run of up to ``MAX_RUN`` numbers right before them along an axis.
+
+    Sums of a run are differences of running sums, so a line of numbers is read once.
+    """
+    line = [*SHEET, across, "island"]
+    order = Window.partitionBy(*line).orderBy(along)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    run = grid.islands(_figures(a.cells.where("kind = 'n'")), [*SHEET, across], along)
+    zero = F.lit(0).cast("decimal(38,12)")
+    sofar = {
+        "_n": F.count(F.lit(1)).over(before), "_n_bad": F.count(F.when(F.col("stored").isNull(), 1)).over(before),
+        "_sum_stored": F.coalesce(F.sum("stored").over(before), zero), "_sum_displayed": F.coalesce(F.sum("displayed").over(before), zero),
+    }
+    read = run.withColumns(sofar)
+    within = {c: F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}", MAX_RUN).over(order), F.lit(0)) for c in _SUMS}
+    return read.withColumns(within).where("formula is null and stored is not null").select(*ADDRESS, *_SUMS, "sheet_no", "d", "stored", "displayed")
 
 
 @rule("EA-RND-001")
 def rounding_drift(a: Audit) -> DataFrame:
-    """Totals whose displayed components add up to another figure than is displayed, though the stored ones agree."""
-    decimals = text.display_decimals(F.coalesce("number_format", F.lit("")))
-    part = totals(a).withColumn("d", decimals)
-    usable = (F.col("kind") == "n") & F.col("d").isNotNull() & (F.col("d") <= text.MAX_DECIMALS)
-    sums = part.groupBy(*SHEET, "t_row", "t_col", "of").agg(
-        F.count("*").alias("n"), F.min(F.coalesce(usable, F.lit(False))).alias("ok"), F.sum(F.when(usable, text.exact(F.col("num")))).alias("stored"), F.sum(F.when(usable, text.display_rounded(F.col("num"), F.col("d")))).alias("displayed")
-    )
-    total = a.cells.where("kind = 'n'").select(*SHEET, "sheet_no", F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.col("num").alias("t_num"), decimals.alias("t_d"))
-    both = sums.where((F.col("n") >= MIN_COMPONENTS) & F.col("ok")).join(total, [*SHEET, "t_row", "t_col"]).where("t_d is not null").where(F.col("t_d") <= text.MAX_DECIMALS)
-    shown = text.display_rounded(F.col("t_num"), F.col("t_d"))
-    unit = F.pow(F.lit(10.0), -F.col("t_d")).cast("decimal(38,12)")
-    drift = F.col("displayed") - shown
-    hit = both.withColumns({"unit": unit, "drift": drift, "shown": shown}).where((F.abs(F.col("stored") - text.exact(F.col("t_num"))) < F.col("unit")) & (F.abs("drift") >= F.col("unit")))
-    first = hit.withColumn("_n", F.row_number().over(Window.partitionBy(*SHEET, "t_row", "t_col").orderBy(F.array_position(F.array(F.lit("formula"), F.lit("above"), F.lit("left")), F.col("of"))))).where("_n = 1")
-    placed = first.select(*SHEET, "sheet_no", F.col("t_row").alias("row"), F.col("t_col").alias("col"), "n", "drift", "displayed", "shown")
-    return _finding(placed, "EA-RND-001", "medium", "high", {"components": F.col("n"), "drift": F.col("drift").cast("double"), "displayed_sum": F.col("displayed").cast("double"), "displayed_total": F.col("shown").cast("double")}, 25)
+    """Totals whose displayed components add up to another figure than is displayed, though the stored ones agree.
+
+    A total is a SUM formula or a number under or right of a run of numbers.  It counts if it and all its components have formats with
+    fixed decimals and exact forms (see :func:`gridspark.functions.text.exact`).
+    """
+    ways = [formula_totals(a), run_totals(a, "row", "col"), run_totals(a, "col", "row")]
+    found = reduce(DataFrame.unionByName, [w.withColumn("_way", F.lit(k)) for k, w in enumerate(ways)])
+    both = found.where((F.col("n") >= MIN_COMPONENTS) & (F.col("n_bad") == 0)).withColumns({"unit": text.display_unit(F.col("d")), "drift": F.col("sum_displayed") - F.col("displayed")})
+    hit = both.where((F.abs(F.col("sum_stored") - F.col("stored")) < F.col("unit")) & (F.abs("drift") >= F.col("unit")))
+    first = hit.withColumn("_n", F.row_number().over(Window.partitionBy(*ADDRESS).orderBy("_way"))).where("_n = 1")
+    return _finding(first, "EA-RND-001", "medium", "high", {"components": F.col("n"), "drift": F.col("drift").cast("double"), "displayed_sum": F.col("sum_displayed").cast("double"), "displayed_total": F.col("displayed").cast("double")}, 25)
 
 
 @rule("EA-RNG-001")
@@ -240,7 +279,7 @@ def blank_references(a: Audit) -> DataFrame:
     there = a.cells.select("wb", F.col("sheet").alias("_sheet"), F.col("row").alias("_row"), F.col("col").alias("_col"))
     blank = at.join(there, ["wb", "_sheet", "_row", "_col"], "left_anti")
     first = blank.groupBy(*ADDRESS).agg(F.min(F.struct("nth", "_sheet", "_row", "_col")).alias("b"))
-    by_sheet = first.groupBy(*SHEET).agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_list(F.struct("row", "col", "b"))), 1, 10).alias("_e")).join(a.cells.select(*SHEET, "sheet_no").distinct(), SHEET)
+    by_sheet = first.groupBy(*SHEET).agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_list(F.struct("row", "col", "b"))), 1, 10).alias("_e")).join(a.numbered, SHEET)
     shown = F.transform("_e", lambda x: F.struct(coordinate(x["row"], x["col"]).alias("cell"), F.concat(x["b"]["_sheet"], F.lit("!"), coordinate(x["b"]["_row"], x["b"]["_col"])).alias("blank")))
     return _finding(by_sheet, "EA-RNG-002", "low", "low", {"total": F.col("total"), "examples": shown})
 
@@ -260,7 +299,7 @@ def rank(names: tuple[str, ...], c: Column) -> Column:
 def grouped(findings: DataFrame) -> DataFrame:
     """Repeated findings as one: of a rule on a sheet, up to medium, with an address, four or more; severity and confidence are the greatest.
 
-    ``count`` tells how many a row stands for, ``cells`` the first 30 addresses.
+    ``count`` tells how many a row stands for, ``cells`` the first 30 addresses.  ``related`` of :func:`cross_linked` goes along.
     """
     level, sure = rank(SEVERITIES, F.col("severity")), rank(CONFIDENCES, F.col("confidence"))
     apart = F.row_number().over(Window.partitionBy("wb", "rule", "sheet").orderBy("row", "col"))
@@ -268,15 +307,22 @@ def grouped(findings: DataFrame) -> DataFrame:
     small = F.count(F.when(low, 1)).over(Window.partitionBy("wb", "rule", "sheet")) < GROUP_FROM
     keyed = findings.withColumn("_key", F.when(~low | small, apart).otherwise(0))
     first = F.min_by(F.struct("row", "col", "evidence"), F.struct("row", "col"))
-    out = keyed.groupBy("wb", "rule", "sheet", "sheet_no", "_key").agg(F.max(F.struct(level.alias("r"), F.col("severity").alias("x"))).alias("s"), F.max(F.struct(sure.alias("r"), F.col("confidence").alias("x"))).alias("c"), first.alias("f"), F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list(F.struct("row", "col"))), 1, 30).alias("cells"))
-    return out.select("wb", "rule", F.col("s.x").alias("severity"), F.col("c.x").alias("confidence"), "sheet", "sheet_no", "f.row", "f.col", "f.evidence", "count", "cells")
+    related = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("related")))).alias("related")] if "related" in findings.columns else []
+    out = keyed.groupBy("wb", "rule", "sheet", "sheet_no", "_key").agg(F.max(F.struct(level.alias("r"), F.col("severity").alias("x"))).alias("s"), F.max(F.struct(sure.alias("r"), F.col("confidence").alias("x"))).alias("c"), first.alias("f"), F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list(F.struct("row", "col"))), 1, 30).alias("cells"), *related)
+    return out.select("wb", "rule", F.col("s.x").alias("severity"), F.col("c.x").alias("confidence"), "sheet", "sheet_no", "f.row", "f.col", "f.evidence", "count", "cells", *["related" for _ in related])
+
 
+DRIFT, MANUAL_FIXES = "EA-RND-001", ("EA-PAT-001", "EA-HRD-001")
 
-def without_repeated_drift(findings: DataFrame) -> DataFrame:
-    """Drift findings marked with ``related`` where another rule found the same total overwritten."""
-    other = findings.where("rule in ('EA-PAT-001', 'EA-RNG-001')").select(*ADDRESS, F.col("rule").alias("related")).dropDuplicates(ADDRESS)
-    drift = findings.where("rule = 'EA-RND-001'").join(other, ADDRESS, "left")
-    return findings.where("rule <> 'EA-RND-001'").withColumn("related", F.lit(None).cast("string")).unionByName(drift.select(*findings.columns, "related"))
+
+def cross_linked(findings: DataFrame) -> DataFrame:
+    """``findings`` with ``related``: a drifting total and a manual fix of the same cell name each other's rules."""
+    at = findings.where("row is not null and col is not null")
+    drift = at.where(F.col("rule") == DRIFT).select(*ADDRESS).distinct()
+    fixes = at.where(F.col("rule").isin(*MANUAL_FIXES)).join(drift, ADDRESS, "left_semi").groupBy(*ADDRESS).agg(F.array_sort(F.collect_set("rule")).alias("_fixes"))
+    none = F.array().cast("array<string>")
+    related = F.when(F.col("_fixes").isNull(), none).when(F.col("rule") == DRIFT, F.col("_fixes")).when(F.col("rule").isin(*MANUAL_FIXES), F.array(F.lit(DRIFT))).otherwise(none)
+    return findings.join(fixes, ADDRESS, "left").select(*findings.columns, related.alias("related"))
 
 
 def risk(findings: DataFrame) -> DataFrame:
@@ -286,8 +332,37 @@ def risk(findings: DataFrame) -> DataFrame:
     return counts.select("wb", F.element_at(names, F.col("_top").cast("int")).alias("risk"), *[f"n_{s}" for s in SEVERITIES])
 
 
-def run(a: Audit, only: list[str] | None = None) -> DataFrame:
-    """All findings of all rules whose relations are there."""
+def _applicable(a: Audit, only: list[str] | None) -> list[str]:
+    """The rules whose relations are there."""
     needs = {"EA-HID-001": a.sheets, "EA-HID-002": a.sheets, "EA-OPQ-001": a.workbooks, "EA-OPQ-002": a.workbooks, "EA-OPQ-003": a.workbooks, "EA-RND-002": a.workbooks}
-    names = [r for r in RULES if (only is None or r in only) and needs.get(r, a.cells) is not None]
-    return reduce(DataFrame.unionByName, [RULES[r](a) for r in names])
+    return [r for r in RULES if (only is None or r in only) and needs.get(r, a.cells) is not None]
+
+
+def run(a: Audit, only: list[str] | None = None) -> DataFrame:
+    """All findings of all rules whose relations are there, as one plan."""
+    return reduce(DataFrame.unionByName, [RULES[r](a) for r in _applicable(a, only)])
+
+
+#: Rules that run at the same time; each is a few small jobs, which leave a cluster idle one by one.
+AT_ONCE = 8
+FAILED = "rule string, reason string"
+
+
+def isolated(a: Audit, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, ``rule`` and ``reason`` of rules that failed).
+
+    Each rule's findings are written to a working table, so that a rule that fails, when it is planned or when it runs, sinks no other.
+    """
+    spark = a.cells.sparkSession
+
+    def one(name: str) -> DataFrame | tuple[str, str]:
+        try:
+            return saved(RULES[name](a), f"findings-{name}")
+        except Exception as e:  # noqa: BLE001 - whatever a rule raises
+            return name, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = list(pool.map(one, _applicable(a, only)))
+    found = [d for d in done if isinstance(d, DataFrame)]
+    none = spark.createDataFrame([], FINDINGS)
+    return reduce(DataFrame.unionByName, found, none), spark.createDataFrame([d for d in done if not isinstance(d, DataFrame)], FAILED)

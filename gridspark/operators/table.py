@@ -145,6 +145,19 @@ def aggregate(df: DataFrame, function: str, column: str | None = None, *, filter
     return found.groupBy(*[group_key(found, g).alias(g) for g in group_by]).agg(*out) if group_by else found.agg(*out)
 
 
+def in_key_order(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups in the order of their keys as text: texts in quotes, null as None, so that numbers sort as text."""
+
+    def shown(name: str) -> Column:
+        c, kind = _column(groups, name), groups.schema[name].dataType
+        if isinstance(kind, StringType):
+            mark = F.when(c.contains("'") & ~c.contains('"'), '"').otherwise("'")
+            c = F.concat(mark, c, mark)
+        return F.coalesce(c.cast("string"), F.lit("None"))
+
+    return groups.orderBy(*[shown(k) for k in sorted(keys)])
+
+
 def list_rows(df: DataFrame, order_by: Sequence[str], *, filters: Sequence[Filter] = (), limit: int | None = None) -> DataFrame:
     """The first ``limit`` (``MAX_LISTED`` at most) rows that match; how many there are is :func:`aggregate`'s count."""
     return where(df, filters).orderBy(*order_by).limit(min(limit or MAX_LISTED, MAX_LISTED))

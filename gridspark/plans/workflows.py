@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from gridspark.functions import text
+from gridspark.functions.formula import column_letters, coordinate
 from gridspark.operators import cells as grid
 from gridspark.operators import diff, graph, rules, table
 from gridspark.session import saved
@@ -17,16 +20,40 @@ from gridspark.session import saved
 
 def settled(source: rules.Audit) -> rules.Audit:
     """The same with its cells and read formulas in a working table, as every rule reads them."""
-    out = rules.Audit(source.cells, source.sheets, source.workbooks, source.names, source.declared)
+    out = rules.Audit(source.cells, source.sheets, source.workbooks, source.names, source.declared, source.links)
     out.parsed = saved(source.parsed, "parsed-cells")
     out.cells = out.parsed.drop("f")
     return out
 
 
+def _shared(a: rules.Audit) -> rules.Audit:
+    """``a`` with what several rules read in working tables as well; these are written at the same time."""
+    makers = {"numbered": lambda: a.numbered, "gaps": lambda: a.gaps, "areas": lambda: a.areas}
+    with ThreadPoolExecutor(len(makers)) as pool:
+        done = list(pool.map(lambda name: saved(makers[name](), name), makers))
+    a.numbered, a.gaps, a.areas = done
+    return a
+
+
+@dataclass
+class Report:
+    """``findings`` repeated ones grouped, ``failed`` (``rule``, ``reason``) and ``risk`` of each workbook."""
+
+    findings: DataFrame
+    failed: DataFrame
+    risk: DataFrame
+
+
+def audited(source: rules.Audit) -> Report:
+    """All rules, each on its own: one that fails is reported and the others go on."""
+    found, failed = rules.isolated(_shared(settled(source)))
+    linked = rules.grouped(rules.cross_linked(found))
+    return Report(linked.orderBy("wb", F.desc(rules.rank(rules.SEVERITIES, F.col("severity"))), "rule", "sheet_no", "row", "col"), failed, rules.risk(linked))
+
+
 def audit(source: rules.Audit) -> DataFrame:
     """Findings of all rules, repeated ones grouped, in order of severity."""
-    found = rules.grouped(rules.run(settled(source)))
-    return found.orderBy("wb", F.desc(rules.rank(rules.SEVERITIES, F.col("severity"))), "rule", "sheet_no", "row", "col")
+    return audited(source).findings
 
 
 @dataclass
@@ -35,41 +62,75 @@ class Comparison:
     row_runs: DataFrame
     changes: DataFrame
     items: DataFrame
+    failed: DataFrame
     structure: DataFrame | None = None
 
+    @property
+    def summary(self) -> DataFrame:
+        return diff.summary(self.changes, self.items, self.structure)
+
 
 def compare(old: rules.Audit, new: rules.Audit, align: bool = True) -> Comparison:
     """Changes between two versions, rated by what depends on them in the new one, merged with the findings of the new one.
 
-    ``structure`` is what changed around the cells, if both versions have ``sheets`` and ``workbooks``.
+    Both sides of a pair have the same ``wb``.  ``structure`` is what changed around the cells, if both versions have ``sheets`` and ``workbooks``;
+    ``failed`` lists rules that failed on the new one.
     """
     spark = old.cells.sparkSession
-    old, new = settled(old), settled(new)
+    with ThreadPoolExecutor(2) as pool:
+        old, new = pool.map(settled, (old, new))
     matches = saved(diff.match_sheets(old.cells, new.cells), "sheet-matches")
-    pairs = saved(diff.row_pairs(old.parsed, new.parsed, matches), "row-pairs") if align else None
-    changes = saved(diff.cell_changes(old.parsed, new.parsed, matches, pairs), "cell-changes")
-    names = new.names if new.names is not None else spark.createDataFrame([], graph.NAMES)
-    declared = new.declared if new.declared is not None else spark.createDataFrame([], graph.DECLARED)
+    with ThreadPoolExecutor(2) as pool:  # the new side's shared tables do not wait for the changes
+        shared = pool.submit(_shared, new)
+        pairs = saved(diff.row_pairs(old.parsed, new.parsed, matches), "row-pairs") if align else None
+        changes = saved(diff.cell_changes(old.parsed, new.parsed, matches, pairs), "cell-changes")
+        new = shared.result()
     # A removed cell is blank now; formulas that still refer to it depend on it.
     roots = changes.where(F.col("change").isin(*diff.RATED)).select(*graph.ADDRESS)
     points = new.cells.select(*graph.ADDRESS).union(roots).distinct()
-    edge_rows = saved(graph.edges(graph.areas(new.parsed, names, declared), points), "edges")
-    outputs = graph.output_like(new.cells, edge_rows)
-    unsure = graph.unresolved(new.parsed, names, declared).select("wb").distinct().withColumn("unresolved", F.lit(True))
-    impacts = graph.impact(edge_rows, roots, outputs).join(unsure, "wb", "left")
-    rated = saved(diff.rated(changes, impacts).select(*changes.columns, "severity", "confidence"), "rated-changes")
+    new.edge_rows = saved(graph.edges(new.areas, points), "edges")
+    with ThreadPoolExecutor(2) as pool:
+        found = pool.submit(rules.isolated, new)
+        unsure = spark.createDataFrame([], "wb string, unresolved boolean")
+        if new.names is not None or new.declared is not None:
+            names, declared = (x if x is not None else spark.createDataFrame([], schema) for x, schema in ((new.names, graph.NAMES), (new.declared, graph.DECLARED)))
+            unsure = graph.unresolved(new.parsed, names, declared).select("wb").distinct().withColumn("unresolved", F.lit(True))
+        else:
+            unsure = new.parsed.where("size(f.names) > 0").select("wb").distinct().withColumn("unresolved", F.lit(True))
+        impacts = graph.impact(new.edge_rows, roots, graph.output_like(new.cells, new.edge_rows)).join(unsure, "wb", "left")
+        rated = saved(diff.rated(changes, impacts).select(*changes.columns, "severity", "confidence", "outputs"), "rated-changes")
+        findings, failed = found.result()
     runs = diff.row_runs(pairs) if pairs is not None else spark.createDataFrame([], "wb string, change string, sheet string, start_row int, count long")
     known = all(x is not None for side in (old, new) for x in (side.sheets, side.workbooks))
-    around = lambda side: {"sheets": side.sheets, "workbooks": side.workbooks, "names": side.names if side.names is not None else spark.createDataFrame([], graph.NAMES)}
+    around = lambda side: {"sheets": side.sheets, "workbooks": side.workbooks, "links": side.links, "names": side.names if side.names is not None else spark.createDataFrame([], graph.NAMES)}
     structure = diff.structural_changes(around(old), around(new), matches) if known else None
-    return Comparison(matches, runs, rated, diff.review_items(rated, saved(rules.run(new), "findings")), structure)
+    return Comparison(matches, runs, rated, diff.review_items(rated, findings), failed, structure)
+
+
+def trace(source: rules.Audit, at: DataFrame) -> DataFrame:
+    """What depends on each of the cells in ``at`` (``wb`` and ``cell``, such as ``'My Sheet'!$D$7``): :data:`gridspark.operators.graph.IMPACT` and a ``message``.
+
+    A text that names no sheet, or a sheet that is not there, gives no row.
+    """
+    book = _shared(settled(source))
+    plain = F.replace("cell", F.lit("$"), F.lit(""))
+    sheet = F.trim(F.regexp_extract(plain, r"^(.*)!", 1))
+    named = at.select("wb", F.regexp_replace(sheet, "^'|'$", "").alias("_s"), F.upper(F.regexp_extract(plain, r"!([A-Za-z]{1,3})\d+$", 1)).alias("_letters"), F.regexp_extract(plain, r"(\d+)$", 1).try_cast("int").alias("row")).where("_letters <> '' and row is not null")
+    number = F.aggregate(F.split("_letters", ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 64)).alias("col")
+    roots = named.join(book.numbered.select("wb", "sheet"), (named["wb"] == book.numbered["wb"]) & (F.upper("_s") == F.upper("sheet"))).select(named["wb"], "sheet", "row", number)
+    edge_rows = saved(graph.edges(book.areas, book.cells.select(*graph.ADDRESS).union(roots).distinct()), "edges")
+    found = graph.impact(edge_rows, roots, graph.output_like(book.cells, edge_rows))
+    where = F.when(F.size("sheets") > 0, F.array_join("sheets", ", ")).otherwise("no other sheets")
+    reached = F.when(F.size("output_cells") > 0, F.concat(F.lit(" Reaches output cells: "), F.array_join(F.slice("output_cells", 1, 3), "; "), F.lit("."))).otherwise("")
+    cell = F.concat("sheet", F.lit("!"), coordinate(F.col("row"), F.col("col")))
+    return found.withColumn("message", F.concat(cell, F.lit(" feeds "), F.col("direct").cast("string"), F.lit(" direct and "), F.col("transitive").cast("string"), F.lit(" transitive dependent cell(s) across "), where, F.lit("."), reached))
 
 
 class NeedsConfirmation(Exception):
     """Several columns fit; ``candidates`` lists them in order, and a choice (from 1) picks one."""
 
     def __init__(self, what: str, candidates: Sequence[str]):
-        super().__init__(f"{what!r} may be {', '.join(candidates)}")
+        super().__init__(f"{what} may be {', '.join(candidates)}")
         self.what, self.candidates = what, list(candidates)
 
 
@@ -91,16 +152,45 @@ def resolve(df: DataFrame, name: str, choices: list[int] | None = None) -> str:
     found = [c for c in df.columns if _forms(c) & wanted]
     if not found:
         raise CannotAnswer(f"no column is called {name!r}")
+    return _chosen(repr(name), found, choices)
+
+
+def _chosen(what: str, found: list[str], choices: list[int] | None) -> str:
+    """The only one, or the one that a choice picks."""
+    if not found:
+        raise CannotAnswer(f"no column for {what}")
     if len(found) == 1:
         return found[0]
     if not choices:
-        raise NeedsConfirmation(name, found)
+        raise NeedsConfirmation(what, found)
     at = choices.pop(0)
     if not 1 <= at <= len(found):
-        raise CannotAnswer(f"{at} is none of the {len(found)} candidates for {name!r}")
+        raise CannotAnswer(f"{at} is none of the {len(found)} candidates for {what}")
     return found[at - 1]
 
 
+def resolve_value(df: DataFrame, choices: list[int] | None = None) -> str:
+    """The only numeric column whose name is no identifier's; several ask for a choice."""
+    says = {w for name in grid.IDENTIFIERS for w in _forms(name)}
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and not any(set(form.replace("_", " ").split()) & says for form in _forms(f.name))]
+    return _chosen("a value", numeric, choices)
+
+
+def resolve_date(df: DataFrame, hint: str | None = None, choices: list[int] | None = None) -> str:
+    """The column that ``hint`` names, else the only one with dates; several ask for a choice."""
+    if hint and any(_forms(c) & _forms(hint) for c in df.columns):
+        return resolve(df, hint, choices)
+    return _chosen("a date", [f.name for f in df.schema if isinstance(f.dataType, DateType | TimestampType | TimestampNTZType)], choices)
+
+
+def by_month(df: DataFrame, function: str, column: str | None = None, *, date: str | None = None, filters: Sequence[table.Filter] = (), choices: Sequence[int] = ()) -> DataFrame:
+    """One aggregate for each month of a date column, which is found by hint or by type; so is the value's where none is named."""
+    left = list(choices)
+    value = resolve(df, column, left) if column else None if function == "count" else resolve_value(df, left)
+    when = resolve_date(df, date, left)
+    return table.aggregate(df, function, value, filters=filters, group_by=[when])
+
+
 @dataclass
 class Answer:
     """A value or rows with where they come from; ``status`` is ``verified``, or ``review_recommended`` if there are warnings."""
@@ -141,9 +231,9 @@ def answer(df: DataFrame, function: str, column: str | None = None, *, filters:
     return Answer(rows, one["value"], column, [str(f) for f in filters], one["n"], one["kept"], one["blank"], warnings)
 
 
-def detect(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def detect(cells: DataFrame, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables and their columns."""
-    found = grid.tables(cells)
+    found = grid.tables(cells, declared)
     return found, grid.table_columns(cells, found)
 
 
@@ -151,8 +241,6 @@ def frame(cells: DataFrame, found: dict[str, Any]) -> DataFrame:
     """The body of one detected table (a row of :func:`gridspark.operators.cells.tables`) as a wide DataFrame; repeated headers get their column's letter."""
     inside = cells.where((F.col("wb") == found["wb"]) & (F.col("sheet") == found["sheet"]) & F.col("col").between(found["first_col"], found["last_col"]))
     heads = inside.where(F.col("row").between(found["header_row"], found["first_data"] - 1)).orderBy("row").select("col", F.coalesce("str", F.col("num").cast("string")).alias("name")).collect()
-    from gridspark.functions.formula import column_letters
-
     names: dict[int, str] = {}
     for h in heads:
         names[h["col"]] = f"{names[h['col']]} / {h['name']}" if h["col"] in names else h["name"]

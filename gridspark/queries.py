@@ -6,19 +6,24 @@ planted breaks, and others with planted faults.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gridspark.functions import text
-from gridspark.functions.formula import parsed
+from gridspark.functions.formula import matching_shift, parsed, renamed
 from gridspark.operators import cells as grid
 from gridspark.operators import diff, graph, rules, table
 from gridspark.operators.table import Filter
 from gridspark.plans import workflows
 from gridspark.session import saved
+from gridspark.sources import workbook
 from gridspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,7 +206,7 @@ _GRID = f"(SELECT *, 'w' || (p_partkey // {PER_SHEET}) AS wb, CAST(p_partkey % {
 
 def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of the parts' sheets: A name, B size, C price, D product, E faults, F sums of nine prices, G copies of D."""
-    part = load(spark, sf_dir, "part")
+    part = load(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     key = F.col("p_partkey")
     r = (key % PER_SHEET + 1).cast("int")
     row = r.cast("string")
@@ -340,18 +345,56 @@ def risk_level(spark, d):
     return rules.risk(rules.run(_audit(spark, d), ["EA-REF-001", "EA-CPX-001", "EA-VOL-001"])).select("wb", "risk", "n_low", "n_high")
 
 
-@query()
+_AUDIT = " UNION ALL ".join([
+    _first("e = 'broken'", "EA-REF-001", "high", 50), _first("e = 'long'", "EA-CPX-001", "low", 20), _first("e = 'error'", "EA-ERR-001", "high", 50), _first("e = 'volatile'", "EA-VOL-001", "low", 50), _first("row % 50 = 0", "EA-RNG-001", "high", 25, 6, "medium"),
+    *[f"SELECT DISTINCT wb, '{r}', '{s}', '{c}', CAST(row AS INT), 4 FROM gaps JOIN forms USING (wb, row) WHERE d IN {k}" for r, s, c, k in (("EA-PAT-001", "high", "high", "('constant')"), ("EA-PAT-002", "high", "medium", "('other', 'shifted', 'pattern')"), ("EA-PAT-003", "medium", "medium", "('blank')"))],
+    *[f"SELECT DISTINCT wb, '{r}', '{s}', '{c}', CAST(NULL AS INT), CAST(NULL AS INT) FROM {_GRID} WHERE {w}" for r, s, c, w in (("EA-HRD-001", "low", "medium", "d = 'other'"), ("EA-RNG-002", "low", "low", "row % 2 = 0 AND d = 'blank'"), ("EA-EXT-001", "medium", "high", "e = 'external'"))],
+])
+
+
+@query(f"""WITH {_RUNS}, f AS ({_AUDIT}), k AS (SELECT *, count(row) FILTER (severity <> 'high') OVER (PARTITION BY wb, rule) AS n FROM f)
+SELECT wb, rule, severity, confidence, min(row) AS row, min(col) AS col, count(*) AS count FROM k GROUP BY wb, rule, severity, confidence, CASE WHEN severity <> 'high' AND row IS NOT NULL AND n >= 4 THEN 0 ELSE coalesce(row, -1) END""")
 def audit(spark, d):
-    return workflows.audit(_audit(spark, d))
+    return workflows.audit(_audit(spark, d)).select("wb", "rule", "severity", "confidence", "row", "col", "count")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS wb, 'high' AS severity, 1 AS row, 1 AS col, count(*) AS cells FROM nation WHERE n_regionkey % 2 = 1 GROUP BY n_regionkey")
+def rule_circular_references(spark, d):
+    found = rules.RULES["EA-CIR-001"](rules.Audit(_chains(spark, d)))
+    return found.select("wb", "severity", "row", "col", F.get_json_object("evidence", "$.cells").cast("long").alias("cells"))
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, CAST(floor(min(l_extendedprice * (1 - l_discount)) * 100 + 0.5) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2),
+t AS (SELECT CAST(l_orderkey AS VARCHAR) AS wb, count(*) AS n, (sum(v) + 50) // 100 AS shown, sum((v + 50) // 100) AS displayed FROM i GROUP BY 1)
+SELECT wb, CAST(n + 1 AS INT) AS row, CAST(displayed - shown AS DOUBLE) AS drift FROM t WHERE n >= 3 AND displayed <> shown""")
+def rule_rounding_typed_totals(spark, d):
+    """The same totals typed in as numbers, below the prices or, with rows and columns swapped, right of them."""
+    typed = _priced(spark, d).withColumn("formula", F.lit(None).cast("string"))
+    odd = F.col("wb").cast("long") % 2 == 1
+    turned = typed.withColumns({"row": F.when(odd, F.col("col")).otherwise(F.col("row")), "col": F.when(odd, F.col("row")).otherwise(F.col("col"))})
+    found = rules.RULES["EA-RND-001"](rules.Audit(turned))
+    return found.select("wb", F.greatest("row", "col").alias("row"), F.get_json_object("evidence", "$.drift").cast("double").alias("drift"))
+
+
+@query("""WITH f AS (SELECT p_partkey, unnest(['EA-RND-001', 'EA-PAT-001', 'EA-HRD-001', 'EA-REF-001']) AS rule, unnest([2, 3, 5, 1]) AS m FROM part), g AS (SELECT p_partkey, rule FROM f WHERE p_partkey % m = 0)
+SELECT p_partkey AS row, rule, CASE WHEN rule = 'EA-RND-001' THEN (CASE WHEN p_partkey % 5 = 0 THEN 'EA-HRD-001' ELSE '' END) || (CASE WHEN p_partkey % 15 = 0 THEN ',' ELSE '' END) || (CASE WHEN p_partkey % 3 = 0 THEN 'EA-PAT-001' ELSE '' END)
+WHEN rule <> 'EA-REF-001' AND p_partkey % 2 = 0 THEN 'EA-RND-001' ELSE '' END AS related FROM g""")
+def rule_cross_links(spark, d):
+    rules_of = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(m).alias("m")) for r, m in (("EA-RND-001", 2), ("EA-PAT-001", 3), ("EA-HRD-001", 5), ("EA-REF-001", 1))])
+    found = load(spark, d, "part").select("p_partkey", F.explode(rules_of).alias("r")).where("p_partkey % r.m = 0")
+    found = found.select(F.lit("w").alias("wb"), "r.rule", F.lit("S").alias("sheet"), F.col("p_partkey").alias("row"), F.lit(1).alias("col"))
+    return rules.cross_linked(found).select("row", "rule", F.array_join("related", ",").alias("related"))
 
 
 # Tables and blocks: a sheet for each supplier's nation, with a header and a totals row.
-def _listed(spark: SparkSession, d: str) -> DataFrame:
-    s = load(spark, d, "supplier")
+def _listed(spark: SparkSession, d: str, first_name: str = "Supplier", of: str = "supplier") -> DataFrame:
+    s = load(spark, d, of)
+    if of == "customer":
+        s = s.select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"), F.col("c_nationkey").alias("s_nationkey"))
     r = F.row_number().over(grid.Window.partitionBy("s_nationkey").orderBy("s_suppkey")) + 1
     rows = s.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("wb"), r.alias("row"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("num"))
     ends = rows.groupBy("wb").agg(F.max("row").alias("last"), F.round(F.sum("num"), 2).alias("num"))
-    head = ends.select("wb", F.lit(1).alias("row"), F.lit("Supplier").alias("name"), F.lit(None).cast("double").alias("num"))
+    head = ends.select("wb", F.lit(1).alias("row"), F.lit(first_name).alias("name"), F.lit(None).cast("double").alias("num"))
     total = ends.select("wb", (F.col("last") + 1).alias("row"), F.lit("Grand Total:").alias("name"), "num")
     both = rows.unionByName(head).unionByName(total)
     first = F.struct(F.lit(1).alias("col"), F.lit("s").alias("kind"), F.lit(None).cast("double").alias("num"), F.col("name").alias("str"))
@@ -371,6 +414,82 @@ def detected_columns(spark, d):
     return grid.table_columns(c, grid.tables(c)).where("col = 2").select("wb", "col", "name", "type", "currency", "n_present", F.col("n_missing").cast("long").alias("n_missing"), "n_distinct")
 
 
+_CUSTOMERS = "(SELECT 'n' || c_nationkey AS wb, CAST(count(*) AS INT) AS k, list(c_name ORDER BY c_custkey) AS names FROM customer GROUP BY c_nationkey)"
+_NATIONS = "(SELECT 'n' || s_nationkey AS wb, CAST(count(*) AS INT) AS k, list(s_name ORDER BY s_suppkey) AS names FROM supplier GROUP BY s_nationkey)"
+
+
+def _declared(cells: DataFrame) -> DataFrame:
+    """Each sheet is one table, with a totals row in every other one."""
+    last = cells.groupBy("wb").agg(F.max("row").alias("row2"))
+    return last.select("wb", F.lit("S").alias("sheet"), F.lit("T").alias("name"), F.lit(1).alias("row1"), F.lit(1).alias("col1"), "row2", F.lit(2).alias("col2"), F.lit(1).alias("header_rows"), (F.substr("wb", F.lit(2)).cast("int") % 2).alias("totals_rows"))
+
+
+@query(f"SELECT wb, TRUE AS exact, 1 AS header_row, 2 AS first_data, k + 2 AS last_data, k + 1 AS rows_total, CAST(substr(wb, 2) AS INT) % 2 AS n_totals FROM {_NATIONS}")
+def declared_tables(spark, d):
+    c = _listed(spark, d)
+    return grid.tables(c, _declared(c)).select("wb", "exact", "header_row", "first_data", "last_data", "rows_total", F.size("total_rows").alias("n_totals"))
+
+
+@query(f"SELECT wb, 1 AS col, 'Supplier No' AS name, 'text' AS type, TRUE AS identifier, array_to_string(names[1:3], ',') AS samples FROM {_CUSTOMERS} WHERE k >= 3")
+def column_profile(spark, d):
+    c = _listed(spark, d, "Supplier No", "customer")
+    columns = grid.table_columns(c, grid.tables(c)).where("col = 1 and n_present >= 3 and type = 'text'")
+    return columns.select("wb", "col", "name", "type", "identifier", F.array_join("samples", ",").alias("samples"))
+
+
+@query(f"SELECT wb, 1 AS header_row, 2 AS header_rows, 3 AS first_data, 'Supplier / Name' AS name FROM {_CUSTOMERS} WHERE k >= 2")
+def detected_double_headers(spark, d):
+    c = _listed(spark, d, of="customer")
+    second = c.where("row = 1").withColumns({"row": F.lit(2), "str": F.when(F.col("col") == 1, "Name").otherwise("EUR")})
+    c = c.withColumn("row", F.when(F.col("row") > 1, F.col("row") + 1).otherwise(F.col("row"))).unionByName(second)
+    found = grid.tables(c)
+    return found.join(grid.table_columns(c, found).where("col = 1").select("wb", "name"), "wb").select("wb", "header_row", "header_rows", "first_data", "name")
+
+
+@query(f"SELECT wb, note FROM {_NATIONS}, (SELECT unnest(['Merged ranges overlap this table: A1:B1, A2:A3', 'The sheet is hidden']) AS note) WHERE k >= 2 OR note LIKE 'The sheet%'")
+def table_notes(spark, d):
+    c = _listed(spark, d)
+    sheets = c.select("wb", "sheet").distinct().withColumns({"visibility": F.lit("hidden"), "merged": F.array(F.lit("A1:B1"), F.lit("A2:A3"), F.lit("D900000:E900001"))})
+    return grid.table_notes(grid.tables(c), sheets).select("wb", "note")
+
+
+@query("SELECT CAST(1 + row_number() OVER (ORDER BY c_custkey) AS INT) AS row, c_name AS \"Supplier\", c_acctbal AS \"Balance\" FROM customer WHERE c_nationkey = (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 2 ORDER BY 'n' || c_nationkey LIMIT 1)")
+def table_frame(spark, d):
+    c = _listed(spark, d, of="customer")
+    return workflows.frame(c, grid.tables(c).orderBy("wb").first().asDict())
+
+
+@query(f"SELECT wb, k + 2 AS row, 2 AS col FROM {_NATIONS}")
+def output_cells(spark, d):
+    """What is right of the label of a total."""
+    c = _listed(spark, d)
+    none = spark.createDataFrame([], "wb string, sheet string, row int, col int, to_sheet string, to_row int, to_col int")
+    return graph.output_like(c, none).select("wb", "row", "col")
+
+
+def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells of :func:`_listed` with three formulas in column D that use a table's column, a name and an unknown name; names; declared tables."""
+    c = _listed(spark, d)
+    books = c.select("wb").distinct()
+    uses = F.posexplode(F.array(F.lit("=SUM(T[Balance])"), F.lit("=SUM(Bal)"), F.lit("=Ghost*2"))).alias("_r", "formula")
+    formulas = books.select("wb", uses).select("wb", F.lit("S").alias("sheet"), F.lit(0).alias("sheet_no"), (F.col("_r") + 1).alias("row"), F.lit(4).alias("col"), F.lit("n").alias("kind"), F.lit(0.0).alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("timestamp_ntz").alias("ts"), "formula", F.lit("General").alias("number_format"), F.lit("").alias("style"))
+    names = books.select("wb", F.lit("Bal").alias("name"), F.lit(None).cast("string").alias("scope"), F.lit("S!$B$2:$B$3").alias("refers_to"))
+    return c.unionByName(formulas), names, _declared(c).withColumn("totals_rows", F.lit(1))
+
+
+@query(f"SELECT wb, unnest([1, 2]) AS to_row, unnest([k, 2]) AS n FROM {_NATIONS}")
+def edge_names_and_tables(spark, d):
+    c, names, declared = _named(spark, d)
+    found = graph.edges(graph.areas(grid.with_formulas(c), names, declared), c)
+    return found.groupBy("wb", "to_row").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"SELECT wb, 3 AS row FROM {_NATIONS}")
+def unresolved_names(spark, d):
+    c, names, declared = _named(spark, d)
+    return graph.unresolved(grid.with_formulas(c), names, declared).select("wb", "row")
+
+
 @query(f"SELECT wb, CAST(min(row) AS INT) AS first_row, CAST(max(row) AS INT) AS last_row FROM (SELECT wb, row, row - row_number() OVER (PARTITION BY wb ORDER BY row) AS g FROM {_GRID} WHERE p_partkey % 7 <> 0) GROUP BY wb, g")
 def blocks(spark, d):
     c = sheet_cells(spark, d).where("col = 1 and (row - 1 + cast(substr(wb, 2) as int) * 500) % 7 <> 0")
@@ -410,6 +529,39 @@ def edge_cycles(spark, d):
     return graph.cycles(_edges(_chains(spark, d))).groupBy("wb").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT wb, CAST(count(*) - 1 AS BIGINT) AS transitive, FALSE AS circular FROM {_GRID} GROUP BY 1 HAVING min(row) = 1")
+def edge_transitive_long(spark, d):
+    """Chains as long as a sheet: each price is the one above it and one more."""
+    c = sheet_cells(spark, d).where("col = 3")
+    c = c.withColumn("formula", F.when(F.col("row") > 1, F.concat(F.lit("=C"), (F.col("row") - 1).cast("string"), F.lit("+1"))))
+    e = saved(_edges(c), "edges")
+    return graph.impact(e, c.where("row = 1"), graph.output_like(c, e)).where("direct > 0").select("wb", "transitive", "circular")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS wb, 'Chain!A1 feeds 1 direct and ' || CASE WHEN n_regionkey % 2 = 1 THEN count(*) ELSE count(*) - 1 END || ' transitive dependent cell(s) across Chain.' AS message FROM nation GROUP BY n_regionkey")
+def trace(spark, d):
+    c = _chains(spark, d)
+    return workflows.trace(rules.Audit(c), c.select("wb", F.lit("chain!$A$1").alias("cell")).distinct()).select("wb", "message")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS wb, CAST(2 AS INT) AS col1, 2 AS col2, CAST(1 + n_nationkey AS INT) AS row1, CAST(10000 + n_nationkey AS INT) AS row2, TRUE AS truncated FROM nation")
+def range_caps(spark, d):
+    n = load(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("wb"), F.col("n_nationkey").alias("_k"))
+    cell = lambda row, col, formula: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), formula.alias("formula"))
+    wide = F.concat(F.lit("=SUM(B"), (1 + F.col("_k")).cast("string"), F.lit(":C20000)"))
+    c = n.select("wb", F.explode(F.array(cell(F.lit(1), 1, wide), cell(F.lit(20_000), 3, F.lit(None).cast("string")))).alias("c")).select("wb", F.lit("S").alias("sheet"), "c.*", F.lit("n").alias("kind"), F.lit(1.0).alias("num"), F.lit(None).cast("string").alias("str"))
+    return graph.areas(grid.with_formulas(c)).select("wb", "col1", "col2", "row1", "row2", "truncated")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS wb, unnest(['a' || n_nationkey || '.xlsx', 'b.xlsx', 'Other.xlsx']) AS target, unnest([1, 2, 3]) AS place FROM nation")
+def link_targets(spark, d):
+    n = load(spark, d, "nation")
+    links = n.select(F.col("n_nationkey").cast("string").alias("wb"), F.posexplode(F.array(F.concat(F.lit("a"), F.col("n_nationkey").cast("string"), F.lit(".xlsx")), F.lit("b.xlsx"))).alias("_k", "target")).select("wb", (F.col("_k") + 1).alias("nth"), "target")
+    c = n.select(F.col("n_nationkey").cast("string").alias("wb"), F.lit("S").alias("sheet"), F.lit(0).alias("sheet_no"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("=[1]X!A1+[Other.xlsx]X!A1").alias("formula"))
+    found = graph.link_targets(grid.with_formulas(c), links)
+    return found.select("wb", "target", F.row_number().over(grid.Window.partitionBy("wb").orderBy("place")).alias("place"))
+
+
 # Two versions of the parts' sheets.
 def _edited(spark: SparkSession, d: str) -> DataFrame:
     c = sheet_cells(spark, d).where("col <= 4").withColumn("_k", F.substr("wb", F.lit(2)).cast("int") * PER_SHEET + F.col("row") - 1)
@@ -431,8 +583,8 @@ UNION ALL SELECT wb, row, 2, 'formatting_only' FROM {_GRID} WHERE p_partkey % 71
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    old, new = sheet_cells(spark, d).where("col <= 4"), _edited(spark, d)
-    return diff.cell_changes(grid.with_formulas(old), grid.with_formulas(new), saved(diff.match_sheets(old, new), "sheet-matches"))
+    old, new = workflows.settled(rules.Audit(sheet_cells(spark, d).where("col <= 4"))), workflows.settled(rules.Audit(_edited(spark, d)))
+    return diff.cell_changes(old.parsed, new.parsed, saved(diff.match_sheets(old.cells, new.cells), "sheet-matches"))
 
 
 @query(_CHANGED)
@@ -455,7 +607,8 @@ def diff_row_runs(spark, d):
     k = F.substr("wb", F.lit(2)).cast("int") * PER_SHEET + F.col("row") - 1
     kept = old.where(~(k % 100).between(10, 13))
     new = kept.withColumn("row", F.dense_rank().over(grid.Window.partitionBy("wb").orderBy("row")))
-    pairs = diff.row_pairs(grid.with_formulas(old), grid.with_formulas(new), saved(diff.match_sheets(old, new), "sheet-matches"))
+    old, new = workflows.settled(rules.Audit(old)), workflows.settled(rules.Audit(new))
+    pairs = diff.row_pairs(old.parsed, new.parsed, saved(diff.match_sheets(old.cells, new.cells), "sheet-matches"))
     return diff.row_runs(saved(pairs, "row-pairs")).select("wb", "change", "start_row", "count")
 
 
@@ -472,3 +625,193 @@ SELECT coalesce(c.wb, f.wb) AS wb, coalesce(c.row, f.row) AS row, coalesce(c.col
 def review_items(spark, d):
     items = diff.review_items(diff.rated(_changes(spark, d)), rules.run(_audit(spark, d), ["EA-REF-001"]))
     return items.select("wb", "row", "col", "change", F.size("rules").cast("long").alias("n_rules"), "severity")
+
+
+@query(f"""WITH kept AS (SELECT *, row_number() OVER (PARTITION BY wb ORDER BY row) AS n FROM {_GRID} WHERE p_partkey % 100 NOT BETWEEN 10 AND 13) SELECT wb, CAST(n AS INT) AS row, 3 AS col, 'value_changed' AS change FROM kept WHERE p_partkey % 17 = 0""")
+def diff_aligned_changes(spark, d):
+    """Rows taken out, formulas moved with their rows, some prices edited: only the edits are changes."""
+    old = sheet_cells(spark, d).where("col <= 4")
+    k = F.substr("wb", F.lit(2)).cast("int") * PER_SHEET + F.col("row") - 1
+    new = old.withColumn("_k", k).where(~(F.col("_k") % 100).between(10, 13)).withColumn("_row", F.dense_rank().over(grid.Window.partitionBy("wb").orderBy("row")))
+    moved = F.regexp_replace(F.regexp_replace("formula", r"B\d+\*C\d+", "B#*C@"), "B#", F.concat(F.lit("B"), F.col("_row").cast("string")))
+    off = F.regexp_extract("formula", r"C(\d+)", 1).try_cast("int") - F.col("row")
+    new = new.withColumns({"formula": F.replace(moved, F.lit("C@"), F.concat(F.lit("C"), (F.col("_row") + off).cast("string"))), "num": F.when((F.col("col") == 3) & (F.col("_k") % 17 == 0), F.col("num") + 1).otherwise(F.col("num"))})
+    new = new.withColumn("row", F.col("_row")).drop("_row", "_k")
+    old, new = workflows.settled(rules.Audit(old)), workflows.settled(rules.Audit(new))
+    matches = saved(diff.match_sheets(old.cells, new.cells), "sheet-matches")
+    pairs = saved(diff.row_pairs(old.parsed, new.parsed, matches), "row-pairs")
+    return diff.cell_changes(old.parsed, new.parsed, matches, pairs).select("wb", "row", "col", "change")
+
+
+_USED = f"""EXISTS (SELECT 1 FROM {_GRID} g WHERE g.wb = c.wb AND g.d NOT IN ('constant', 'blank') AND g.p_partkey % 59 <> 0 AND ((c.col = 3 AND ((g.row = c.row AND g.d <> 'shifted') OR (g.row = c.row - 1 AND g.d = 'shifted'))) OR (c.col = 1 AND c.row = 1 AND g.p_partkey % 61 = 0)))"""
+
+
+@query(f"SELECT wb, row, col, change, CASE WHEN change IN ('value_changed', 'value_removed') AND {_USED} THEN 'medium' ELSE {_SEVERITY} END AS severity, 'high' AS confidence FROM ({_CHANGED}) c")
+def compare(spark, d):
+    """Whole comparison of sheets that are named like outputs, so that each change with a dependent is raised."""
+    old, new = (c.withColumn("sheet", F.lit("Budget")) for c in (sheet_cells(spark, d).where("col <= 4"), _edited(spark, d)))
+    return workflows.compare(rules.Audit(old), rules.Audit(new), align=False).changes.select("wb", "row", "col", "change", "severity", "confidence")
+
+
+@query(f"SELECT wb, count(*) AS n_changes, count(*) FILTER (change <> 'formatting_only') AS n_items, count(*) FILTER (change = 'formula_to_constant') AS n_high_impact, count(*) FILTER (change = 'value_changed') AS n_value_changed, 'Parts' AS sheets FROM ({_CHANGED}) GROUP BY wb")
+def compare_summary(spark, d):
+    rated = saved(diff.rated(_changes(spark, d)), "rated-changes")
+    out = diff.summary(rated, diff.review_items(rated, spark.createDataFrame([], rules.FINDINGS)))
+    return out.select("wb", "n_changes", "n_items", "n_high_impact", "n_value_changed", F.array_join("sheets", ",").alias("sheets"))
+
+
+_CELL_TEXT = "chr(64 + col) || row"
+
+
+@query(f"SELECT wb, row, col, row_number() OVER (PARTITION BY wb ORDER BY CASE {_SEVERITY} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, {_CELL_TEXT}) AS place FROM ({_CHANGED}) WHERE change <> 'formatting_only'")
+def review_order(spark, d):
+    items = diff.review_items(diff.rated(_changes(spark, d)), spark.createDataFrame([], rules.FINDINGS))
+    return diff.in_review_order(items).select("wb", "row", "col", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT wb, row, col, row_number() OVER (PARTITION BY wb ORDER BY length({_CELL_TEXT}), {_CELL_TEXT}) AS place FROM ({_CHANGED})")
+def cell_order(spark, d):
+    return diff.in_cell_order(_changes(spark, d)).select("wb", "row", "col", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT n_nationkey AS row, '=B!C' || n_nationkey || '+''A''!D1*A!' || CASE n_nationkey % 2 WHEN 1 THEN 'E1' ELSE '$F$2' END || '+''Cost $''!G1+"A!"&AB!H1+[x]A!J1' AS formula FROM nation""")
+def diff_rename_formulas(spark, d):
+    """Two sheets swap their names and a third gets one that needs quotes: all references change at once, texts and other names do not."""
+    end = F.when(F.col("n_nationkey") % 2 == 1, "E1").otherwise("$F$2")
+    formula = F.concat(F.lit("=A!C"), F.col("n_nationkey").cast("string"), F.lit("+'B'!D1*B!"), end, F.lit('+Third!G1+"A!"&AB!H1+[x]A!J1'))
+    moves = F.array(*[F.struct(F.lit(a).alias("old_sheet"), F.lit(b).alias("new_sheet")) for a, b in (("A", "B"), ("B", "A"), ("Third", "Cost $"))])
+    return load(spark, d, "nation").select(F.col("n_nationkey").alias("row"), renamed(formula, moves).alias("formula"))
+
+
+def _around(spark: SparkSession, d: str, new: bool) -> dict[str, DataFrame]:
+    """Sheets, names, workbooks and links made of nations and regions, in two versions."""
+    n = load(spark, d, "nation")
+    key, wb = F.col("n_nationkey"), F.col("n_regionkey").cast("string").alias("wb")
+    no = F.row_number().over(grid.Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("sheet_no")
+    seen = F.when((key % 4 == 0) & F.lit(new), "hidden").otherwise("visible").alias("visibility")
+    rows = F.when((key % 3 == 0) & F.lit(new), F.array(F.lit(3), F.lit(99))).otherwise(F.array(F.lit(3))).alias("hidden_rows")
+    merged = F.when((key % 5 == 0) & F.lit(new), F.array().cast("array<string>")).otherwise(F.array(F.lit("A1:B2"))).alias("merged")
+    sheets = n.select(wb, F.col("n_name").alias("sheet"), no, seen, rows, F.array().cast("array<int>").alias("hidden_cols"), merged)
+    to = F.when((key % 3 == 1) & F.lit(new), "S!$B$1").otherwise("S!$A$1").alias("refers_to")
+    names = n.where((key % 3 != 2) | F.lit(not new)).select(wb, F.concat(F.lit("N"), key.cast("string")).alias("name"), F.lit(None).cast("string").alias("scope"), to)
+    r = load(spark, d, "region")
+    odd, book = (F.col("r_regionkey") % 2 == 1) & F.lit(new), F.col("r_regionkey").cast("string").alias("wb")
+    return {"sheets": sheets, "names": names, "workbooks": r.select(book, odd.alias("has_macros")), "links": r.select(book, F.lit(1).alias("nth"), F.when(odd, "b.xlsx").otherwise("a.xlsx").alias("target"))}
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS wb, change, n_name AS sheet FROM nation, (SELECT unnest(['visibility_changed', 'hidden_rows_changed', 'merged_ranges_changed']) AS change, unnest([4, 3, 5]) AS m) WHERE n_nationkey % m = 0
+UNION ALL SELECT CAST(n_regionkey AS VARCHAR), CASE n_nationkey % 3 WHEN 1 THEN 'name_changed' ELSE 'name_removed' END, NULL FROM nation WHERE n_nationkey % 3 > 0
+UNION ALL SELECT CAST(r_regionkey AS VARCHAR), unnest(['macros_added', 'link_added', 'link_removed']), NULL FROM region WHERE r_regionkey % 2 = 1""")
+def diff_structure(spark, d):
+    old, new = _around(spark, d, False), _around(spark, d, True)
+    matches = old["sheets"].select("wb", F.col("sheet").alias("old_sheet"), F.col("sheet").alias("new_sheet"), F.lit("same").alias("how"))
+    return diff.structural_changes(old, new, matches).select("wb", "change", "sheet")
+
+
+# Functions.
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '€' WHEN 1 THEN '$' ELSE '' END || regexp_replace(format('{:,.2f}', c_acctbal), '\\.00$', '') AS shown, format('{:,}', c_custkey) AS counted FROM customer")
+def formatted_values(spark, d):
+    code = F.when(F.col("c_custkey") % 3 == 0, "EUR").when(F.col("c_custkey") % 3 == 1, "USD")
+    return load(spark, d, "customer").select("c_custkey", text.formatted(F.col("c_acctbal"), code).alias("shown"), text.formatted(F.col("c_custkey"), count=True).alias("counted"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1000 * event_id WHEN 1 THEN NULL WHEN 2 THEN -0.5 ELSE NULL END AS number, CASE event_id % 4 WHEN 3 THEN CAST(NULL AS TIMESTAMP) WHEN 1 THEN TIMESTAMP '2024-02-29 10:00:00' END AS moment FROM events")
+def text_coercions(spark, d):
+    k = F.col("event_id") % 4
+    number = F.when(k == 0, F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit("e3"))).when(k == 1, "12d").when(k == 2, "-.5").otherwise("0x1p3")
+    moment = F.when(k == 3, "2024-02-30").when(k == 1, " 2024-02-29 10:00:00 ")
+    return load(spark, d, "events").select("event_id", text.numeric(number, StringType()).alias("number"), text.moment(moment, StringType()).alias("moment"))
+
+
+_FORMATS = [("0.00", "2"), ("#,##0", "0"), ('#,##0.0 "kg";[Red]-0.000', "1"), ("General", "NULL"), ("0%", "NULL"), ("0.##", "NULL"), ("[$€-2] 0.0000000", "7")]
+
+
+@query(f"SELECT event_id, {'CASE event_id % 7 ' + ' '.join(f'WHEN {k} THEN {d}' for k, (_, d) in enumerate(_FORMATS)) + ' END'} AS decimals, {'CASE event_id % 7 ' + ' '.join(f'WHEN {k} THEN CAST(round(CAST(CAST(value AS VARCHAR) AS DECIMAL(30, 12)), {d}) AS DOUBLE)' for k, (_, d) in enumerate(_FORMATS) if d != 'NULL') + ' END'} AS shown FROM events")
+def display_rounding(spark, d):
+    fmt = F.element_at(F.array(*[F.lit(f) for f, _ in _FORMATS]), (F.col("event_id") % 7 + 1).cast("int"))
+    e = load(spark, d, "events").withColumn("decimals", text.display_decimals(fmt))
+    return e.select("event_id", "decimals", text.display_rounded(F.col("value"), F.col("decimals")).cast("double").alias("shown"))
+
+
+@query("SELECT p_partkey, lower(p_name) || ' kraen srok shtastie' AS name FROM part")
+def transliterated_text(spark, d):
+    return load(spark, d, "part").select("p_partkey", text.transliterated(text.normalized(F.concat("p_name", F.lit(" Краен-срок; ЩАСТИЕ!")))).alias("name"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 9 - 4 BETWEEN -3 AND 3 AND p_partkey % 9 <> 4 THEN CAST(p_partkey % 9 - 4 AS INT) END AS shift FROM part")
+def formula_shift(spark, d):
+    r = F.col("p_partkey") % 1000 + 10
+    formula = F.concat(F.lit("=B"), (r + F.col("p_partkey") % 9 - 4).cast("string"), F.lit("*2"))
+    return load(spark, d, "part").select("p_partkey", matching_shift(formula, r.cast("int"), F.lit(3), F.lit("RC[-1]*2"), F.lit(True)).alias("shift"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS o_orderdate, round(sum(o_totalprice), 2) AS value, count(*) AS n_rows FROM orders GROUP BY 1")
+def by_month(spark, d):
+    """The date column is found by its type."""
+    return rounded(workflows.by_month(load(spark, d, "orders"), "sum", "O_TotalPrice"), "value").select("o_orderdate", "value", "n_rows")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS value FROM customer GROUP BY 1, 2")
+def groups_in_key_order(spark, d):
+    groups = table.aggregate(load(spark, d, "customer"), "count", group_by=["c_nationkey", "c_mktsegment"])
+    return table.in_key_order(groups, ["c_nationkey", "c_mktsegment"]).select("c_nationkey", "c_mktsegment", "value")
+
+
+@query("SELECT round(sum(o_totalprice) FILTER (year(o_orderdate) = 1997), 2) AS value, count(*) AS rows_total, count(*) FILTER (year(o_orderdate) = 1997) AS rows_included, CAST(0 AS BIGINT) AS rows_blank, 'verified' AS status, 'year(o_orderdate) = 1997' AS filters FROM orders")
+def answer(spark, d):
+    a = workflows.answer(load(spark, d, "orders"), "sum", "O_TotalPrice", filters=[Filter("O_OrderDate", "year_equals", 1997)])
+    return rounded(spark.createDataFrame([(a.value, a.rows_total, a.rows_included, a.rows_blank, a.status, "; ".join(a.filters))], "value double, rows_total long, rows_included long, rows_blank long, status string, filters string"), "value")
+
+
+# Workbooks: a file for each region, zipped from its nations; the last one is damaged inside its second sheet.
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_BOOK = f"""<workbook {_MAIN}><workbookProtection lockStructure="1"/><sheets><sheet name="Nations" sheetId="1" r:id="a"/><sheet name="Notes" sheetId="2" state="hidden" r:id="b"/></sheets><externalReferences><externalReference r:id="c"/></externalReferences>
+<definedNames><definedName name="Keys">Nations!$B$2</definedName></definedNames><calcPr calcMode="manual" fullPrecision="0"/></workbook>"""
+_PARTS = {
+    "[Content_Types].xml": "<Types/>", "xl/workbook.xml": _BOOK, "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="worksheets/2.xml"/><Relationship Id="c" Target="externalLinks/externalLink1.xml"/></Relationships>',
+    "xl/externalLinks/externalLink1.xml": "<externalLink/>", "xl/externalLinks/_rels/externalLink1.xml.rels": '<Relationships><Relationship Id="x" Target="rates.xlsx" TargetMode="External"/></Relationships>',
+    "xl/worksheets/_rels/1.xml.rels": '<Relationships><Relationship Id="t" Target="../tables/table1.xml"/></Relationships>',
+}
+
+
+def _zipped(first: pd.Series, table_xml: pd.Series, second: pd.Series) -> pd.Series:
+    out = []
+    for sheet, declared, notes in zip(first, table_xml, second, strict=True):
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in {**_PARTS, "xl/worksheets/1.xml": sheet, "xl/tables/table1.xml": declared, "xl/worksheets/2.xml": notes}.items():
+                z.writestr(name, data)
+        out.append(box.getvalue())
+    return pd.Series(out)
+
+
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    n = load(spark, d, "nation")
+    r = (F.row_number().over(grid.Window.partitionBy("n_regionkey").orderBy("n_nationkey")) + 1).cast("string")
+    row = F.format_string('<row r="%s"><c r="A%s" t="inlineStr"><is><t>%s</t></is></c><c r="B%s"><v>%s</v></c><c r="C%s"><f>B%s*2</f><v>%s</v></c></row>', r, r, F.col("n_name"), r, F.col("n_nationkey").cast("string"), r, r, (F.col("n_nationkey") * 2).cast("string"))
+    rows = n.select("n_regionkey", row.alias("x"), "n_nationkey").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "x"))).alias("l"), F.count("*").alias("k"))
+    head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{t}</t></is></c>' for c, t in zip("ABC", ("Name", "Key", "Double"), strict=True))
+    first = F.concat(F.lit(f'<worksheet {_MAIN}><sheetData><row r="1" hidden="1">{head}</row>'), F.array_join(F.transform("l", lambda s: s["x"]), ""), F.lit('</sheetData><mergeCells><mergeCell ref="E1:F2"/></mergeCells></worksheet>'))
+    table_xml = F.concat(F.lit(f'<table {_MAIN} displayName="T" ref="A1:C'), (F.col("k") + 1).cast("string"), F.lit('"/>'))
+    notes = F.when(F.col("n_regionkey") == 4, "<worksheet><broken").otherwise(f'<worksheet {_MAIN}><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>')
+    content = F.pandas_udf(_zipped, "binary")(first, table_xml, notes)
+    return rows.select(F.concat(F.lit("/books/"), F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("path"), content.alias("content"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("wb"))
+
+
+_GOOD = "(SELECT 'r' || n_regionkey AS wb, n_name, n_nationkey AS v, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS INT) AS row, CAST(count(*) OVER (PARTITION BY n_regionkey) AS INT) AS k FROM nation WHERE n_regionkey < 4)"
+for _name, _columns, _sql in (
+    ("cells", "wb sheet row col kind num str formula", f"""SELECT wb, 'Nations' AS sheet, row, 1 AS col, 's' AS kind, CAST(NULL AS DOUBLE) AS num, n_name AS str, CAST(NULL AS VARCHAR) AS formula FROM {_GOOD} UNION ALL SELECT wb, 'Nations', row, 2, 'n', v, NULL, NULL FROM {_GOOD} UNION ALL SELECT wb, 'Nations', row, 3, 'n', 2 * v, NULL, '=B' || row || '*2' FROM {_GOOD}
+    UNION ALL SELECT wb, 'Nations', 1, unnest([1, 2, 3]), 's', NULL, unnest(['Name', 'Key', 'Double']), NULL FROM {_GOOD} WHERE row = 2 UNION ALL SELECT wb, 'Notes', 1, 1, 'n', 1, NULL, NULL FROM {_GOOD} WHERE row = 2"""),
+    ("sheets", "wb sheet sheet_no visibility", f"SELECT wb, unnest(['Nations', 'Notes']) AS sheet, unnest([0, 1]) AS sheet_no, unnest(['visible', 'hidden']) AS visibility FROM {_GOOD} WHERE row = 2"),
+    ("names", "wb name refers_to", f"SELECT wb, 'Keys' AS name, 'Nations!$B$2' AS refers_to FROM {_GOOD} WHERE row = 2"),
+    ("declared", "wb sheet name row1 col1 row2 col2 header_rows totals_rows", f"SELECT wb, 'Nations' AS sheet, 'T' AS name, 1 AS row1, 1 AS col1, k + 1 AS row2, 3 AS col2, 1 AS header_rows, 0 AS totals_rows FROM {_GOOD} WHERE row = 2"),
+    ("links", "wb nth target", f"SELECT wb, 1 AS nth, 'rates.xlsx' AS target FROM {_GOOD} WHERE row = 2"),
+    ("settings", "wb calc_mode lock_structure lock_windows", f"SELECT wb, 'manual' AS calc_mode, TRUE AS lock_structure, FALSE AS lock_windows FROM {_GOOD} WHERE row = 2"),
+    ("workbooks", "wb path has_macros is_protected full_precision", f"SELECT wb, '/books/' || substr(wb, 2) || '.xlsx' AS path, FALSE AS has_macros, TRUE AS is_protected, FALSE AS full_precision FROM {_GOOD} WHERE row = 2"),
+):
+    _register(f"workbook_{_name}", lambda spark, d, n=_name, c=_columns: workbook.read(_books(spark, d), n).select(*c.split()), _sql)
+
+
+@query("SELECT '/books/4.xlsx' AS path FROM region WHERE r_regionkey = 4")
+def workbook_rejected(spark, d):
+    return workbook.rejected(_books(spark, d)).select("path")

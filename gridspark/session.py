@@ -11,16 +11,19 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where it is unset and all runs in one process."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/gridspark/{what}-{uuid.uuid4().hex}"
+    """A path for a working table, below a folder of this application's own."""
+    return f"{shared_dir(spark)}/gridspark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -28,3 +31,9 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_working_tables(spark: SparkSession) -> None:
+    """Deletes all that this application wrote with :func:`new_path`; results that still read from it are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridspark/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

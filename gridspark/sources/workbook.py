@@ -1,7 +1,9 @@
 """Workbooks (.xlsx, .xlsm) as relations: files are listed and read by Spark, one task for each, in any file system that Spark reaches.
 
 A file is checked before it is opened up: its kind, the number, names and sizes of its entries, and how much they expand.  What
-fails is a row of :func:`rejected`, never an exception that ends the job.
+fails, or is damaged anywhere inside, is a row of :func:`rejected` and gives no other row, never an exception that ends the job.
+
+A workbook's key is the SHA-256 of its file, or ``wb`` of the source if it has that column, by which the versions of a pair get one key.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.formula import column_number, translated
 from gridspark.operators.cells import CELLS
-from gridspark.operators.graph import DECLARED, NAMES
+from gridspark.operators.graph import DECLARED, LINKS, NAMES
+from gridspark.operators.rules import Audit
 
 MAX_ENTRIES, MAX_EXPANDED, MAX_RATIO, RATIO_FROM = 10_000, 250 << 20, 200, 10 << 20
 WORKBOOKS = "wb string, path string, bytes long, has_macros boolean, has_connections boolean, is_protected boolean, full_precision boolean"
 SHEETS = "wb string, sheet string, sheet_no int, visibility string, hidden_rows array<int>, hidden_cols array<int>, merged array<string>, is_protected boolean"
+SETTINGS = "wb string, calc_mode string, lock_structure boolean, lock_windows boolean"
 # Fixed values of the format: built-in number formats that show dates, and the texts of some others.
 _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 _FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "mm-dd-yy", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 39: "#,##0.00;(#,##0.00)", 49: "@"}
@@ -69,10 +73,10 @@ def opened(content: bytes) -> zipfile.ZipFile:
 class Reader:
     """One workbook's relations, as lists of rows."""
 
-    def __init__(self, path: str, content: bytes):
+    def __init__(self, path: str, content: bytes, wb: str | None = None):
         self.box = opened(content)
         self.names = set(self.box.namelist())
-        self.wb, self.path, self.bytes = hashlib.sha256(content).hexdigest(), path, len(content)
+        self.wb, self.path, self.bytes = wb or hashlib.sha256(content).hexdigest(), path, len(content)
         self.book = self._xml("xl/workbook.xml")
         self.links = self._relations("xl/workbook.xml")
         self.strings = ["".join(t.text or "" for t in si.iter() if _tag(t) == "t") for si in self._all("xl/sharedStrings.xml", "si")]
@@ -122,10 +126,21 @@ class Reader:
                     dated = number in _DATE_FORMATS or (number not in _FORMATS and bool(re.search("[ymdhs]", _QUOTED.sub("", code.lower()).replace("general", ""))))
                     self.styles.append((code, f"{code}|{fonts[font] if font < len(fonts) else '000'}|{fills[fill] if fill < len(fills) else ''}", dated))
 
-    def cells(self) -> Iterator[tuple]:
-        for number, (sheet, _, part) in enumerate(self.listed):
-            shared: dict[str, tuple[str, int, int]] = {}
-            for c in self._all(part, "c"):
+    def everything(self) -> Iterator[tuple[str, tuple]]:
+        """(relation, row) of all that is in the workbook; each sheet is parsed once and let go."""
+        for number, (sheet, state, part) in enumerate(self.listed):
+            elements = list(self._xml(part).iter()) if part in self.names else []
+            yield "sheets", self._sheet(number, sheet, state, elements)
+            for row in self._cells(number, sheet, elements):
+                yield "cells", row
+        for relation, rows in (("names", self._names_defined()), ("declared", self._declared()), ("links", self._links()), ("workbooks", self._workbook()), ("settings", self._settings())):
+            for row in rows:
+                yield relation, row
+
+    def _cells(self, number: int, sheet: str, elements: list) -> Iterator[tuple]:
+        shared: dict[str, tuple[str, int, int]] = {}
+        for c in elements:
+            if _tag(c) == "c":
                 letters, digits = _ADDRESS.match(c.get("r")).groups()
                 row, col = int(digits), column_number(letters)
                 code, style, dated = self.styles[int(c.get("s", 0))] if self.styles else ("General", "", False)
@@ -158,21 +173,18 @@ class Reader:
                 if kind is not None or formula is not None:
                     yield self.wb, sheet, number, row, col, kind, num, text, moment, formula, code, style
 
-    def sheets(self) -> Iterator[tuple]:
-        for number, (sheet, state, part) in enumerate(self.listed):
-            root = self._xml(part) if part in self.names else []
-            hidden = lambda e: e.get("hidden") in ("1", "true")
-            every = list(root.iter()) if len(root) else []
-            rows = sorted(int(e.get("r")) for e in every if _tag(e) == "row" and hidden(e))
-            cols = sorted({k for e in every if _tag(e) == "col" and hidden(e) for k in range(int(e.get("min")), min(int(e.get("max")), 16_384) + 1)})
-            yield self.wb, sheet, number, state, rows, cols, sorted(e.get("ref") for e in every if _tag(e) == "mergeCell"), any(_tag(e) == "sheetProtection" for e in every)
-
-    def names_defined(self) -> Iterator[tuple]:
+    def _sheet(self, number: int, sheet: str, state: str, elements: list) -> tuple:
+        hidden = lambda e: e.get("hidden") in ("1", "true")
+        rows = sorted(int(e.get("r")) for e in elements if _tag(e) == "row" and hidden(e))
+        cols = sorted({k for e in elements if _tag(e) == "col" and hidden(e) for k in range(int(e.get("min")), min(int(e.get("max")), 16_384) + 1)})
+        return self.wb, sheet, number, state, rows, cols, sorted(e.get("ref") for e in elements if _tag(e) == "mergeCell"), any(_tag(e) == "sheetProtection" for e in elements)
+
+    def _names_defined(self) -> Iterator[tuple]:
         for n in (n for e in self.book if _tag(e) == "definedNames" for n in e):
             scope = n.get("localSheetId")
             yield self.wb, n.get("name"), self.listed[int(scope)][0] if scope is not None else None, n.text or ""
 
-    def declared(self) -> Iterator[tuple]:
+    def _declared(self) -> Iterator[tuple]:
         for sheet, _, part in self.listed:
             for target in self._relations(part).values():
                 if "/tables/" in target and target in self.names:
@@ -180,62 +192,99 @@ class Reader:
                     (c1, r1), (c2, r2) = (_ADDRESS.match(p).groups() for p in (t.get("ref").split(":") * 2)[:2])
                     yield self.wb, sheet, t.get("displayName") or t.get("name"), int(r1), column_number(c1), int(r2), column_number(c2), int(t.get("headerRowCount", 1)), int(t.get("totalsRowCount", 0))
 
-    def workbook(self) -> Iterator[tuple]:
-        calc = next((e for e in self.book if _tag(e) == "calcPr"), None)
+    def _links(self) -> Iterator[tuple]:
+        """Targets of the files that the workbook links to, numbered in the order in which formulas name them."""
+        order = [self.links.get(_attr(e, "id"), "") for part in self.book if _tag(part) == "externalReferences" for e in part]
+        found = [r.get("Target") for part in order for r in self._all(f"{part.rpartition('/')[0]}/_rels/{part.rpartition('/')[2]}.rels", "Relationship") if r.get("Target") and r.get("TargetMode") == "External"]
+        parts = sum(bool(re.fullmatch(r"xl/externalLinks/[^/]+\.xml", n)) for n in self.names)
+        if not found and parts:
+            found = [f"<{parts} external link part(s) present>"]
+        for nth, target in enumerate(found, 1):
+            yield self.wb, nth, target
+
+    def _element(self, tag: str):
+        return next((e for e in self.book if _tag(e) == tag), None)
+
+    def _workbook(self) -> Iterator[tuple]:
+        calc = self._element("calcPr")
         full = calc.get("fullPrecision") if calc is not None else None
-        yield self.wb, self.path, self.bytes, "xl/vbaProject.bin" in self.names, "xl/connections.xml" in self.names, any(_tag(e) == "workbookProtection" for e in self.book), None if full is None else full in ("1", "true")
+        yield self.wb, self.path, self.bytes, "xl/vbaProject.bin" in self.names, "xl/connections.xml" in self.names, self._element("workbookProtection") is not None, None if full is None else full in ("1", "true")
+
+    def _settings(self) -> Iterator[tuple]:
+        calc, lock = self._element("calcPr"), self._element("workbookProtection")
+        locked = lambda name: lock is not None and lock.get(name) in ("1", "true")
+        yield self.wb, calc.get("calcMode") if calc is not None else None, locked("lockStructure"), locked("lockWindows")
 
 
-_RELATIONS = {"cells": (CELLS, Reader.cells), "sheets": (SHEETS, Reader.sheets), "names": (NAMES, Reader.names_defined), "declared": (DECLARED, Reader.declared), "workbooks": (WORKBOOKS, Reader.workbook)}
+RELATIONS = {"cells": CELLS, "sheets": SHEETS, "names": NAMES, "declared": DECLARED, "links": LINKS, "workbooks": WORKBOOKS, "settings": SETTINGS}
 BATCH = 20_000
 
 
-def _read(files: DataFrame, relation: str) -> DataFrame:
-    schema, rows = _RELATIONS[relation]
-    columns = [c.split()[0] for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
-    numbers = {c: "Int32" for c, t in zip(columns, re.sub(r"<[^>]*>", "", schema).split(", "), strict=True) if t.endswith(" int")}
+def _contents(batch: pd.DataFrame) -> Iterator[tuple]:
+    keys = batch["wb"] if "wb" in batch else [None] * len(batch)
+    yield from zip(batch["path"], batch["content"], keys, strict=True)
+
+
+def read(source: DataFrame, relation: str = "cells") -> DataFrame:
+    """One relation of the workbooks in ``source`` (``path`` and ``content``, as ``binaryFile`` gives them, streamed or not, and ``wb`` if keys are given).
+
+    A file's rows are given out when all of it has been read, so that a damaged one gives none in any relation.
+    """
+    schema = RELATIONS[relation]
+    columns = [c.split() for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
+    names, numbers = [c for c, _ in columns], {c: "Int32" for c, t in columns if t == "int"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content, wb in _contents(batch):
+                done: list[pd.DataFrame] = []
                 held: list[tuple] = []
                 try:
-                    for row in rows(Reader(path, content)):
-                        held.append(row)
-                        if len(held) >= BATCH:
-                            yield pd.DataFrame(held, columns=columns).astype(numbers)
-                            held = []
-                except (Rejected, ElementTree.ParseError):
-                    held = []
+                    for kind, row in Reader(path, content, wb).everything():
+                        if kind == relation:
+                            held.append(row)
+                            if len(held) >= BATCH:
+                                done.append(pd.DataFrame(held, columns=names).astype(numbers))
+                                held = []
+                except Exception:  # noqa: BLE001 - whatever a damaged file brings about; it is a row of rejected()
+                    continue
+                yield from done
                 if held:
-                    yield pd.DataFrame(held, columns=columns).astype(numbers)
+                    yield pd.DataFrame(held, columns=names).astype(numbers)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return _slim(source).mapInPandas(run, schema)
+
+
+def _slim(source: DataFrame) -> DataFrame:
+    return source.select("path", "content", *[c for c in ("wb",) if c in source.columns])
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path)
 
 
-def read(source: DataFrame, relation: str = "cells") -> DataFrame:
-    """One relation of the workbooks in ``source`` (``path`` and ``content``, as ``binaryFile`` gives them, streamed or not)."""
-    return _read(source, relation)
+def audit_source(source: DataFrame) -> Audit:
+    """All relations of the workbooks in ``source``, as rules read them."""
+    return Audit(*(read(source, r) for r in ("cells", "sheets", "workbooks", "names", "declared", "links")))
 
 
 def rejected(source: DataFrame) -> DataFrame:
-    """``path`` and ``reason`` of files that are not read."""
+    """``path`` and ``reason`` of files that are not read; found by reading all of every file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content, wb in _contents(batch):
                 try:
-                    Reader(path, content)
-                except (Rejected, ElementTree.ParseError) as e:
+                    for _ in Reader(path, content, wb).everything():
+                        pass
+                except Rejected as e:
                     out.append((path, str(e)))
+                except Exception as e:  # noqa: BLE001 - as in read()
+                    out.append((path, f"damaged: {type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "reason"])
 
-    return source.select("path", "content").mapInPandas(run, "path string, reason string")
+    return _slim(source).mapInPandas(run, "path string, reason string")
 
 
 def workbook_ids(source: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridspark.operators import rules
 from gridspark.plans import workflows
 from gridspark.sources import workbook
 
@@ -20,8 +19,7 @@ def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
     """Audits each micro-batch of workbooks; a batch's findings replace those of an earlier try of the same batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        source = rules.Audit(workbook.read(batch), workbook.read(batch, "sheets"), workbook.read(batch, "workbooks"), workbook.read(batch, "names"), workbook.read(batch, "declared"))
-        workflows.audit(source).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        workflows.audit(workbook.audit_source(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
