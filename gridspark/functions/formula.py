@@ -115,9 +115,16 @@ def parse(formula: str | None, row: int, col: int) -> dict | None:
 
 
 def _parsed(formula: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame:
-    none = {"norm": None, "functions": [], "refs": [], "names": [], "numbers": []}
-    rows = [parse(f, int(r), int(c)) or none for f, r, c in zip(formula, row, col, strict=True)]
-    return pd.DataFrame(rows, columns=["norm", "functions", "refs", "names", "numbers"])
+    """Column by column; cells without a formula, most of them, share one empty list."""
+    n, nothing = len(formula), []
+    out = {"norm": [None] * n, **{c: [nothing] * n for c in ("functions", "refs", "names", "numbers")}}
+    rows, cols = row.to_numpy(), col.to_numpy()
+    for i in formula.notna().to_numpy().nonzero()[0].tolist():
+        found = parse(formula.iat[i], int(rows[i]), int(cols[i]))
+        if found:
+            for name, values in out.items():
+                values[i] = found[name]
+    return pd.DataFrame(out)
 
 
 def parsed(formula: Column, row: Column, col: Column) -> Column:

@@ -199,46 +199,48 @@ _workbook("EA-OPQ-003", "is_protected", "info")
 _workbook("EA-RND-002", "full_precision = false", "medium")
 
 
-def _figures(cells: DataFrame) -> DataFrame:
-    """``cells`` with ``d`` (decimals that are shown), ``stored`` and ``displayed``; the latter are null where a figure has no exact form."""
-    d = text.display_decimals(F.coalesce("number_format", F.lit("")))
-    shown = cells.withColumn("d", F.when(F.col("kind") == "n", d))
-    return shown.withColumns({"stored": F.when(F.col("d").isNotNull(), text.exact(F.col("num"))), "displayed": F.when(F.col("d").isNotNull(), text.display_rounded(F.col("num"), F.col("d")))})
+def figures(cells: DataFrame) -> DataFrame:
+    """Cells with ``d`` (decimals that are shown), ``stored`` and ``displayed``; the latter are null where a figure has no exact form."""
+    fmt = F.coalesce("number_format", F.lit(""))
+    d = F.when((F.col("kind") == "n") & ~fmt.isin("", "General"), text.display_decimals(fmt))
+    shown = cells.select(*ADDRESS, "sheet_no", F.col("kind") == "n", F.col("formula").isNull(), d, "num").toDF(*ADDRESS, "sheet_no", "number", "typed", "d", "num")
+    known = F.col("d").isNotNull()
+    return shown.select(*shown.columns[:-1], F.when(known, text.exact(F.col("num"))).alias("stored"), F.when(known, text.display_rounded(F.col("num"), F.col("d"))).alias("displayed"))
 
 
 _SUMS = ("n", "n_bad", "sum_stored", "sum_displayed")
 
 
-def formula_totals(a: Audit) -> DataFrame:
-    """Addresses of formulas with one area on their own sheet under SUM or SUBTOTAL, and the sums of what is in the area."""
+def formula_totals(a: Audit, shown: DataFrame) -> DataFrame:
+    """Addresses of formulas with one area on their own sheet under SUM or SUBTOTAL, and the sums of what is in the area; ``shown`` are :func:`figures`."""
     formula = a.parsed.where("size(f.refs) = 1").where(F.arrays_overlap("f.functions", F.array(*map(F.lit, TOTALS)))).withColumn("ref", F.col("f.refs")[0])
     own = formula.where("ref.external is null and ref.is_range and ref.row1 is not null and ref.col1 is not null and (ref.sheet is null or upper(ref.sheet) = upper(sheet))")
     ends = {"row1": F.least("ref.row1", "ref.row2"), "row2": F.greatest("ref.row1", "ref.row2"), "col1": F.least("ref.col1", "ref.col2"), "col2": F.greatest("ref.col1", "ref.col2")}
     bins = F.explode(F.sequence(F.floor(F.col("row1") / graph.ROW_BIN), F.floor(F.col("row2") / graph.ROW_BIN))).alias("bin")
     spans = own.select(*SHEET, F.col("row").alias("t_row"), F.col("col").alias("t_col"), *[v.alias(k) for k, v in ends.items()]).select("*", bins)
-    points = _figures(a.cells).select(*ADDRESS, "stored", "displayed", F.floor(F.col("row") / graph.ROW_BIN).alias("bin"))
+    points = shown.select(*ADDRESS, "stored", "displayed", F.floor(F.col("row") / graph.ROW_BIN).alias("bin"))
     inside = spans.join(points, [*SHEET, "bin"]).where("row between row1 and row2 and col between col1 and col2 and not (row = t_row and col = t_col)")
     sums = inside.groupBy(*SHEET, F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg(F.count("*").alias("n"), F.count_if(F.col("stored").isNull()).alias("n_bad"), F.sum("stored").alias("sum_stored"), F.sum("displayed").alias("sum_displayed"))
-    return sums.join(_figures(a.cells).where("stored is not null").select(*ADDRESS, "sheet_no", "d", "stored", "displayed"), ADDRESS)
+    return sums.join(shown.where("stored is not null").select(*ADDRESS, "sheet_no", "d", "stored", "displayed"), ADDRESS)
 
 
-def run_totals(a: Audit, along: str, across: str) -> DataFrame:
+def run_totals(shown: DataFrame, along: str, across: str) -> DataFrame:
     """Addresses of numbers without a formula, and the sums of the run of up to ``MAX_RUN`` numbers right before them along an axis.
 
     Sums of a run are differences of running sums, so a line of numbers is read once.
     """
-    line = [*SHEET, across, "island"]
+    line = [*SHEET, across]
+    numbers = shown.where("number")
+    lines = numbers.join(numbers.groupBy(*line).agg(F.count("*").alias("_of"), F.max(F.col("typed") & F.col("stored").isNotNull()).alias("_any")).where(F.col("_any") & (F.col("_of") > MIN_COMPONENTS)).select(*line), line, "left_semi")
     order = Window.partitionBy(*line).orderBy(along)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    run = grid.islands(_figures(a.cells.where("kind = 'n'")), [*SHEET, across], along)
     zero = F.lit(0).cast("decimal(38,12)")
-    sofar = {
-        "_n": F.count(F.lit(1)).over(before), "_n_bad": F.count(F.when(F.col("stored").isNull(), 1)).over(before),
-        "_sum_stored": F.coalesce(F.sum("stored").over(before), zero), "_sum_displayed": F.coalesce(F.sum("displayed").over(before), zero),
-    }
-    read = run.withColumns(sofar)
-    within = {c: F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}", MAX_RUN).over(order), F.lit(0)) for c in _SUMS}
-    return read.withColumns(within).where("formula is null and stored is not null").select(*ADDRESS, *_SUMS, "sheet_no", "d", "stored", "displayed")
+    own = {"n": F.col(along), "n_bad": F.col("stored").isNull().cast("long"), "sum_stored": F.coalesce(F.col("stored").cast("decimal(38,12)"), zero), "sum_displayed": F.coalesce(F.col("displayed").cast("decimal(38,12)"), zero)}
+    # Up to each number, without itself; the place itself counts the numbers of a run.
+    sofar = {f"_{c}": (F.sum(own[c]).over(order) - own[c]) if c != "n" else own[c] for c in _SUMS}
+    read = lines.withColumns({**sofar, "_island": F.col(along) - F.row_number().over(order)})
+    run = Window.partitionBy(*line, "_island").orderBy(along)
+    within = {c: F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}", MAX_RUN).over(run), F.first(f"_{c}").over(run)) for c in _SUMS}
+    return read.withColumns(within).where("typed and stored is not null").select(*ADDRESS, *_SUMS, "sheet_no", "d", "stored", "displayed")
 
 
 @rule("EA-RND-001")
@@ -246,9 +248,10 @@ def rounding_drift(a: Audit) -> DataFrame:
     """Totals whose displayed components add up to another figure than is displayed, though the stored ones agree.
 
     A total is a SUM formula or a number under or right of a run of numbers.  It counts if it and all its components have formats with
-    fixed decimals and exact forms (see :func:`gridspark.functions.text.exact`).
+    fixed decimals and exact forms (see :func:`gridspark.functions.text.exact`).  The figures are written to a working table, as all three ways read them.
     """
-    ways = [formula_totals(a), run_totals(a, "row", "col"), run_totals(a, "col", "row")]
+    shown = saved(figures(a.cells), "figures")
+    ways = [formula_totals(a, shown), run_totals(shown, "row", "col"), run_totals(shown, "col", "row")]
     found = reduce(DataFrame.unionByName, [w.withColumn("_way", F.lit(k)) for k, w in enumerate(ways)])
     both = found.where((F.col("n") >= MIN_COMPONENTS) & (F.col("n_bad") == 0)).withColumns({"unit": text.display_unit(F.col("d")), "drift": F.col("sum_displayed") - F.col("displayed")})
     hit = both.where((F.abs(F.col("sum_stored") - F.col("stored")) < F.col("unit")) & (F.abs("drift") >= F.col("unit")))
