@@ -17,6 +17,8 @@ meets most often, which settles nearly all; only buckets that still hold several
 leader, from outside the first one's class, which is held against everyone.  Then whatever is left is compared across
 classes, pair by pair in buckets of up to ``SMALL`` members, and in larger ones in blocks: two parts of a bucket meet in one task,
 which counts the common shingles of all their members at once.  A link is lost only if its two texts share no band.
+
+All functions take nulls, empty and very long texts (a text is a block of its own, however long) and columns with any names beside the two they read.
 """
 
 from __future__ import annotations
@@ -363,7 +365,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     # An id that has several texts joins their classes.
     twice = own.where("first <> _last").select(F.explode("_all").alias("u"), F.col("first").alias("v")).where("u <> v")
     # Of each group of exact copies, the first one's band keys go on; only keys that two of them share do.
-    first = sketch.join(same.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bands")
+    first = sketch.join(same, ["a", "b", "id"], "left_semi").dropDuplicates(["id", "a", "b"]).select("id", "n", "bands")
     bands = first.select("id", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count("*").alias("_size")).where("_low <> _high").select("key", "_size")
     met = saved(bands.join(shared, "key"), "near-members")
@@ -400,12 +402,58 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(roots.toDF("first", "_root"), "first", "left").select("id", F.coalesce("_root", "first").alias("class_id"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``class_id`` and ``kept`` (the first of its class, or alone) of every row of ``docs``."""
-    return classes(docs, id_col=id_col, text_col=text_col).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+def _repeated(docs: DataFrame, id_col: str) -> DataFrame:
+    """The ids, of rows in any number, that more than one row has."""
+    return saved(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("id"), "near-repeated")
+
 
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``class_id`` and ``kept`` of every row of ``docs``: the first of its class is kept, and what is alone.
 
-def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, with all their columns."""
-    gone = classes(docs, id_col=id_col, text_col=text_col).where("id <> class_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(saved(gone, "near-gone"), id_col, "left_anti")
+    Of rows with equal ids one alone is kept.
+    """
+    found = classes(docs, id_col=id_col, text_col=text_col)
+    kept = F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))
+    twice = _repeated(docs, id_col)
+    if twice.isEmpty():
+        return found.select(F.col("id").alias("doc_id"), "class_id", kept.alias("kept"))
+    rows = saved(found.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    first = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.min("_row").alias("_first"))
+    again = F.coalesce(F.col("_row") != F.col("_first"), F.lit(False))
+    return rows.join(first, "id", "left").select(F.col("id").alias("doc_id"), "class_id", (kept & ~again).alias("kept"))
+
+
+def _former(docs: DataFrame, more: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``t``: those texts in ``more`` of documents in ``docs`` that ``docs`` itself does not have.  Hashes alone are compared."""
+    hashed = lambda df: df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_h"))
+    own = hashed(docs)
+    changed = saved(hashed(more).join(own, ["id", "_h"], "left_anti").join(own.select("id"), "id", "left_semi").distinct(), "near-changed")
+    return more.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).cast("string").alias("t")).join(changed, ["id", "_h"], "left_semi").select("id", "t")
+
+
+def first_of_class(docs: DataFrame, *, more: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class, with all their columns; of rows with equal ids one (that with the first text) stays.
+
+    ``more`` holds further texts of the same documents, by id, such as they were before something was cut out of them: two documents are linked
+    if any of their texts are.  Then the document with the longest text of its class in ``docs`` stays (the first of equals), else the first.
+    Rows with a null id, null texts and texts without a word stay; an empty table gives no rows.
+    """
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    texts = narrow if more is None else saved(narrow.union(_former(docs, more, id_col, text_col)), "near-all-texts")
+    found = classes(texts, id_col="id", text_col="t")
+    if more is None:
+        gone = saved(found.where("id <> class_id").select("id").distinct(), "near-gone")
+    else:
+        several = saved(found.where("id <> class_id").distinct(), "near-several")
+        members = several.union(several.select("class_id", "class_id").distinct())
+        lengths = narrow.select("id", F.coalesce(F.length("t"), F.lit(0)).alias("_long")).join(members, "id")
+        best = lengths.groupBy("class_id").agg(F.min_by("id", F.struct(-F.col("_long"), F.col("id"))).alias("_best"))
+        gone = saved(members.join(best, "class_id").where("id <> _best").select("id").distinct(), "near-gone")
+    left = docs.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti").select(*docs.columns)
+    twice = _repeated(docs, id_col)
+    if twice.isEmpty():
+        return left
+    again = left.join(twice.withColumnRenamed("id", id_col), id_col, "left_semi").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = again.groupBy(id_col).agg(F.min_by(whole, F.struct(F.col(text_col), F.to_json(whole))).alias("_one")).select("_one.*")
+    return left.join(twice.withColumnRenamed("id", id_col), id_col, "left_anti").select(*docs.columns).unionByName(one)
