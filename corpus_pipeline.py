@@ -25,8 +25,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return dartminhash.first_of_class(docs)
+    """One document of each group of near duplicates stays.
+
+    Texts count as they are and as they came: the stage before leaves of a copy no more than its own lines, which are like nothing.
+    """
+    return dartminhash.first_of_class(docs, more=_table(spark, sf_dir, "documents"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
