@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 16_000
-#: Texts are parsed in segments of this length, side by side; a phrase ends where its segment ends.
+#: Texts are parsed in segments of this length, side by side; phrases go on across them.
 SEGMENT = 512
 UNDETERMINED = "und"
 _SPACES = re.compile(r"\s+")
@@ -99,7 +99,12 @@ class Model:
         self.moves = np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """[text, language] -> phrases, over whole texts."""
+        """[text, language] -> phrases, over whole texts.
+
+        Every segment is first parsed as if a phrase began with it.  Then each is parsed again from the state in which the one before it
+        ends, until both parses are in the same state, from where on they are the same.  Where they never are, the segment ends in
+        another state, and the next one is parsed again in its turn.
+        """
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         chars = self.codes[np.minimum(points, len(self.codes) - 1)]
@@ -109,10 +114,16 @@ class Model:
         start = np.repeat(np.cumsum(lengths) - lengths, pieces) + within * SEGMENT
         size = np.minimum(lengths[owner] - within * SEGMENT, SEGMENT)
         order = np.argsort(-size, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        last = np.append(within[1:] == 0, True)[: len(order)]
+        before = np.where(within > 0, np.roll(place, 1), -1)[order]
+        behind = np.where(last, -1, np.roll(place, -1))[order]
         owner, start, size = owner[order], start[order], size[order]
         live = len(owner) - np.searchsorted(size[::-1], np.arange(SEGMENT), side="right")  # segments longer than k
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         padded = np.append(chars, np.zeros(SEGMENT, np.int64))
+        states, counts = np.zeros((2, SEGMENT, len(owner)), np.int32)
         for j, root in enumerate(self.roots):
             state = np.full(len(owner), root, np.int64)
             count = np.zeros(len(owner), np.int64)
@@ -123,7 +134,34 @@ class Model:
                 move = self.moves[state[:n] + padded[start[:n] + k]]
                 count[:n] += move & 1
                 state[:n] = move >> 1
-            out[:, j] = np.bincount(owner, weights=count, minlength=len(texts))
+                states[k, :n], counts[k, :n] = state[:n], count[:n]
+            found, ends = count.copy(), state.copy()
+            todo = np.flatnonzero(before >= 0)
+            while len(todo):
+                at, now, seen = todo, ends[before[todo]], np.zeros(len(todo), np.int64)
+                changed = []
+                for k in range(SEGMENT + 1):
+                    over = size[at] <= k
+                    if over.any():  # both parses differ to the end
+                        gone = at[over]
+                        found[gone] = seen[over]
+                        changed.append(gone[ends[gone] != now[over]])
+                        ends[gone] = now[over]
+                        at, now, seen = at[~over], now[~over], seen[~over]
+                    if not len(at):
+                        break
+                    move = self.moves[now + padded[start[at] + k]]
+                    now, seen = (move >> 1).astype(np.int64), seen + (move & 1)
+                    same = now == states[k, at]
+                    if same.any():
+                        met = at[same]
+                        found[met] = count[met] - counts[k, met] + seen[same]
+                        changed.append(met[ends[met] != state[met]])
+                        ends[met] = state[met]
+                        at, now, seen = at[~same], now[~same], seen[~same]
+                todo = behind[np.concatenate(changed)] if changed else todo[:0]
+                todo = todo[todo >= 0]
+            out[:, j] = np.bincount(owner, weights=found, minlength=len(texts))
         return out
 
 
@@ -135,6 +173,8 @@ def samples(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, where
     chosen = slim.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_DOCS).select("_lang", "_hash").distinct()
     ids = [r["_hash"] for r in chosen.collect()]
     rows = known.where(F.xxhash64(F.col(id_col).cast("string")).isin(ids)).select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_hash"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("_text"))
+    # An id may have any number of rows.
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_text"))).where(F.col("_n") <= SAMPLE_DOCS)
     texts: dict[str, str] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["_lang"], r["_hash"], r["_text"])):
         if len(texts.get(r["_lang"], "")) < SAMPLE_CHARS and has_letter(r["_text"]):
@@ -148,7 +188,8 @@ def identify(docs: DataFrame, *, train, id_col: str = "doc_id", text_col: str =
     ``train`` is a condition that picks the rows with labelled text to learn from; its language column
     is no input of a prediction.  A null text, one without a letter, and any text if nothing could be learned, give
     ``und`` with score 0.  Otherwise the score is one less the ratio of the winner's phrases to the runner-up's, raised into
-    0 to 1; a tie goes to the first language by name.  Rows with equal ids give a row each; an empty table none.
+    0 to 1; a tie goes to the first language by name.  Rows with equal ids give a row each; an empty table none.  A text is parsed whole,
+    however long; columns other than these three are not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(Model(samples(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, where=train)))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

@@ -108,10 +108,33 @@ def test_awkward_and_empty_tables(awkward, no_documents):
     assert dm.near_duplicates(no_documents).count() == 0
     kept = dm.first_of_class(awkward)
     assert set(kept.columns) == set(awkward.columns)
-    assert 11 not in {r["doc_id"] for r in kept.collect()} and kept.count() == awkward.count() - 1
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 11 not in ids and ids.count(5) == 1 and kept.count() == awkward.count() - 2  # a copy and a repeated row go
 
 
 def test_equal_ids_with_different_texts_share_a_class(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     docs = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b), (4, c)], "doc_id long, text string")
     assert {(r["doc_id"], r["class_id"]) for r in dm.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_one_of_repeated_rows_is_kept(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, a, "z"), (3, b, "z"), (3, b, "z"), (4, None, "n"), (4, None, "n"), (None, b, "q"), (None, b, "q")], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["kept"]) for r in dm.near_duplicates(docs).collect())
+    assert got == [(0, True), (0, True), (1, False), (1, False), (1, True), (2, False), (3, False), (3, True), (4, False), (4, True)]
+    left = dm.first_of_class(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in left.collect()) == [(0, "q"), (0, "q"), (1, "x"), (3, "z"), (4, "n")]
+
+
+def test_former_texts_link_what_was_cut(spark):
+    rng = random.Random(7)
+    source = [str(rng.random()) for _ in range(100)]
+    near = [*source[:50], "other", *source[51:]]
+    came = {1: " ".join(source), 2: " ".join(near), 3: " ".join(str(rng.random()) for _ in range(60)), 4: " ".join(source), 5: "left over"}
+    now = came | {1: "left over", 2: " ".join(near), 4: " ".join(source[:9])}
+    frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    # 1, 2 and 4 came as near copies, 1 and 5 are copies now; the longest of them stays.
+    assert sorted(r["doc_id"] for r in dm.first_of_class(frame(now), more=frame(came)).collect()) == [2, 3]
+    assert sorted(r["doc_id"] for r in dm.first_of_class(frame(now)).collect()) == [1, 2, 3, 4]

@@ -29,6 +29,24 @@ def test_phrases_against_substring_search():
             assert row[j] == longest_match_phrases(t, known[name])
 
 
+def test_phrases_go_on_across_segments():
+    rng = random.Random(9)
+    known = {"x": "".join(rng.choices("ab", k=400)) + "a" * 9 + "b", "y": "".join(rng.choices("abc ", k=600)), "z": "the cat sat on the mat " * 20}
+    model = langid.Model(known)
+    cut = langid.SEGMENT
+    texts = ["".join(rng.choices("abcd ", k=n)) for n in (cut - 1, cut, cut + 1, 2 * cut, 5 * cut + 7, 9_000)]
+    texts += ["a" * 6_000, "ab" * 2_500, known["z"] * 6, known["x"] * 9, "", "q" * 3 * cut, "a" * (cut - 1) + "q" + "b" * cut]
+    got = model.phrases(texts)
+    for t, row in zip(texts, got, strict=True):
+        assert [longest_match_phrases(t, known[name]) for name in model.languages] == row.tolist()
+
+
+def test_a_repeated_id_does_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"words of one language number {i}", "en") for i in range(500)] + [(2, "mots d'une autre langue", "fr")], "doc_id long, text string, lang string")
+    found = langid.samples(docs, id_col="doc_id", text_col="text", lang_col="lang", where=F.lit(True))
+    assert set(found) == {"en", "fr"} and found["en"].count("number") == langid.SAMPLE_DOCS
+
+
 def test_held_out_accuracy(spark, tiny):
     rows = QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)

@@ -25,3 +25,29 @@ def test_empty_documents(spark, tiny):
     for name, stage in cp.STAGES:
         docs = cp.saved(stage(spark, docs, tiny), name)
     assert docs.count() == 0
+
+
+def test_no_class_of_copies_has_two_survivors(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = cp.saved(cp.keep_quality(spark, docs, sf), "good")
+    classes = dartminhash.classes(good).toDF("doc_id", "class_id")
+    left = cp.keep_first(spark, cp.saved(cp.drop_lines(spark, good, sf), "lines"), sf)
+    found = left.join(classes, "doc_id").groupBy("class_id").count()
+    assert classes.where("doc_id <> class_id").count() > 20 and found.where("count > 1").count() == 0
+    assert found.count() > 0.9 * classes.select("class_id").distinct().count()  # nothing else goes but documents of recurring lines
+
+
+def test_awkward_rows_through_all_stages(spark, tiny, awkward, tmp_path):
+    """Nulls in every column, repeated rows, very long texts and clashing column names, as the whole table of documents."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tiny}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.saved(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert ids.count(5) <= 1 and 11 not in ids and not {1, 2, 3, 4} & set(ids)
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(ids)
