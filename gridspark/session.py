@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set(_KEY, found)
-    return found.rstrip("/")
+    return _qualified(spark, found)
+
+
+@cache
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The folder with its file system: one without a scheme is in the cluster's default one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
