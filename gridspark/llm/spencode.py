@@ -3,8 +3,10 @@
 The merges are done here, by an agenda of adjacent symbol pairs ordered by score and then by place: the best
 pair whose concatenation is a piece is joined, until none is left.  Symbols that are no piece fall back to bytes.
 No piece holds a space mark after another character, so a text falls apart into chunks that merge on their own; each
-chunk is encoded once while it stays in a bounded cache, and every chunk that enters the cache is checked, an Arrow
-batch's worth at a time, against the sentencepiece library.
+chunk is encoded once while it stays in a bounded cache, and every chunk that is encoded is checked, an Arrow
+batch's worth at a time, against the sentencepiece library: its ids by ``encode``, what they decode to by ``decode``.
+
+Nulls count as empty; a text is encoded whole, however long; columns other than the two that are read are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from gridspark.llm._text import slices
 from gridspark.llm._worker import kept
 
 MARK = "▁"
-#: Chunks kept in each of the cache's two generations.
-CACHE = 200_000
+#: Characters of chunks and of their ids kept in each of the cache's two generations; some 200,000 chunks, with what Python adds 80 MB.
+CACHE = 5_000_000
 #: Chunks of more characters use a heap; others merge side by side, so many at once.
 LONG = 64
 ROWS = 16_384
@@ -202,10 +204,14 @@ class Vocabulary:
         return [s for s in symbols if s is not None]
 
     def checked(self, chunks: dict[str, list[int]]) -> None:
-        """Raises unless the library agrees on every chunk; a line break before a chunk keeps it from being a text's start."""
-        for (chunk, own), ids in zip(chunks.items(), self.library.encode(["\n" + c for c in chunks], num_threads=1), strict=True):
+        """Raises unless the library agrees on every chunk, both ways; a line break before a chunk keeps it from being a text's start."""
+        theirs = self.library.encode(["\n" + c for c in chunks], num_threads=1)
+        for (chunk, own), ids in zip(chunks.items(), theirs, strict=True):
             if own != ids[2:]:
                 raise ValueError(f"the library encodes {chunk!r} as {ids[2:]}, not {own}")
+        for (chunk, own), text in zip(chunks.items(), self.library.decode(theirs, num_threads=1), strict=True):
+            if text != "\n" + b"".join(map(self.text.__getitem__, own)).decode("utf-8", "replace"):
+                raise ValueError(f"the library decodes {own} as {text[1:]!r}")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, as the library gives it: the first space mark, which encoding added, goes."""
@@ -225,26 +231,33 @@ class Encoder:
         self.check = check
         self.new: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
         self.names = [str(i) for i in range(len(self.vocabulary.text))]
 
     def learn(self, texts: list[list[str]]) -> dict[str, tuple[str, bytes]]:
-        """A cache that has all chunks of ``texts``; the older of two generations goes when the newer is full."""
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
+        """All chunks of ``texts``; the older of the cache's two generations goes when the newer is full.  Chunks over ``LONG`` are not kept."""
+        if self.held > CACHE:
+            self.old, self.new, self.held = self.new, {}, 0
         cache, old, v = self.new, self.old, self.vocabulary
-        missing = []
+        missing, long = [], {}
         for chunk in set().union(*texts) - cache.keys():
             if (entry := old.get(chunk)) is None:
                 missing.append(chunk)
             else:
                 cache[chunk] = entry
+                self.held += len(chunk) + len(entry[0])
         found = v.merge_all(missing)
         names, text = self.names, v.text
         for chunk, ids in zip(missing, found, strict=True):
-            cache[chunk] = (" ".join([names[i] for i in ids]), b"".join([text[i] for i in ids]))
+            entry = " ".join([names[i] for i in ids]), b"".join([text[i] for i in ids])
+            if len(chunk) > LONG:
+                long[chunk] = entry
+            else:
+                cache[chunk] = entry
+                self.held += len(chunk) + len(entry[0])
         if self.check and missing:
             v.checked(dict(zip(missing, found, strict=True)))
-        return cache
+        return cache | long if long else cache
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text with the end id; null counts as empty."""
@@ -300,7 +313,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every row in one pass: ``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
+    """Encodes and decodes every row in one pass: ``doc_id``, ``n_tokens`` (all ids), ``ids_sha256`` and ``decoded_sha256``.
+
+    A null or empty text has the end id alone and decodes to nothing.  Rows with equal ids give a row each; an empty table none.
+    """
     rows = docs.select(id_col, text_col).toDF("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
