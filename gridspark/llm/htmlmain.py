@@ -15,6 +15,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
@@ -32,7 +33,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are no text of the page.
-SILENT = frozenset("script style template svg math".split())
+SILENT = frozenset("script style template".split())
+#: What names a drawing is not shown.
+_UNSHOWN = frozenset("title desc metadata".split())
 #: An element that a start tag closes: the open ones it ends, and those that it does not look beyond.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -44,32 +47,51 @@ PATH, WORDS, FIGURES = 192, 64, 7
 WIDTH = PATH + WORDS + FIGURES
 HIDDEN = 16
 SEED = 20240607
-PAGES, STEPS, BATCH, RATE = 3_000, 300, 32, 0.01
+PAGES, STEPS, BATCH, RATE = 4_000, 700, 32, 0.01
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _LINK = "a"
 
 
+#: What a block's vector tells of its path: the places of all its tokens as bits, the innermost tag, the number of tokens.
+Path = tuple[int, str, int]
+
+
 class Leaves(HTMLParser):
-    """Collects ``blocks``: (path tokens, text with single spaces, share of its characters in links)."""
+    """Collects ``blocks``: (path, text with single spaces, share of its characters in links).
+
+    An open element adds to the path of the one around it, so that a page costs memory for its own length, however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[str, ...], str, float]] = []
+        self.open: list[tuple[str, Path, bool]] = []
+        self.count: Counter[str] = Counter()
+        self.blocks: list[tuple[Path, str, float]] = []
         self.parts: list[str] = []
-        self.linked = self.silent = self.links = 0
+        self.linked = self.silent = 0
 
     def close_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((tuple(t for _, tokens in self.open for t in tokens), text, min(1.0, self.linked / len(text))))
+                self.add(text, min(1.0, self.linked / len(text)))
             self.parts, self.linked = [], 0
 
+    def add(self, text: str, share: float) -> None:
+        self.blocks.append((self.open[-1][1] if self.open else (0, "", 0), text, share))
+
+    def path(self, tag: str, names: str) -> Path:
+        """The path of a new element: its tag and the lower-cased words in its class, id and role."""
+        bits, _, n = self.open[-1][1] if self.open else (0, "", 0)
+        words = {w.lower() for w in _NAME_PARTS.findall(names)} if names else ()
+        for token in (f"<{tag}>", *words):
+            bits |= 1 << _place(token)
+        return bits, f"<{tag}>", n + 1 + len(words)
+
     def _pop(self, at: int) -> None:
-        for tag, _ in self.open[at:]:
-            self.silent -= tag in SILENT
-            self.links -= tag == _LINK
+        for tag, _, quiet in self.open[at:]:
+            self.silent -= quiet
+            self.count[tag] -= 1
         del self.open[at:]
 
     def _end_open(self, ends, within) -> None:
@@ -80,8 +102,11 @@ class Leaves(HTMLParser):
             if self.open[at][0] in within:
                 return
 
+    def _unshown(self, tag: str) -> bool:
+        return tag in _UNSHOWN and self.count["svg"] > 0
+
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self._unshown(tag):
             self.close_block()
             if tag in CLOSES:
                 self._end_open(*CLOSES[tag])
@@ -91,18 +116,22 @@ class Leaves(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        self.silent += tag in SILENT
-        self.links += tag == _LINK
-        self.open.append((tag, _tokens(tag, " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))))
+        quiet = tag in SILENT or self._unshown(tag)
+        self.silent += quiet
+        path = self.path(tag, " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))
+        self.count[tag] += 1
+        self.open.append((tag, path, quiet))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in SILENT:
+        if tag not in VOID and self.open and self.open[-1][2]:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self._unshown(tag):
             self.close_block()
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._pop(at)
@@ -113,21 +142,11 @@ class Leaves(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(data)
-            if self.links:
+            if self.count[_LINK]:
                 self.linked += len(data)
 
 
-@cache
-def _part(tag: str) -> tuple[str, ...]:
-    return (f"<{tag}>",)
-
-
-def _tokens(tag: str, names: str) -> tuple[str, ...]:
-    """The tag and the lower-cased words in its class, id and role."""
-    return _part(tag) if not names else (*_part(tag), *(w.lower() for w in _NAME_PARTS.findall(names)[:64]))
-
-
-def leaves(html: str | None) -> list[tuple[tuple[str, ...], str, float]]:
+def leaves(html: str | None) -> list[tuple[Path, str, float]]:
     parser = Leaves()
     parser.feed(html or "")
     parser.close()
@@ -146,17 +165,12 @@ def _place(token: str) -> int:
     return found
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def vectors(blocks: list[tuple[Path, str, float]]) -> np.ndarray:
     """A row for each block."""
     n = len(blocks)
     out = np.zeros((n, WIDTH), np.float32)
-    places = [[_place(t) for t in path] for path, _, _ in blocks]
-    owner = np.repeat(np.arange(n), [len(p) for p in places])
-    out[owner, np.fromiter((p for own in places for p in own), np.int64, len(owner))] = 1
-    for i, own in enumerate(places):
-        if own and len(blocks[i][0]):
-            last = next((t for t in reversed(blocks[i][0]) if t[0] == "<"), "")
-            out[i, _place(f"last{last}")] = 1
+    bits = b"".join([((mask | 1 << _place(f"last{tag}")) if tag else mask).to_bytes(PATH // 8, "little") for (mask, tag, _), _, _ in blocks])
+    out[:, :PATH] = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(n, PATH // 8), axis=1, bitorder="little")
     raw = [text.encode("utf-8", "surrogatepass") for _, text, _ in blocks]
     words = Words(raw, SPACE_WORDS, True)
     counts = np.bincount(words.doc * WORDS + (words.hash >> np.uint64(58)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
@@ -167,7 +181,7 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     figures[:, 1] = np.log1p(words.counts) / 6
     figures[:, 2] = [share for _, _, share in blocks]
     figures[:, 3] = [t[-1] in ".!?。»\"" for _, t, _ in blocks]
-    figures[:, 4] = [len(path) / 16 for path, _, _ in blocks]
+    figures[:, 4] = [size / 16 for (_, _, size), _, _ in blocks]
     figures[:, 5] = chars < 25
     figures[:, 6] = 1
     return out
@@ -366,36 +380,90 @@ def _article(rng: random.Random) -> list[tuple[str, int]]:
     return out
 
 
+class _Marked(Leaves):
+    """Reads made-up pages, whose pieces stand in elements that tell their label and leave no trace in the paths."""
+
+    def __init__(self):
+        super().__init__()
+        self.labels: list[bool] = []
+
+    def add(self, text: str, share: float) -> None:
+        super().add(text, share)
+        self.labels.append(self.count["zz-kept"] > 0)
+
+    def handle_starttag(self, tag, attrs):
+        if tag.startswith("zz-"):
+            self.close_block()
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag.startswith("zz-"):  # also ends what was left open inside
+            self.close_block()
+            self._pop(max(at for at, (name, _, _) in enumerate(self.open) if name == tag))
+        else:
+            super().handle_endtag(tag)
+
+    def path(self, tag: str, names: str) -> Path:
+        if tag.startswith("zz-"):
+            return self.open[-1][1] if self.open else (0, "", 0)
+        return super().path(tag, names)
+
+
+_PREFIXES = "td fl wp et css js u l c x cb vc pg tpl".split()
+
+
+def _wrapped(rng: random.Random, html: str, most: int) -> str:
+    """Inside a few elements whose names tell nothing: layout words, a theme's prefix, made-up letters."""
+    for _ in range(rng.randrange(most + 1)):
+        name = "-".join([*rng.choices(_PREFIXES, k=rng.random() < 0.5), *rng.choices(NEUTRAL, k=rng.randrange(2)), *["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(rng.random() < 0.3)]])
+        html = f'<div class="{name}">{html}</div>' if name else f"<div>{html}</div>"
+    return html
+
+
 def layout(rng: random.Random) -> tuple[list, np.ndarray]:
     """The blocks of a made-up page and their labels."""
 
     def marked(html: str, label: int) -> str:
-        """The label goes along as an attribute that is read back from the paths, then dropped."""
-        return f'<div id="zz{"kept" if label else "gone"}zz">{html}</div>'
+        kind = "kept" if label else "gone"
+        return f"<zz-{kind}>{html}</zz-{kind}>"
 
     before = [k for k in ("menu", "header", "notice", "advert", "sidebar", "form") if rng.random() < (0.7 if k == "menu" else 0.35)]
     after = [k for k in ("footer", "comments", "sidebar", "share", "advert", "notice", "form", "menu") if rng.random() < (0.8 if k == "footer" else 0.25)]
+    nameless = rng.random() < 0.1  # names are made up; what is left are lists of links and footers
+    if nameless:
+        before, after = ["menu"], [k for k in after if k in ("footer", "menu", "share")]
     rng.shuffle(before)
-    body = "".join(marked(_boilerplate(rng, k), 0) for k in before)
-    pieces = "".join(marked(html, label) for html, label in _article(rng)) if rng.random() < 0.97 else ""
+
+    def parts(kinds: list[str]) -> list[str]:
+        made = [_boilerplate(rng, k) for k in kinds]
+        told = [html for html in made if not nameless or "<li><a" in html or html.startswith("<footer")]
+        return [marked(_wrapped(rng, html, 1 if rng.random() < 0.3 else 0), 0) for html in told]
+
+    article = [(html, label) for html, label in (_article(rng) if rng.random() < 0.97 else []) if label or not nameless]
+    plain = rng.random() < 0.15  # a page without paragraph elements
+    pieces = "".join(marked(re.sub(r"(</?)p>", r"\1div>", html) if plain and label else html, label) for html, label in article)
     shell = rng.random()
-    if shell < 0.5:
+    if shell < 0.4:
         pieces = f"<article{_name(rng, CONTENT, 0.4)}>{pieces}</article>"
-    elif shell < 0.65:
+    elif shell < 0.5:
         pieces = f"<main{_name(rng, CONTENT, 0.5)}>{pieces}</main>"
-    elif shell < 0.93:
+    elif shell < 0.72:
         pieces = f"<{rng.choice(['div', 'section'])}{_name(rng, CONTENT, 0.9)}>{pieces}</div>"
-    body += pieces + "".join(marked(_boilerplate(rng, k), 0) for k in after)
-    if rng.random() < 0.4:
-        body = f"<div{_name(rng, NEUTRAL, 0.9)}>{body}</div>"
+    pieces = _wrapped(rng, pieces, 3 if shell < 0.93 else 0)
+    if rng.random() < 0.1:  # columns of a table
+        side = parts([k for k in ("menu", "sidebar", "advert") if rng.random() < 0.6])
+        body = "".join(parts(before)) + f"<table><tr><td>{''.join(side)}</td><td>{pieces}</td></tr></table>" + "".join(parts(after))
+    else:
+        body = "".join(parts(before)) + pieces + "".join(parts(after))
+    body = _wrapped(rng, body, 2)
+    if nameless:
+        body = re.sub(r'(class|id)="[^"]*"', lambda m: f'{m[1]}="{rng.choice(_PREFIXES)}-{rng.choice(_POOL)}"', body)
     page = f"<html><head><title>{_words(rng, 2, 12)}</title></head><body{_name(rng, NEUTRAL, 0.2)}>{body}</body></html>"
-    blocks, labels = [], []
-    for path, text, share in leaves(page):
-        kept = any(t.startswith("zzkept") for t in path)
-        at = next((i for i, t in enumerate(path) if t.startswith("zz")), None)
-        blocks.append((path if at is None else (*path[: at - 1], *path[at + 1 :]), text, share))
-        labels.append(kept)
-    return blocks, np.array(labels, np.float32)
+    parser = _Marked()
+    parser.feed(page)
+    parser.close()
+    parser.close_block()
+    return parser.blocks, np.array(parser.labels, np.float32)
 
 
 @cache
@@ -435,7 +503,8 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row of ``pages``.
 
-    A null or empty page, and one without an article, gives an empty text; equal rows give a row each; an empty table none.
+    A null or empty page, and one without an article, gives an empty text; equal rows give a row each; an empty table none.  A page is
+    read whole, however long or deep; columns other than the three are not looked at.
     """
     net = pages.sparkSession.sparkContext.broadcast(trained())
     rows = pages.select(id_col, url_col, html_col).toDF("page_id", "url", "_html")

@@ -88,3 +88,35 @@ def test_awkward_and_empty_tables(spark):
     by = {r["page_id"]: r for r in got}
     assert (by[1]["text"], by[2]["n_chars"], by[None]["n_chars"]) == ("", 0, 60_000 * 5 - 1)
     assert htmlmain.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+TEXT = "The committee met on Monday to talk about the new bridge, which will be built over the river in the coming year."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body class="td-animation"><div class="td-header-wrap"><div class="td-header-menu"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div></div><div class="td-main"><div class="td-pb-span8"><h1 class="entry-title">A bridge</h1><p>{TEXT}</p><p>{TEXT}</p></div></div></body>',
+        f'<body><table><tr><td><a href="/">Home</a><br><a href="/l">Links</a></td><td><h2>A bridge</h2><p>{TEXT}</p><p>{TEXT}</p></td></tr></table></body>',
+    ],
+)
+def test_layouts_that_no_generator_made(net, html):
+    text = htmlmain.main_texts(net, [html])[0]
+    assert text.count(TEXT) == 2 and "Home" not in text
+
+
+def test_deep_pages_take_no_more_than_their_length():
+    import tracemalloc
+
+    tracemalloc.start()
+    blocks = htmlmain.leaves("<div class='a b c'>x" * 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 20_000 and peak < 64 << 20
+
+
+def test_formulas_and_drawings():
+    html = "<p>It holds that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.<svg><title>icon</title><text>label</text></svg></p>"
+    assert [t for _, t, _ in htmlmain.leaves(html)] == ["It holds that x=2 here.label"]
+    many = htmlmain.leaves(f'<p class="{" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))}">x')
+    assert many[0][0][2] == 201  # every word of an attribute counts
