@@ -20,16 +20,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines are cut out of the texts."""
-    return linedup.dedupe_lines(docs)
+    """Recurring lines are cut out of the texts; a document that would lose most of its text is a copy, and is left whole to the next stage."""
+    return linedup.dedupe_lines(docs, copy_share=0.5)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays.
-
-    Texts count as they are and as they came: the stage before leaves of a copy no more than its own lines, which are like nothing.
-    """
-    return dartminhash.first_of_class(docs, more=_table(spark, sf_dir, "documents"))
+    """One document of each group of near duplicates stays."""
+    return dartminhash.first_of_class(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
