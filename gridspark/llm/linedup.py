@@ -135,12 +135,17 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", copy_share: float = 0.0) -> DataFrame:
     """``docs`` without the dropped lines, with all columns; ``chars_col``, if there, is counted anew where lines went.
 
-    Documents of which no word remains go; documents that lost nothing stay as they are, null texts too.
+    A document of which less than ``copy_share`` of its characters would remain is a copy as a whole, no text with recurring lines in it; it stays
+    as it is, for near-dedup to judge.  Of the others, documents of which no word remains go; those that lost nothing stay as they are, null
+    texts too.  Repeated rows are treated alike; an empty table gives no rows.
     """
     found = _marked(docs, id_col, text_col).withColumn("_new", _without(F.col(text_col)))
+    if copy_share:
+        copy = F.col("_drop").isNotNull() & (F.length("_new") < copy_share * F.length(text_col))
+        found = found.withColumns({"_drop": F.when(~copy, F.col("_drop")), "_new": F.when(copy, F.col(text_col)).otherwise(F.col("_new"))})
     found = found.where(F.col("_drop").isNull() | F.col("_new").rlike("[^ \\t\\r\\n]"))
     chars = {chars_col: F.when(F.col("_drop").isNull(), F.col(chars_col)).otherwise(F.length("_new")).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {}
     return found.withColumns({**chars, text_col: F.col("_new")}).select(*docs.columns)
