@@ -255,3 +255,37 @@ def test_structural_changes(spark):
     assert found(diff.structural_changes(old, new, pairs).fillna("-"), "change", "sheet") == [
         ("hidden_rows_changed", "A"), ("macros_added", "-"), ("name_added", "-"), ("name_changed", "-"), ("name_removed", "-"), ("sheet_added", "D"), ("sheet_removed", "C"), ("sheet_reordered", "A"), ("sheet_reordered", "B"), ("visibility_changed", "B"),
     ]
+
+
+def test_a_failing_rule_sinks_no_other(spark, monkeypatch):
+    def planned(a):
+        raise KeyError("no such column")
+
+    monkeypatch.setitem(rules.RULES, "EA-CPX-001", planned)
+    monkeypatch.setitem(rules.RULES, "EA-ERR-001", lambda a: rules._finding(a.cells.where(F.raise_error(F.lit("boom")).isNull()), "EA-ERR-001", "low", "low", {}))
+    report = workflows.audited(rules.Audit(sheet(spark, ("S", {"A1": "=TODAY()", "A2": 1e30, "A3": (None, 1e30, "0.00"), "A4": (None, 2.0, "0.00"), "A5": (None, 3.0, "0.0000000")}))))
+    assert found(report.failed, "rule") == [("EA-CPX-001",), ("EA-ERR-001",)]
+    assert found(report.findings, "rule") == [("EA-VOL-001",)]
+
+
+def test_seven_decimals_and_huge_figures(spark):
+    parts = {f"A{i}": (None, v, "0.0000000") for i, v in enumerate([0.12345674, 0.22345674, 0.32345674], 1)} | {f"C{i}": (None, 1e30, "0.00") for i in range(1, 5)}
+    r = audit(spark, ("S", parts | {"A4": ("=SUM(A1:A3)", 0.67037022, "0.0000000")})).where("rule = 'EA-RND-001'").collect()
+    assert [(x["row"], x["col"]) for x in r] == [(4, 1)]
+
+
+def test_swapped_sheets_are_renamed_at_once():
+    from gridspark.functions.formula import sheets_renamed
+
+    swap = {"A": "B", "B": "A", "C": "Cost $", "It's": "D"}
+    assert sheets_renamed("=A!B1+B!B1+C!$A$1+'It''s'!A1+[x]A!A1", swap) == "=B!B1+A!B1+'Cost $'!$A$1+'D'!A1+[x]A!A1"
+    assert sheets_renamed("=A!B1+B!B1", {"A": "B", "B": "C"}) == "=B!B1+C!B1" and sheets_renamed("=A!A1~~", swap) == "=A!A1~~"
+
+
+def test_text_that_is_no_decimal_number(spark):
+    from pyspark.sql.types import StringType
+
+    df = spark.createDataFrame([("12d",), ("1f",), ("0x1p3",), (" 1e3 ",), ("-.5",)], "s string")
+    assert [r[0] for r in df.select(text.numeric(df["s"], StringType())).collect()] == [None, None, None, 1000.0, -0.5]
+    f = spark.createDataFrame([("0 eur",), ("0 USD",), ("0 Bgn",), ("0 gbp",)], "f string")
+    assert [r[0] for r in f.select(text.currency(f["f"])).collect()] == ["EUR", "USD", "BGN", "GBP"]

@@ -100,3 +100,21 @@ def test_windows_with_late_rows(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert show(spark.table("windows")) == want
+
+
+def test_damaged_workbooks_are_rejected_whole(spark, tmp_path):
+    rows = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, 25_001))
+    parts = {
+        "second": {"xl/worksheets/sheet2.xml": "<worksheet><broken"}, "number": {"xl/worksheets/sheet2.xml": TWO.replace("<v>1</v>", "<v>abc</v>")}, "string": {"xl/worksheets/sheet2.xml": TWO.replace("r='A1'", "r='A1' t='s'").replace("<v>1</v>", "<v>99</v>")},
+        "address": {"xl/worksheets/sheet2.xml": TWO.replace("r='A1'", "")}, "late": {"xl/worksheets/sheet1.xml": f"<worksheet {MAIN}><sheetData>{rows}<row r='25001'><c r='A25001'><v>x</v></c></row></sheetData></worksheet>"},
+    }
+    for name, own in parts.items():
+        (tmp_path / f"{name}.xlsx").write_bytes(zipped(PARTS | own))
+    (tmp_path / "good.xlsx").write_bytes(zipped(PARTS))
+    files = workbook.files(spark, str(tmp_path))
+    assert {r["path"].rpartition("/")[2] for r in workbook.rejected(files).collect()} == {f"{n}.xlsx" for n in parts}
+    for relation in workbook.RELATIONS:
+        assert workbook.read(files, relation).select("wb").distinct().count() <= 1
+    assert workbook.read(files).count() == 12
+    keyed = files.where("path like '%good%'").selectExpr("path", "content", "'pair' as wb")
+    assert {r["wb"] for r in workbook.read(keyed, "workbooks").collect()} == {"pair"}
