@@ -41,6 +41,8 @@ REPEAT_WEIGHT = 0.1
 SMALL = 64
 #: A larger bucket is dealt into parts of about so many members, or of so many shingles in all.
 PART, PART_SHINGLES = 128, 1 << 19
+#: Shares that a group of exact copies is dealt over.
+DEAL = 64
 #: Shingles that a block counts at once.
 WIDE = 1 << 13
 #: Texts that throw their darts together; each throws some thousands, however short it is.
@@ -342,6 +344,18 @@ def compared(parts: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.join(sets, "id").groupBy("key", "i", "j").applyInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
+def _copies(sketch: DataFrame) -> DataFrame:
+    """``id`` and ``first`` (the least id of its exact copies) of every row of ``sketch``.
+
+    A group of copies is dealt over ``DEAL`` shares by its ids, each of which is told the group's first, so that no task holds a whole large group.
+    """
+    dealt = sketch.select("id", "a", "b", F.pmod(F.xxhash64("id"), F.lit(DEAL)).alias("_share"))
+    shares = dealt.groupBy("a", "b", "_share").agg(F.min("id").alias("_least"), F.count("*").alias("_rows"))
+    groups = shares.groupBy("a", "b").agg(F.min("_least").alias("first"), F.sum("_rows").alias("_rows"), F.collect_list("_share").alias("_shares")).where("_rows > 1")
+    told = groups.select("a", "b", F.explode("_shares").alias("_share"), "first")
+    return dealt.join(told, ["a", "b", "_share"], "left").select("id", F.coalesce("first", "id").alias("first"))
+
+
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """``roots`` after further links between members."""
     if roots is None:
@@ -360,8 +374,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     sketch = saved(sketches(docs, id_col=id_col, text_col=text_col), "near-sketches")
     same = sketch.groupBy("a", "b").agg(F.min("id").alias("id"))
-    copies = sketch.select("id", "a", "b").join(same.toDF("a", "b", "first"), ["a", "b"])
-    own = saved(copies.groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("_last"), F.collect_set("first").alias("_all")), "near-copies")
+    own = saved(_copies(sketch).groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("_last"), F.collect_set("first").alias("_all")), "near-copies")
     # An id that has several texts joins their classes.
     twice = own.where("first <> _last").select(F.explode("_all").alias("u"), F.col("first").alias("v")).where("u <> v")
     # Of each group of exact copies, the first one's band keys go on; only keys that two of them share do.
