@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 
 from gridspark.llm import decontam
 from gridspark.llm._text import ALNUM_WORDS, Words
+from gridspark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ITEMS = "item_id long, text string"
@@ -84,6 +86,37 @@ def test_awkward_and_empty_tables(spark, awkward, no_documents):
     assert left.count() == awkward.count() - 1 and decontam.decontaminated(awkward, none).count() == awkward.count()
 
 
+def test_parts_in_turns_equal_one_part(spark, awkward, monkeypatch):
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice(["a", "bé", "C"]) for _ in range(n))
+    items = [(i, make(rng.randrange(0, 14))) for i in range(30)] + [(31, "same line here again"), (31, "one"), (32, None), (0, "a bé")] * 2
+    docs = [(i, make(rng.randrange(0, 120)) + "." * (i % 3), i, "x") for i in range(40)] + [(50, None, None, None), (51, "", 0, ""), (52, "tail. " + make(20) + " 日本", 1, None)]
+    bench = spark.createDataFrame(items, ITEMS)
+    tables = [spark.createDataFrame(docs, "doc_id long, text string, n_chars int, _found string"), awkward]
+
+    def both():
+        return [[sorted(map(str, f(t, bench).collect())) for f in (decontam.contamination, decontam.decontaminated)] for t in tables]
+
+    one = both()
+    monkeypatch.setattr(decontam, "PART_CHARS", 100)
+    assert len(list(decontam._parts(bench, "item_id", "text"))) > 3
+    assert both() == one
+    known = {r[0]: r[1] for r in docs}
+    for r in decontam.contamination(tables[0], bench).collect():
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute(known[r["doc_id"]], [(i, t) for i, t in items if t])
+
+
+def test_query_digests_against_brute_force(spark, tiny):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    got = QUERIES["op4_decontamination"](spark, tiny).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        n_words, n_hit, found = brute(docs[r["doc_id"]], items)
+        want = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n_words, n_hit, len(found), want, n_hit > 0)
+
+
 def test_words_follow_the_contract():
     for t in ("Ab9,c-d\xa0É x", "", "_a_`b`{c}", "日本 語"):
         w = Words([t.encode()], ALNUM_WORDS, True)
