@@ -150,4 +150,5 @@ def document_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: s
     spark = docs.sparkSession
     folder = new_path(spark, "flat-ids")
     names = write_flat(docs, folder, ranks_path, pattern, id_col=id_col, text_col=text_col)
-    return names.join(count_tokens(flat_blocks(spark, folder, block_bytes)), ["file_no", "nth"]).select("doc_id", "n_tokens")
+    # Both sides have a row for each document: neither is ever broadcast.
+    return names.join(count_tokens(flat_blocks(spark, folder, block_bytes)).hint("merge"), ["file_no", "nth"]).select("doc_id", "n_tokens")
