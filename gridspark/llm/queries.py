@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, spencode, tokencount, tokenids
+from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, spencode, tokencount, tokenids, vectorcode
 from gridspark.llm import quality as quality_rules
 
 QUERIES = {}
@@ -90,3 +90,11 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.coded(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_vector_codes"] = vectorcode.ORACLE
