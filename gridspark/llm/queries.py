@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, spencode, tokencount, tokenids, vectorcode
+from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, phrases, spencode, tokencount, tokenids, vectorcode
 from gridspark.llm import quality as quality_rules
 
 QUERIES = {}
@@ -98,3 +98,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_vector_codes"] = vectorcode.ORACLE
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrases"] = phrases.ORACLE
