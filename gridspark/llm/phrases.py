@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,10 @@ def _blocks(texts: Iterator[tuple[str, bytes]], limit: int) -> Iterator[tuple[li
 
 
 def scanned(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, list[str], list[bytes], np.ndarray]:
-    """(sequence of numbers of distinct words, -1 between pieces; the language, word and count of each number)."""
+    """(sequence of numbers of distinct words, -1 between pieces; the language, word and count of each number).
+
+    After the words comes an empty one for each language, which counts all of its words.
+    """
     buf = LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]  # the line break between texts ends a piece
     inside = _WORD[buf]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
@@ -78,93 +82,168 @@ def scanned(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, list[str]
     distinct, number, counts = np.unique(lang_of[of_text] * n + words.indices.to_numpy(), return_inverse=True, return_counts=True)
     piece = np.cumsum(_MARK[buf], dtype=np.int64)[starts]
     sequence = np.insert(number.astype(np.int32), np.flatnonzero(np.diff(piece)) + 1, -1)
-    return sequence, [known[x] for x in distinct // n], words.dictionary.take(pa.array(distinct % n)).to_pylist(), counts
+    all_words = np.bincount(distinct // n, weights=counts, minlength=len(known)).astype(np.int64)
+    return sequence, [*known[distinct // n], *known], [*words.dictionary.take(pa.array(distinct % n)).to_pylist(), *[b""] * len(known)], np.append(counts, all_words)
 
 
-def paired(sequence: np.ndarray, ids: np.ndarray, keep: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence of numbers of distinct pairs, -1 where there is none; both ids and the count of each number).
-
-    ``sequence`` holds places in ``ids``, or -1.
-    """
+def paired(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence of numbers of distinct pairs, -1 where there is none; both ids and the count of each number) of a sequence of ids or -1."""
     at = np.flatnonzero((sequence[:-1] >= 0) & (sequence[1:] >= 0))
-    keys = sequence[at].astype(np.int64) * len(ids) + sequence[at + 1]
-    if keep:
-        distinct, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        out = np.full(len(sequence), -1, np.int32)
-        out[at] = number
-    else:
-        (distinct, counts), out = np.unique(keys, return_counts=True), None
+    ids, place = np.unique(sequence, return_inverse=True)
+    distinct, number, counts = np.unique(place[at] * len(ids) + place[at + 1], return_inverse=True, return_counts=True)
+    out = np.full(len(sequence), -1, np.int64)
+    out[at] = number
     return out, ids[distinct // max(len(ids), 1)], ids[distinct % max(len(ids), 1)], counts
 
 
 def _packed(sequence: np.ndarray) -> bytes:
-    return len(sequence).to_bytes(8, "little") + pa.Codec("zstd").compress(sequence.astype(np.int32).tobytes(), asbytes=True)
+    return len(sequence).to_bytes(8, "little") + pa.Codec("zstd").compress(sequence.astype(np.int64).tobytes(), asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * n), np.int32)
+    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], 8 * n), np.int64)
 
 
+_SEQUENCES = pa.schema([("block", pa.int64()), ("seq", pa.binary())])
 #: A block is a row with ``seq``; the distinct words or pairs in it are rows without.
-_WORDS = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("no", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
-_PAIRS = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("no", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+_WORDS = pa.schema([*_SEQUENCES, ("no", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_PAIRS = pa.schema([*_SEQUENCES, ("no", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+_ROWS = 50_000
 
 
-def _rows(schema: pa.Schema, block: int, sequence: np.ndarray | None, first, second, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if sequence is not None:
-        yield pa.RecordBatch.from_pylist([{"block": block, "seq": _packed(sequence)}], schema)
+def _sequence_row(block: int, sequence: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(sequence)], pa.binary())], schema=_SEQUENCES)
+
+
+def _distinct_rows(schema: pa.Schema, block: int, first, second, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     n = len(counts)
-    columns = [pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(first).cast(schema.field(3).type), pa.array(second).cast(schema.field(4).type), pa.array(counts.astype(np.int64))]
-    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    columns = [pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(first, schema.field(3).type), pa.array(second).cast(schema.field(4).type), pa.array(counts.astype(np.int64))]
+    batch = pa.RecordBatch.from_arrays(columns, schema=schema)
+    for a in range(0, n, _ROWS):
+        yield batch.slice(a, _ROWS)
+
+
+def _tagged(schema: pa.Schema, block: int, found: tuple) -> Iterator[pa.RecordBatch]:
+    row = _sequence_row(block, found[0])
+    yield pa.RecordBatch.from_arrays([*row.columns, *[pa.nulls(1, f.type) for f in list(schema)[2:]]], schema=schema)
+    yield from _distinct_rows(schema, block, *found[1:])
+
+
+class _Level:
+    """What is read block by block: the words of texts, or the pairs of a table of sequences."""
+
+    schema: pa.Schema
+    ddl: str
+    keys: list[str]
+    always = "false"  # what is kept however rare
+
+    def __init__(self, source: DataFrame):
+        self.source = source
+
+    def __getstate__(self) -> dict:  # tasks read blocks; the source stays with the driver
+        return {k: v for k, v in self.__dict__.items() if k != "source"}
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        raise NotImplementedError
+
+    def lookup(self, first, second, names: tuple) -> np.ndarray:
+        """The ids of distinct words or pairs by a table of names that was sent, -1 where there is none."""
+        raise NotImplementedError
 
+    def sendable(self, names: DataFrame) -> tuple:
+        raise NotImplementedError
 
-def _word_rows(docs: DataFrame, text_col: str, lang_col: str, block: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _each(self, give, ddl: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, found in self.blocks(batches):
+                yield from give(block, found)
+
+        return self.source.mapInArrow(tidy(run), ddl)
+
+    def counted(self, least: int) -> DataFrame:
+        """The keys, ``id``, ``f`` and ``times`` (blocks) of all that is frequent."""
+        local = self._each(lambda block, found: (b.select([*self.keys, "n"]) for b in _distinct_rows(self.schema, block, *found[1:])), ", ".join(self.ddl.split(", ")[3:]))
+        found = local.groupBy(*self.keys).agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(f"f >= {int(least)} or {self.always}")
+        return saved(found.withColumn("id", F.monotonically_increasing_id()), "phrase-names")
+
+    def named(self, names: DataFrame) -> DataFrame:
+        """Sequences of ids."""
+        if names.count() > SENT:
+            return self._named_by_shuffle(names)
+        sent = self.source.sparkSession.sparkContext.broadcast(self.sendable(names))  # at most SENT names
+
+        def give(block: int, found: tuple) -> Iterator[pa.RecordBatch]:
+            yield _sequence_row(block, np.append(self.lookup(found[1], found[2], sent.value), -1)[found[0]])
+
+        return saved(self._each(give, "block long, seq binary"), "phrase-sequences")
+
+    def _named_by_shuffle(self, names: DataFrame) -> DataFrame:
+        rows = saved(self._each(lambda block, found: _tagged(self.schema, block, found), self.ddl), "phrase-blocks")
+        local = rows.where("seq is null").select("block", "no", *self.keys)
+        ids = looked_up(local, names.select(*self.keys, "id", "times"), self.keys, "times", local.count()).select(F.col("block").alias("block"), "no", "id")
+        blocks = rows.where("seq is not null").select(F.col("block").alias("block"), "seq")  # new aliases keep both sides' columns apart
+
+        def run(key: tuple, held: pa.Table, found: pa.Table) -> pa.Table:
+            sequence = _unpacked(held.column("seq")[0].as_py())
+            no = found.column("no").to_numpy()
+            to = np.full(max(int(sequence.max(initial=-1)), int(no.max(initial=-1))) + 2, -1, np.int64)  # the last one is for -1
+            to[no] = found.column("id").to_numpy()
+            return pa.Table.from_batches([_sequence_row(key[0].as_py(), to[sequence])])
+
+        return saved(blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, "block long, seq binary"), "phrase-sequences")
+
+
+class _Words(_Level):
+    schema, keys, ddl = _WORDS, ["lang", "word"], "block long, seq binary, no int, lang string, word string, n long"
+    always = "word = ''"
+
+    def __init__(self, docs: DataFrame, text_col: str, lang_col: str, size: int):
+        super().__init__(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+        self.size = size
+
+    def blocks(self, batches):
         task = TaskContext.get().partitionId()
         texts = ((lang, text) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True))
-        for k, (langs, held) in enumerate(_blocks(texts, block)):
-            for batch in _rows(_WORDS, (task << 32) + k, *scanned(langs, held)):
-                for a in range(0, batch.num_rows, 50_000):
-                    yield batch.slice(a, 50_000)
-
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return rows.mapInArrow(tidy(run), "block long, seq binary, no int, lang string, word string, n long")
+        for k, (langs, held) in enumerate(_blocks(texts, self.size)):
+            yield (task << 32) + k, scanned(langs, held)
 
+    @staticmethod
+    def _joined(langs, words) -> pa.Array:
+        return pc.binary_join_element_wise(pa.array(langs, pa.string()).cast(pa.large_binary()), pa.array(words).cast(pa.large_binary()), pa.scalar(b"\t", pa.large_binary()))  # no word has a tab
 
-def _pair_rows(rows: DataFrame, named: DataFrame, last: bool) -> DataFrame:
-    """The next level's rows: blocks meet the ids of what is frequent in them (``block``, ``no``, ``id``)."""
+    def sendable(self, names):
+        found = names.select("lang", "word", "id").toArrow()
+        return self._joined(found.column("lang").combine_chunks(), found.column("word").combine_chunks()), found.column("id").to_numpy()
 
-    def run(key: tuple, blocks: pa.Table, ids: pa.Table) -> pa.Table:
-        if not blocks.num_rows or not ids.num_rows:
-            return pa.Table.from_batches([], _PAIRS)
-        sequence = _unpacked(blocks.column("seq")[0].as_py())
-        place = np.full(int(sequence.max(initial=-1)) + 2, -1, np.int32)  # the last one is for -1
-        place[ids.column("no").to_numpy()] = np.arange(ids.num_rows, dtype=np.int32)
-        found = paired(place[sequence], ids.column("id").to_numpy(), not last)
-        return pa.Table.from_batches(_rows(_PAIRS, key[0].as_py(), *found), _PAIRS)
+    def lookup(self, first, second, names):
+        at = pc.index_in(self._joined(first, second), value_set=names[0]).fill_null(-1).to_numpy()
+        return np.append(names[1], -1)[at]
 
-    # Both sides stem from the same rows; a new alias keeps their columns apart.
-    blocks = rows.where("seq is not null").select(F.col("block").alias("block"), "seq")
-    return blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(run, "block long, seq binary, no int, left long, right long, n long")
 
+class _Pairs(_Level):
+    schema, keys, ddl = _PAIRS, ["left", "right"], "block long, seq binary, no int, left long, right long, n long"
 
-def _named(rows: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, int, int]:
-    """(``keys``, ``id``, ``f`` and ``times`` of all that is frequent, how many these are, how many rows there were)."""
-    local = rows.where("seq is null")
-    found = local.groupBy(*keys).agg(F.sum("n").alias("f"), F.count("*").alias("times")).where(F.col("f") >= least)
-    out = saved(found.withColumn("id", F.monotonically_increasing_id()), "phrase-names")
-    return out, out.count(), local.count()
+    def blocks(self, batches):
+        for batch in batches:
+            for block, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield block, paired(_unpacked(seq.as_py()))
 
+    def sendable(self, names):
+        found = names.select("left", "right", "id").toPandas().to_numpy(np.int64).reshape(-1, 3)
+        left, right = np.unique(found[:, 0]), np.unique(found[:, 1])
+        keys = np.searchsorted(left, found[:, 0]) * len(right) + np.searchsorted(right, found[:, 1])
+        order = np.argsort(keys)
+        return left, right, keys[order], found[order, 2]
 
-def _ids(rows: DataFrame, names: DataFrame, keys: list[str], n_names: int, n_rows: int) -> DataFrame:
-    """``block``, ``no`` and ``id`` of what is frequent."""
-    local = rows.where("seq is null").select("block", "no", *keys)
-    if n_names <= SENT:
-        found = local.join(F.broadcast(names.select(*keys, "id")), keys)
-    else:
-        found = looked_up(local, names.select(*keys, "id", "times"), keys, "times", n_rows)
-    return found.select(F.col("block").alias("block"), "no", "id")
+    def lookup(self, first, second, names):
+        left, right, keys, ids = names
+        if not len(ids):
+            return np.full(len(first), -1, np.int64)
+        a, b = np.minimum(np.searchsorted(left, first), len(left) - 1), np.minimum(np.searchsorted(right, second), len(right) - 1)
+        wanted = a * len(right) + b
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((left[a] == first) & (right[b] == second) & (keys[at] == wanted), ids[at], -1)
 
 
 def _inherited(names: DataFrame, shorter: DataFrame, n_names: int) -> DataFrame:
@@ -212,22 +291,20 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     text has no words; a null language is ``und``.  Rows that repeat count as often as they are there.  An empty table, and a language
     without candidates, gives no rows; extra columns are ignored.  Texts are read whole, long ones in parts that end at marks.
     """
-    rows = saved(_word_rows(docs, text_col, lang_col, block), "phrase-words")
-    words = rows.where("seq is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    keys = ["lang", "word"]
-    names, n_names, n_rows = _named(rows, keys, least)
+    level: _Level = _Words(docs, text_col, lang_col, block)
+    names = level.counted(least)
     own = F.array("f")
+    total, names = names.where("word = ''").select("lang", F.col("f").alias("n")), names.where("word <> ''")
     levels = [names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", own.alias("heads"), own.alias("tails"))]
-    for k in range(2, LONGEST + 1):
-        rows = saved(_pair_rows(rows, _ids(rows, names, keys, n_names, n_rows), k == LONGEST), "phrase-pairs")
-        keys = ["left", "right"]
-        names, n_names, n_rows = _named(rows, keys, least)
-        levels.append(saved(_inherited(names, levels[-1], n_names), "phrases"))
+    for _ in range(2, LONGEST + 1):
+        level = _Pairs(level.named(names))
+        names = level.counted(least)
+        levels.append(saved(_inherited(names, levels[-1], names.count()), "phrases"))
     found = None
     for k in range(2, LONGEST + 1):
         part = _scored(levels[k - 1], k, levels[k] if k < LONGEST else None, contained)
         found = part if found is None else found.unionByName(part)
-    return _first(found, top).join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return _first(found, top).join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def _oracle(least: int = MIN_COUNT, top: int = TOP, contained: int = CONTAINED) -> str:
