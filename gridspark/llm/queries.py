@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, phrases, spencode, tokencount, tokenids, vectorcode
+from gridspark.llm import chat, dartminhash, decontam, htmlmain, langid, linedup, phrases, spencode, subwords, tokencount, tokenids, vectorcode
 from gridspark.llm import quality as quality_rules
 
 QUERIES = {}
@@ -106,3 +106,10 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_phrases"] = phrases.ORACLE
+
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3
+    model = subwords.fitted(docs, table(spark, sf_dir, "labels"), learn=fold != 1)
+    return subwords.scored(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
