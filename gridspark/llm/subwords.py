@@ -23,7 +23,9 @@ BUCKETS, SIZE, GRAMS = 1 << 15, 16, (3, 4, 5)
 #: The classifier learns from at most so many documents of each class, of at most so many characters each.
 MAX_DOCS, MAX_CHARS = 1500, 20_000
 EPOCHS, BATCH, RATE, LAYER_RATE, SEED = 10, 32, 60.0, 1.0, 11
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
+#: Characters of distinct words whose features are looked up at a time.
+_CHARS = 50_000
 _P = np.uint64(0x100000001B3)
 
 
@@ -95,9 +97,13 @@ class Model:
         mean = np.zeros((len(texts), SIZE))
         if len(words):
             known, hashes, number = _distinct(words)
-            buckets, first = word_features(known, hashes)
-            per_word = np.add.reduceat(self.vectors[buckets], first[:-1], axis=0)
-            sizes = np.diff(first)
+            per_word, sizes = np.empty((len(known), SIZE)), np.empty(len(known), np.int64)
+            part = np.cumsum([len(w) for w in known]) // _CHARS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(known)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                buckets, first = word_features(known[a:b], hashes[a:b])
+                per_word[a:b] = np.add.reduceat(self.vectors[buckets], first[:-1], axis=0)
+                sizes[a:b] = np.diff(first)
             full = np.flatnonzero(words.counts)
             at = words.first[:-1][full]
             again = _repeats(words, number)

@@ -102,3 +102,10 @@ def test_awkward_and_empty_tables(spark, awkward, no_documents):
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in awkward.collect())
         assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
         assert s.scored(no_documents, s.fitted(no_documents, labels)).count() == 0
+
+
+def test_words_are_looked_up_in_parts(model, monkeypatch):
+    texts = [t.encode() for t in TEXTS] + [" ".join(f"w{i} é{i * 7}" for i in range(300)).encode()]
+    want = model.scores(texts).tolist()
+    monkeypatch.setattr(s, "_CHARS", 20)
+    assert model.scores(texts).tolist() == want
