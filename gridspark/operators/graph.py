@@ -7,7 +7,7 @@ workbook at a time inside ``applyInPandas``; workbooks spread over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.formula import column_letters, parsed
 from gridspark.operators.cells import ADDRESS, SHEET
+from gridspark.operators.reach import Graph
 
 MAX_RANGE_CELLS = 10_000
 ROW_BIN = 256
@@ -158,34 +159,29 @@ def output_like(cells: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return cells.where(by_sheet).select(*ADDRESS).union(near).union(many).distinct().join(cells.select(*ADDRESS), ADDRESS, "left_semi")
 
 
-def _index(frame: pd.DataFrame, of: Iterable[str], to: Iterable[str]) -> tuple[pd.Index, np.ndarray, np.ndarray]:
-    """Nodes, and both ends of each edge as their numbers."""
-    a, b = pd.MultiIndex.from_frame(frame[list(of)]), pd.MultiIndex.from_frame(frame[list(to)])
-    codes, nodes = pd.factorize(np.concatenate((a.to_numpy(), b.to_numpy())))
-    return nodes, codes[: len(frame)], codes[len(frame) :]
+_ROWS, _COLS = 1 << 21, 1 << 15  # more than a sheet has
 
 
-class _Next:
-    """The successors of each node, as slices of one array."""
+def _nodes(frames: Sequence[tuple[pd.DataFrame, Sequence[str]]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(sheet names, distinct keys, the place in them of each row of each frame); a key is (sheet, row, column) as one number."""
+    codes, sheets = pd.factorize(np.concatenate([f[of[0]].to_numpy(object) for f, of in frames]), sort=True)
+    at = np.concatenate(([0], np.cumsum([len(f) for f, _ in frames])))
+    keys = [(codes[at[k] : at[k + 1]].astype(np.int64) * _ROWS + f[of[1]].to_numpy(np.int64)) * _COLS + f[of[2]].to_numpy(np.int64) for k, (f, of) in enumerate(frames)]
+    known, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return sheets, known, np.split(place, at[1:-1])
 
-    def __init__(self, source: np.ndarray, target: np.ndarray, n: int):
-        order = np.argsort(source, kind="stable")
-        self.to, self.at = target[order], np.searchsorted(source[order], np.arange(n + 1))
 
-    def of(self, nodes: np.ndarray) -> np.ndarray:
-        sizes = self.at[nodes + 1] - self.at[nodes]
-        return self.to[np.repeat(self.at[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-
-
-def _reached(after: _Next, root: int, n: int) -> np.ndarray:
-    """Nodes that can be reached from ``root`` by an edge or more."""
-    seen = np.zeros(n, bool)
-    front = np.array([root])
-    while len(front):
-        front = np.unique(after.of(front))
-        front = front[~seen[front]]
-        seen[front] = True
-    return seen
+def _addresses(sheets: np.ndarray, keys: np.ndarray) -> list[tuple[str, str]]:
+    """(sheet, cell as text) of each key."""
+    letters: dict[int, str] = {}
+    out = []
+    for key in keys.tolist():
+        above, col = divmod(key, _COLS)
+        if col not in letters:
+            letters[col] = column_letters(col)
+        sheet, row = divmod(above, _ROWS)
+        out.append((sheets[sheet], f"{letters[col]}{row}"))
+    return out
 
 
 #: Examples that :func:`impact` lists.
@@ -201,81 +197,126 @@ def impact(edge_rows: DataFrame, roots: DataFrame, outputs: DataFrame) -> DataFr
     """
     flagged = edge_rows.join(outputs.select("wb", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("output")), ["wb", *_TO], "left")
 
-    def walk(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, edges: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in IMPACT.split(", ")]
+        asked = asked.drop_duplicates()
+        if not len(edges):
+            return pd.DataFrame([(key[0], *r, 0, 0, [], 0, False, [], []) for r in asked[list(_FROM)].itertuples(index=False)], columns=columns)
+        sheets, keys, (a, b, wanted) = _nodes(((edges, _FROM), (edges, _TO), (asked, _FROM)))
+        graph = Graph(a, b, len(keys))
+        outputs = np.zeros(len(keys), np.int64)
+        outputs[b[edges["output"].eq(True).to_numpy()]] = 1
+        names = _addresses(sheets, keys)
+        rank = np.empty(len(keys), np.int64)
+        order = sorted(range(len(keys)), key=names.__getitem__)
+        rank[order] = np.arange(len(keys))
+        reached, far = graph.counts((np.ones(len(keys), np.int64), outputs))
+        on, first = graph.gathered(keys // (_ROWS * _COLS), np.where(outputs > 0, rank, -1), OUTPUT_CELLS)
+        shown = lambda ranks: ["!".join(names[order[r]]) for r in ranks]
+        named: dict[int, list[str]] = {}
         rows = []
-        if len(graph):
-            nodes, a, b = _index(graph, _FROM, _TO)
-            after, place = _Next(a, b, len(nodes)), {node: i for i, node in enumerate(nodes)}
-            is_output = np.zeros(len(nodes), bool)
-            is_output[b[graph["output"].eq(True).to_numpy()]] = True
-            sheet = np.array([node[0] for node in nodes], object)
-        for r in asked.drop_duplicates().itertuples(index=False):
-            at = place.get((r.sheet, r.row, r.col)) if len(graph) else None
-            if at is None:
-                rows.append((key[0], r.sheet, r.row, r.col, 0, 0, [], 0, False, [], []))
-            else:
-                seen = _reached(after, at, len(nodes))
-                rows.append((key[0], r.sheet, r.row, r.col, int(after.at[at + 1] - after.at[at]), int(seen.sum()), sorted(set(sheet[seen])), int((seen & is_output).sum()), bool(seen[at]), shown(nodes, after.of(np.array([at])), DIRECT_CELLS), shown(nodes, np.flatnonzero(seen & is_output), OUTPUT_CELLS)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in IMPACT.split(", ")])
-
-    def shown(nodes, at: np.ndarray, most: int) -> list[str]:
-        named = sorted((sheet, f"{column_letters(col)}{row}") for sheet, row, col in nodes[at])
-        return [f"{sheet}!{cell}" for sheet, cell in named[:most]]
+        for r, v in zip(asked[list(_FROM)].itertuples(index=False), wanted.tolist(), strict=True):
+            next_ = graph.to[graph.at[v] : graph.at[v + 1]]
+            bits = on[v]
+            if bits not in named:
+                named[bits] = [sheets[k] for k in range(len(sheets)) if bits >> k & 1]
+            rows.append((key[0], *r, len(next_), int(reached[v]), named[bits], int(far[v]), bool(graph.circular[v]), shown(np.sort(rank[next_])[:DIRECT_CELLS]), shown(first[v])))
+        return pd.DataFrame(rows, columns=columns)
 
     # Both sides may stem from the same cells; new aliases keep their columns apart.
     left, right = flagged.select(*[F.col(c).alias(c) for c in flagged.columns]), roots.select(*[F.col(c).alias(c) for c in ADDRESS])
     return left.groupBy("wb").cogroup(right.groupBy("wb")).applyInPandas(walk, IMPACT)
 
 
-def _components(after: _Next, before: _Next, n: int) -> np.ndarray:
-    """The strongly connected component of each node: trimmed, then forward and backward reach from a pivot within what is left."""
-    out = np.arange(n)
-    live = np.ones(n, bool)
-    while True:  # nodes without a live successor or predecessor are in no cycle
-        has_next = np.zeros(n, bool)
-        has_last = np.zeros(n, bool)
-        nodes = np.flatnonzero(live)
-        sizes = after.at[nodes + 1] - after.at[nodes]
-        source, target = np.repeat(nodes, sizes), after.of(nodes)
-        ok = live[target]
-        has_next[source[ok]], has_last[target[ok]] = True, True
-        stay = live & has_next & has_last
-        if (stay == live).all():
-            break
-        live = stay
-    pending = [np.flatnonzero(live)]
-    while pending:
-        part = pending.pop()
-        if not len(part):
-            continue
-        inside = np.zeros(n, bool)
-        inside[part] = True
-        reach = []
-        for step in (after, before):
-            seen = np.zeros(n, bool)
-            seen[part[0]] = True
-            front = part[:1]
-            while len(front):
-                front = np.unique(step.of(front))
-                front = front[inside[front] & ~seen[front]]
-                seen[front] = True
-            reach.append(seen)
-        both = reach[0] & reach[1]
-        out[both] = part[0]
-        pending += [np.flatnonzero(x) for x in (reach[0] & ~both, reach[1] & ~both, inside & ~reach[0] & ~reach[1])]
-    return out
+_CYCLES = "wb string, cycle int, sheet string, row int, col int"
+
+
+def _cycle_rows(wb: str, component: np.ndarray, sheets: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+    """The cells (the first nodes) whose components hold two cells or more; cycles are numbered by their first cell."""
+    component = component[: len(keys)]
+    at = np.flatnonzero(np.bincount(component)[component] > 1)  # keys are in order of sheet, row and column
+    found, first, number = np.unique(component[at], return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))[number] if len(at) else number
+    order = np.argsort(place, kind="stable")
+    above, col = np.divmod(keys[at[order]], _COLS)
+    return pd.DataFrame({"wb": wb, "cycle": place[order], "sheet": sheets[above // _ROWS], "row": above % _ROWS, "col": col})
 
 
 def cycles(edge_rows: DataFrame) -> DataFrame:
     """Cells in cycles of two or more: ``wb``, ``cycle`` (a number), ``sheet``, ``row``, ``col``."""
 
-    def walk(key: tuple, graph: pd.DataFrame) -> pd.DataFrame:
-        nodes, a, b = _index(graph, _FROM, _TO)
-        found = _components(_Next(a, b, len(nodes)), _Next(b, a, len(nodes)), len(nodes))
-        sizes = np.bincount(found, minlength=len(nodes))
-        rows = sorted((found[i], *node) for i, node in enumerate(nodes) if sizes[found[i]] > 1)
-        first = {c: k for k, c in enumerate(dict.fromkeys(r[0] for r in rows))}
-        return pd.DataFrame([(key[0], first[r[0]], *r[1:]) for r in rows], columns=["wb", "cycle", "sheet", "row", "col"])
+    def walk(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        sheets, keys, (a, b) = _nodes(((edges, _FROM), (edges, _TO)))
+        return _cycle_rows(key[0], Graph(a, b, len(keys)).component, sheets, keys)
 
-    return edge_rows.groupBy("wb").applyInPandas(walk, "wb string, cycle int, sheet string, row int, col int")
+    return edge_rows.groupBy("wb").applyInPandas(walk, _CYCLES)
 
+
+def _pieces(low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, node) of the nodes of a binary tree over ``size`` leaves (a power of two) that make up the ranges from ``low`` to before ``high``; node 1 is the root, leaf i is ``size + i``."""
+    of, nodes = [], []
+    which, a, b = np.arange(len(low)), low + size, high + size
+    while len(which):
+        for take, node in (((a & 1) == 1, a), ((b & 1) == 1, b - 1)):
+            take = take & (a < b)
+            of.append(which[take])
+            nodes.append(node[take])
+        a, b = (a + 1) >> 1, b >> 1
+        on = a < b
+        which, a, b = which[on], a[on], b[on]
+    return np.concatenate(of or [which]), np.concatenate(nodes or [a])
+
+
+def interval_graph(sheets: np.ndarray, keys: np.ndarray, formula: np.ndarray, spans: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(both ends of each edge, number of nodes) of formulas and what they use, through nodes that stand for runs of formulas in a column.
+
+    ``formula`` is the node of each row of ``spans`` (``to_sheet``, ``row1`` to ``col2``).  Only formulas can be in a cycle, so runs count
+    these alone; a range is some pieces of a binary tree over its columns' formulas, each reference costs their logarithm.
+    """
+    above, cols = np.divmod(keys, _COLS)
+    rows, lines = above % _ROWS, (above // _ROWS) * _COLS + cols  # a line is a column of a sheet
+    order = np.lexsort((rows, lines))
+    known, first = np.unique(lines[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    number = {s: k for k, s in enumerate(sheets)}
+    to = spans["to_sheet"].map(number).to_numpy(np.float64)
+    a = np.searchsorted(known, np.where(np.isnan(to), 0, to) * _COLS + spans["col1"].to_numpy(np.int64))
+    b = np.searchsorted(known, np.where(np.isnan(to), 0, to) * _COLS + spans["col2"].to_numpy(np.int64), side="right")
+    sizes = np.where(np.isnan(to), 0, b - a).astype(np.int64)
+    span = np.repeat(np.arange(len(spans)), sizes)
+    line = np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    low, high = spans["row1"].to_numpy(np.int64)[span], spans["row2"].to_numpy(np.int64)[span]
+    source, target, nodes = [], [], len(keys)
+    by_line = np.argsort(line, kind="stable")
+    for k, held in zip(*_groups(line[by_line], by_line), strict=True):
+        cells = order[first[k] : ends[k]]
+        size = 1 << max(len(cells) - 1, 0).bit_length()
+        # Leaves are the cells themselves; the tree's inner nodes get numbers of their own.
+        node = np.concatenate((np.arange(nodes, nodes + size), cells, np.full(size - len(cells), -1)))
+        nodes += size
+        of, piece = _pieces(np.searchsorted(rows[cells], low[held]), np.searchsorted(rows[cells], high[held], side="right"), size)
+        source.append(formula[span[held[of]]])
+        target.append(node[piece])
+        inner = np.repeat(np.arange(1, size), 2)
+        below = np.arange(2, 2 * size)
+        there = node[below] >= 0
+        source.append(node[inner[there]])
+        target.append(node[below[there]])
+    return np.concatenate(source or [np.empty(0, np.int64)]), np.concatenate(target or [np.empty(0, np.int64)]), nodes
+
+
+def _groups(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    found, first = np.unique(sorted_keys, return_index=True)
+    return found.tolist(), np.split(values, first[1:]) if len(found) else []
+
+
+def interval_cycles(intervals: DataFrame) -> DataFrame:
+    """What :func:`cycles` gives of all edges, from :func:`areas` alone: no range is taken apart into its cells."""
+
+    def walk(key: tuple, spans: pd.DataFrame) -> pd.DataFrame:
+        sheets, keys, (formula,) = _nodes(((spans, _FROM),))
+        source, target, n = interval_graph(sheets, keys, formula, spans)
+        own = source != target
+        return _cycle_rows(key[0], Graph(source[own], target[own], n).component, sheets, keys)
+
+    return intervals.select("wb", *_FROM, "to_sheet", "row1", "col1", "row2", "col2").groupBy("wb").applyInPandas(walk, _CYCLES)

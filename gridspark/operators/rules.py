@@ -109,8 +109,7 @@ def broken_references(a: Audit) -> DataFrame:
 def circular_references(a: Audit) -> DataFrame:
     """One finding for each cycle, at its first cell, and for each formula inside its own range that is in no other cycle."""
     spans = a.areas
-    found = a.edge_rows.where(~((F.col("sheet") == F.col("to_sheet")) & (F.col("row") == F.col("to_row")) & (F.col("col") == F.col("to_col"))))
-    loops = graph.cycles(found)
+    loops = graph.interval_cycles(spans)
     members = F.slice(F.array_sort(F.collect_list(F.struct("sheet", "row", "col"))), 1, 20)
     cycle = loops.groupBy("wb", "cycle").agg(members.alias("m"), F.count("*").alias("n")).select("wb", F.col("m")[0]["sheet"].alias("sheet"), F.col("m")[0]["row"].alias("row"), F.col("m")[0]["col"].alias("col"), "n", "m")
     alone = graph.self_loops(spans).join(loops.select(*ADDRESS), ADDRESS, "left_anti").select(*ADDRESS, F.lit(1).cast("long").alias("n"), F.array(F.struct("sheet", "row", "col")).alias("m"))
@@ -211,16 +210,39 @@ def figures(cells: DataFrame) -> DataFrame:
 _SUMS = ("n", "n_bad", "sum_stored", "sum_displayed")
 
 
+def _sums_of_areas(spans: DataFrame, shown: DataFrame) -> DataFrame:
+    """``spans`` (``row``, ``col`` and ``row1`` to ``col2`` of areas on the same sheet) with the sums of what is in them, but for the cell of the span itself.
+
+    Each line of cells is added up once, with the ends of all areas over it among its cells; an area's sum is the difference of the
+    running sums at both of its ends.  Lines are columns, or rows where an area has fewer of these.
+    """
+    zero = F.lit(0).cast("decimal(38,12)")
+    own = {"n": F.lit(1).cast("long"), "n_bad": F.col("stored").isNull().cast("long"), "sum_stored": F.coalesce(F.col("stored").cast("decimal(38,12)"), zero), "sum_displayed": F.coalesce(F.col("displayed").cast("decimal(38,12)"), zero)}
+    spans = spans.withColumn("_flat", F.col("row2") - F.col("row1") < F.col("col2") - F.col("col1"))
+    # An end before a place, the cell at it, an end after it.
+    ends = F.explode(F.array(F.struct(F.col("_low").alias("_at"), F.lit(0).alias("_order"), F.lit(-1).alias("_sign")), F.struct(F.col("_high").alias("_at"), F.lit(2).alias("_order"), F.lit(1).alias("_sign"))))
+    lines = []
+    for flat, along, across in ((False, "row", "col"), (True, "col", "row")):
+        lined = spans.where(F.col("_flat") == flat).select(*ADDRESS, F.col(f"{along}1").alias("_low"), F.col(f"{along}2").alias("_high"), F.explode(F.sequence(f"{across}1", f"{across}2")).alias("_line"))
+        asked = lined.select(*SHEET, F.lit(flat).alias("_flat"), "_line", F.col("row").alias("_row"), F.col("col").alias("_col"), ends.alias("_end")).select(*SHEET, "_flat", "_line", "_end.*", "_row", "_col", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_bad"), zero.alias("sum_stored"), zero.alias("sum_displayed"))
+        used = asked.select(*SHEET, "_line").distinct()
+        cells = shown.withColumn("_line", F.col(across)).join(used, [*SHEET, "_line"], "left_semi")
+        none = F.lit(None).cast("int")
+        points = cells.select(*SHEET, F.lit(flat).alias("_flat"), "_line", F.col(along).alias("_at"), F.lit(1).alias("_order"), F.lit(0).alias("_sign"), none.alias("_row"), none.alias("_col"), *[own[c].alias(c) for c in _SUMS])
+        lines += [asked, points]
+    order = Window.partitionBy(*SHEET, "_flat", "_line").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    read = reduce(DataFrame.unionByName, lines).select(*SHEET, "_row", "_col", "_sign", *[F.sum(c).over(order).alias(c) for c in _SUMS]).where("_sign <> 0")
+    sums = read.groupBy(*SHEET, F.col("_row").alias("row"), F.col("_col").alias("col")).agg(*[F.sum(F.when(F.col("_sign") > 0, F.col(c)).otherwise(-F.col(c))).alias(c) for c in _SUMS])
+    itself = spans.where("row between row1 and row2 and col between col1 and col2").select(*ADDRESS).join(shown, ADDRESS).select(*ADDRESS, *[own[c].alias(f"_{c}") for c in _SUMS])
+    return sums.join(itself, ADDRESS, "left").select(*ADDRESS, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0).cast("long") if c.startswith("n") else zero)).alias(c) for c in _SUMS])
+
+
 def formula_totals(a: Audit, shown: DataFrame) -> DataFrame:
     """Addresses of formulas with one area on their own sheet under SUM or SUBTOTAL, and the sums of what is in the area; ``shown`` are :func:`figures`."""
     formula = a.parsed.where("size(f.refs) = 1").where(F.arrays_overlap("f.functions", F.array(*map(F.lit, TOTALS)))).withColumn("ref", F.col("f.refs")[0])
     own = formula.where("ref.external is null and ref.is_range and ref.row1 is not null and ref.col1 is not null and (ref.sheet is null or upper(ref.sheet) = upper(sheet))")
     ends = {"row1": F.least("ref.row1", "ref.row2"), "row2": F.greatest("ref.row1", "ref.row2"), "col1": F.least("ref.col1", "ref.col2"), "col2": F.greatest("ref.col1", "ref.col2")}
-    bins = F.explode(F.sequence(F.floor(F.col("row1") / graph.ROW_BIN), F.floor(F.col("row2") / graph.ROW_BIN))).alias("bin")
-    spans = own.select(*SHEET, F.col("row").alias("t_row"), F.col("col").alias("t_col"), *[v.alias(k) for k, v in ends.items()]).select("*", bins)
-    points = shown.select(*ADDRESS, "stored", "displayed", F.floor(F.col("row") / graph.ROW_BIN).alias("bin"))
-    inside = spans.join(points, [*SHEET, "bin"]).where("row between row1 and row2 and col between col1 and col2 and not (row = t_row and col = t_col)")
-    sums = inside.groupBy(*SHEET, F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg(F.count("*").alias("n"), F.count_if(F.col("stored").isNull()).alias("n_bad"), F.sum("stored").alias("sum_stored"), F.sum("displayed").alias("sum_displayed"))
+    sums = _sums_of_areas(own.select(*ADDRESS, *[v.alias(k) for k, v in ends.items()]), shown)
     return sums.join(shown.where("stored is not null").select(*ADDRESS, "sheet_no", "d", "stored", "displayed"), ADDRESS)
 
 

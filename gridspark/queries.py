@@ -538,6 +538,35 @@ def edge_transitive_long(spark, d):
     return graph.impact(e, c.where("row = 1"), graph.output_like(c, e)).where("direct > 0").select("wb", "transitive", "circular")
 
 
+_LEDGER = "(SELECT 'o' || (o_orderkey // 5000) AS wb, o_orderkey // 5000 AS k, row_number() OVER (PARTITION BY o_orderkey // 5000 ORDER BY o_orderkey) AS row, count(*) OVER (PARTITION BY o_orderkey // 5000) AS n FROM orders)"
+
+
+def _ledgers(spark: SparkSession, d: str, *columns: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """Orders as sheets of figures in column 1, and a column of formulas for each of ``columns`` (of row, number of rows and workbook's number)."""
+    k = F.floor(F.col("o_orderkey") / 5_000)
+    rows = load(spark, d, "orders").select(k.alias("_k"), F.row_number().over(grid.Window.partitionBy(k).orderBy("o_orderkey")).alias("row"), F.count("*").over(grid.Window.partitionBy(k)).alias("_n"), "o_totalprice")
+    cell = lambda col, formula: F.struct(F.lit(col).alias("col"), formula.cast("string").alias("formula"))
+    cells = F.explode(F.array(cell(1, F.lit(None)), *[cell(c, f(F.col("row").cast("string"), F.col("_n").cast("string"), F.col("_k"))) for c, f in enumerate(columns, 2)]))
+    out = rows.select(F.concat(F.lit("o"), F.col("_k").cast("string")).alias("wb"), F.lit("Ledger").alias("sheet"), F.lit(0).alias("sheet_no"), "row", cells.alias("c"), F.lit("n").alias("kind"), F.col("o_totalprice").cast("double").alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("General").alias("number_format"), F.lit("").alias("style"))
+    return out.select("wb", "sheet", "sheet_no", "row", "c.*", "kind", "num", "str", "ts", "number_format", "style")
+
+
+@query(f"SELECT wb, row, CAST(n - row + 1 AS BIGINT) AS transitive, FALSE AS circular FROM {_LEDGER}")
+def impact_of_all_inputs(spark, d):
+    """Running balances over orders, and what depends on each of their inputs."""
+    c = _ledgers(spark, d, lambda row, n, k: F.when(row == "1", "=A1").otherwise(F.concat(F.lit("=B"), (row.cast("int") - 1).cast("string"), F.lit("+A"), row)))
+    e = saved(_edges(c), "edges")
+    return graph.impact(e, c.where("col = 1"), graph.output_like(c, e)).select("wb", "row", "transitive", "circular")
+
+
+@query(f"SELECT wb, CAST(2 AS BIGINT) AS n FROM {_LEDGER} WHERE k % 2 = 1 GROUP BY wb, n")
+def cycles_of_cumulative_sums(spark, d):
+    """Each row adds up all rows so far of a column of formulas; in odd workbooks the last sum feeds the first one of these."""
+    first = lambda row, n, k: F.when((row == "1") & (k % 2 == 1), F.concat(F.lit("=C"), n)).otherwise(F.concat(F.lit("=A"), row))
+    c = _ledgers(spark, d, first, lambda row, n, k: F.when(row != "1", F.concat(F.lit("=SUM($B$1:B"), row, F.lit(")"))).otherwise("=1"))
+    return graph.interval_cycles(graph.areas(grid.with_formulas(c))).groupBy("wb").agg(F.count("*").alias("n"))
+
+
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS wb, 'Chain!A1 feeds 1 direct and ' || CASE WHEN n_regionkey % 2 = 1 THEN count(*) ELSE count(*) - 1 END || ' transitive dependent cell(s) across Chain.' AS message FROM nation GROUP BY n_regionkey")
 def trace(spark, d):
     c = _chains(spark, d)

@@ -289,3 +289,33 @@ def test_text_that_is_no_decimal_number(spark):
     assert [r[0] for r in df.select(text.numeric(df["s"], StringType())).collect()] == [None, None, None, 1000.0, -0.5]
     f = spark.createDataFrame([("0 eur",), ("0 USD",), ("0 Bgn",), ("0 gbp",)], "f string")
     assert [r[0] for r in f.select(text.currency(f["f"])).collect()] == ["EUR", "USD", "BGN", "GBP"]
+
+
+def test_totals_of_areas_equal_plain_sums(spark):
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(8)
+    cells = {(r, c): (None, round(rng.uniform(-50, 50), 3), rng.choice(["0.0", "0.00", "General"])) for r in range(1, 25) for c in range(1, 7) if rng.random() < 0.8}
+    areas = {}
+    for k in range(60):
+        (r1, r2), (c1, c2) = sorted(rng.sample(range(1, 25), 2)), sorted(rng.choices(range(1, 7), k=2))
+        at = (rng.randrange(1, 30), rng.randrange(1, 8))
+        areas[at] = (r1, c1, r2, c2)
+        cells[at] = (f"=SUM({grid_name(r2, c1)}:{grid_name(r1, c2)})", float(k), "0.0")
+    a = rules.Audit(sheet(spark, ("S", {grid_name(*at): v for at, v in cells.items()})))
+    shown = rules.figures(a.cells)
+    figure = {(r["row"], r["col"]): r for r in shown.collect()}
+    got = {(r["row"], r["col"]): r for r in rules.formula_totals(a, shown).collect()}
+    assert set(got) == set(areas)
+    for at, (r1, c1, r2, c2) in areas.items():
+        inside = [f for p, f in figure.items() if p != at and r1 <= p[0] <= r2 and c1 <= p[1] <= c2]
+        r = got[at]
+        assert (r["n"], r["n_bad"]) == (len(inside), sum(f["stored"] is None for f in inside))
+        assert r["sum_stored"] == sum((f["stored"] or Decimal(0) for f in inside), Decimal(0)) and r["sum_displayed"] == sum((f["displayed"] or Decimal(0) for f in inside), Decimal(0))
+
+
+def grid_name(row, col):
+    from gridspark.functions.formula import column_letters
+
+    return f"{column_letters(col)}{row}"
