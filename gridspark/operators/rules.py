@@ -242,7 +242,8 @@ def formula_totals(a: Audit, shown: DataFrame) -> DataFrame:
     formula = a.parsed.where("size(f.refs) = 1").where(F.arrays_overlap("f.functions", F.array(*map(F.lit, TOTALS)))).withColumn("ref", F.col("f.refs")[0])
     own = formula.where("ref.external is null and ref.is_range and ref.row1 is not null and ref.col1 is not null and (ref.sheet is null or upper(ref.sheet) = upper(sheet))")
     ends = {"row1": F.least("ref.row1", "ref.row2"), "row2": F.greatest("ref.row1", "ref.row2"), "col1": F.least("ref.col1", "ref.col2"), "col2": F.greatest("ref.col1", "ref.col2")}
-    sums = _sums_of_areas(own.select(*ADDRESS, *[v.alias(k) for k, v in ends.items()]), shown)
+    # Formulas are read once; both directions read the areas from a working table.
+    sums = _sums_of_areas(saved(own.select(*ADDRESS, *[v.alias(k) for k, v in ends.items()]), "total-areas"), shown)
     return sums.join(shown.where("stored is not null").select(*ADDRESS, "sheet_no", "d", "stored", "displayed"), ADDRESS)
 
 
