@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridspark.llm import dartminhash, decontam, linedup, spencode
 from gridspark.llm import quality as quality_rules
@@ -20,13 +21,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines are cut out of the texts; a document that would lose most of its text is a copy, and is left whole to the next stage."""
-    return linedup.dedupe_lines(docs, copy_share=0.5)
+    """Recurring lines are cut out of all texts."""
+    return linedup.dedupe_lines(docs)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return dartminhash.first_of_class(docs)
+    """One document of each group of near duplicates stays; of what lost over half of its text, the text as it came is compared too, so that scraps of copies go."""
+    came, size = _table(spark, sf_dir, "documents"), F.length("text")
+    sizes = came.select("doc_id", size.alias("came")).join(docs.select("doc_id", size.alias("left")), "doc_id")
+    cut = saved(sizes.where("2 * left < came").select("doc_id").distinct(), "cut-documents")
+    return dartminhash.first_of_class(docs, more=came.join(cut, "doc_id", "left_semi").select("doc_id", "text"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,13 +106,14 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_lines``, and ``_drop``, which is null where a document loses no line.
+    """``_row`` (all columns of ``docs``, whatever their names), ``_doc``, ``_text``, ``_lines``, and what :func:`dropped_lines` says, null where a document loses no line.
 
     The drops are a row at most for a document and a fraction of its size; they are hashed, so that texts need no sort.
     """
-    drop = dropped_lines(docs, id_col=id_col, text_col=text_col).withColumnRenamed("_id", "_di").withColumnRenamed("_h", "_dh").hint("shuffle_hash")
-    found = docs.join(drop, docs[id_col].eqNullSafe(F.col("_di")) & (F.xxhash64(docs[text_col]) == F.col("_dh")), "left").drop("_di", "_dh")
-    return found.withColumn("_lines", F.split(F.col(text_col), "\n"))
+    drop = dropped_lines(docs, id_col=id_col, text_col=text_col).hint("shuffle_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    found = rows.join(drop, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_h")), "left").drop("_id", "_h")
+    return found.withColumn("_lines", F.split("_text", "\n"))
 
 
 def _without(text: Column) -> Column:
@@ -125,8 +126,9 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null text has no lines and stays null; an empty one has one empty line.  Rows with equal ids are one document,
     rows with a null id together as well.  Ties of a position's votes go to the greater token.  An empty table gives no rows.
+    Extra columns are ignored, whatever their names.  Texts are read whole; a text's lines are rows, and meet again in its one row.
     """
-    found = _marked(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")), "_doc", "_text")
+    found = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     return found.select(
         F.col("_doc").alias("doc_id"),
         F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
@@ -135,20 +137,24 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", copy_share: float = 0.0) -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` without the dropped lines, with all columns; ``chars_col``, if there, is counted anew where lines went.
 
-    A document of which less than ``copy_share`` of its characters would remain is a copy as a whole, no text with recurring lines in it; it stays
-    as it is, for near-dedup to judge.  Of the others, documents of which no word remains go; those that lost nothing stay as they are, null
-    texts too.  Repeated rows are treated alike; an empty table gives no rows.
+    Documents of which no word remains go; those that lost nothing stay as they are, null texts too.  Repeated rows are treated alike; an
+    empty table gives no rows; columns may have any names.
     """
-    found = _marked(docs, id_col, text_col).withColumn("_new", _without(F.col(text_col)))
-    if copy_share:
-        copy = F.col("_drop").isNotNull() & (F.length("_new") < copy_share * F.length(text_col))
-        found = found.withColumns({"_drop": F.when(~copy, F.col("_drop")), "_new": F.when(copy, F.col(text_col)).otherwise(F.col("_new"))})
+    found = _marked(docs, id_col, text_col).withColumn("_new", _without(F.col("_text")))
     found = found.where(F.col("_drop").isNull() | F.col("_new").rlike("[^ \\t\\r\\n]"))
-    chars = {chars_col: F.when(F.col("_drop").isNull(), F.col(chars_col)).otherwise(F.length("_new")).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {}
-    return found.withColumns({**chars, text_col: F.col("_new")}).select(*docs.columns)
+
+    def column(name: str) -> Column:
+        was = F.col("_row").getField(name)
+        if name == text_col:
+            return F.col("_new").alias(name)
+        if name == chars_col:
+            return F.when(F.col("_drop").isNull(), was).otherwise(F.length("_new")).cast(docs.schema[name].dataType).alias(name)
+        return was.alias(name)
+
+    return found.select(*[column(c) for c in docs.columns])
 
 
 ORACLE = f"""

@@ -45,3 +45,19 @@ def test_awkward_and_empty_tables(awkward, no_documents):
     assert linedup.line_report(no_documents).count() == 0
     kept = linedup.dedupe_lines(awkward)
     assert kept.columns == awkward.columns and linedup.dedupe_lines(no_documents).count() == 0
+
+
+def test_columns_may_have_any_names(spark):
+    """Names of all helper columns of the operator, and some with odd characters, come back with their own values."""
+    import re
+    from pathlib import Path
+
+    names = sorted(set(re.findall(r'"(_[a-z]+)"', Path(linedup.__file__).read_text())) | {"a.b", "no", "id", "text_", "_di", "_dh"})
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    own = [f"own {n}" for n in names]
+    shared = "one line that three documents hold"
+    docs = spark.createDataFrame([(i, f"{shared}\n{chr(97 + i) * 3} has words of its own", 1, *own) for i in range(3)] + [(9, None, None, *own)], schema)
+    rows = {r["doc_id"]: r for r in linedup.dedupe_lines(docs).collect()}
+    assert sorted(rows) == [0, 1, 2, 9] and shared not in rows[1]["text"] and rows[1]["n_chars"] == len(rows[1]["text"]) and rows[9]["text"] is None
+    assert all(list(r)[3:] == own for r in rows.values())
+    assert linedup.line_report(docs).where("n_dropped = 1").count() == 2
