@@ -43,11 +43,11 @@ CLOSES = {
 }
 _ENDS_P = BLOCKS - {"button", "label", "option", "optgroup", "select", "object", "iframe", "canvas", "video", "audio"}
 
-PATH, WORDS, FIGURES = 192, 64, 7
+PATH, WORDS, FIGURES = 384, 64, 7
 WIDTH = PATH + WORDS + FIGURES
 HIDDEN = 16
 SEED = 20240607
-PAGES, STEPS, BATCH, RATE = 4_000, 700, 32, 0.01
+PAGES, STEPS, BATCH, RATE = 4_000, 900, 32, 0.01
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _LINK = "a"
 
@@ -81,10 +81,10 @@ class Leaves(HTMLParser):
         self.blocks.append((self.open[-1][1] if self.open else (0, "", 0), text, share))
 
     def path(self, tag: str, names: str) -> Path:
-        """The path of a new element: its tag and the lower-cased words in its class, id and role."""
+        """The path of a new element: its tag and the lower-cased words in its class, id and role; words that no training page has only count, so that they share no place with one that tells."""
         bits, _, n = self.open[-1][1] if self.open else (0, "", 0)
-        words = {w.lower() for w in _NAME_PARTS.findall(names)} if names else ()
-        for token in (f"<{tag}>", *words):
+        words = {w.lower() for w in _NAME_PARTS.findall(names)} if names else set()
+        for token in (f"<{tag}>", *(words & _KNOWN)):
             bits |= 1 << _place(token)
         return bits, f"<{tag}>", n + 1 + len(words)
 
@@ -306,6 +306,9 @@ PHRASES = {
 }
 NEUTRAL = "wrap wrapper container row col inner outer grid box layout block main page app root".split()
 _TAGS = {"menu": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "sidebar": ["aside", "div", "section"], "notice": ["div", "section", "aside", "p"], "advert": ["div", "aside", "ins"], "form": ["form"], "comments": ["section", "div", "ol"], "share": ["div", "ul"]}
+_PREFIXES = "td fl wp et css js u l c x cb vc pg tpl".split()
+_FACTS = "box facts data summary".split()
+_KNOWN = frozenset(itertools.chain(CONTENT, *ASIDES.values(), NEUTRAL, _PREFIXES, _FACTS))
 _SYLLABLES = "the an er on re in st of ti ou ha le ar se un de ca mi lo ver ge ion ung que ción".split()
 _POOL = ["".join(s) for n in (1, 2, 3) for s in itertools.islice(itertools.product(_SYLLABLES, repeat=n), 0, 800, n)]
 
@@ -319,7 +322,10 @@ def _name(rng: random.Random, words: list[str], chance: float) -> str:
     """An attribute with one or two of the words, or with none of them."""
     if rng.random() >= chance:
         return f' class="{rng.choice(["c", "x", "b"])}{rng.randrange(1000)}"' if rng.random() < 0.2 else ""
-    chosen = "-".join(rng.choices(words, k=rng.randrange(1, 3)))
+    parts = rng.choices(words, k=rng.randrange(1, 3))
+    if rng.random() < 0.3:  # a theme's or a program's own part, which tells nothing
+        parts.insert(rng.randrange(2), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 7))))
+    chosen = "-".join(parts)
     return f' {rng.choice(["class", "class", "id"])}="{chosen}"'
 
 
@@ -353,8 +359,13 @@ def _boilerplate(rng: random.Random, kind: str, plain: bool = False) -> str:
 def _article(rng: random.Random) -> list[tuple[str, int]]:
     """Pieces of an article with their labels; some have boilerplate inside."""
     out: list[tuple[str, int]] = []
+    kind = rng.random()
+    if kind < 0.08:  # lines of one block, however short
+        return [("<br>".join(_words(rng, 1, 30) if rng.random() < 0.6 else rng.choice(_POOL) for _ in range(rng.randrange(1, 8))), 1)]
     if rng.random() < 0.9:
         out.append((f"<h1>{_words(rng, 2, 14)}</h1>", 1))
+    if kind < 0.16:  # facts in a table first
+        out.append((f"<table{_name(rng, _FACTS, 0.8)}>{''.join(f'<tr><th>{_words(rng, 1, 2)}</th><td>{_words(rng, 1, 4)}</td></tr>' for _ in range(rng.randrange(1, 6)))}</table>", 1))
     for _ in range(rng.randrange(1, 14)):
         r = rng.random()
         if r < 0.72:
@@ -409,9 +420,6 @@ class _Marked(Leaves):
         return super().path(tag, names)
 
 
-_PREFIXES = "td fl wp et css js u l c x cb vc pg tpl".split()
-
-
 def _wrapped(rng: random.Random, html: str, most: int) -> str:
     """Inside a few elements whose names tell nothing: layout words, a theme's prefix, made-up letters."""
     for _ in range(rng.randrange(most + 1)):
@@ -432,6 +440,8 @@ def layout(rng: random.Random) -> tuple[list, np.ndarray]:
     nameless = rng.random() < 0.1  # names are made up; what is left are lists of links and footers
     if nameless:
         before, after = ["menu"], [k for k in after if k in ("footer", "menu", "share")]
+    if rng.random() < 0.08:  # nothing but the article
+        before, after = [], []
     rng.shuffle(before)
 
     def parts(kinds: list[str]) -> list[str]:

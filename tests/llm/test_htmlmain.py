@@ -120,3 +120,23 @@ def test_formulas_and_drawings():
     assert [t for _, t, _ in htmlmain.leaves(html)] == ["It holds that x=2 here.label"]
     many = htmlmain.leaves(f'<p class="{" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))}">x')
     assert many[0][0][2] == 201  # every word of an attribute counts
+
+
+SHORT = "It rained."
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        (f'<html><body><div id="mw-head"><ul><li><a href="/">Main page</a></li></ul></div><div id="mw-content-text"><table class="infobox"><tr><th>Born</th><td>1901</td></tr></table><h2>Life</h2><p>{TEXT}</p><p>{SHORT}</p></div></body></html>', ["Born", "1901", "Life", TEXT, SHORT], ["Main page"]),
+        (f'<html><body><ul class="menu"><li><a href="/">Home</a></li></ul><div id="content">First line of it<br>second line here<br><br>third one.</div><footer>Copyright 2020</footer></body></html>', ["First line of it second line here third one."], ["Home", "Copyright"]),
+        (f"<html><body><h1>On the weather of the north</h1><p>{TEXT}</p><p>{SHORT}</p><p>{TEXT}</p></body></html>", ["On the weather of the north", TEXT, SHORT], []),
+        (f'<body><header><a href="/">Site</a></header><section id="story"><h1>Big news</h1><div>{TEXT}</div><div>{TEXT}</div></section><div class="comments"><p>great post</p></div></body>', ["Big news", TEXT], ["Site", "great post"]),
+        ("<html><body><main><p>Gone fishing.</p></main></body></html>", ["Gone fishing."], []),
+        (f'<div><div><a href="/">Home</a> <a href="/a">About</a></div><div><h1>A tale of two rivers</h1><div>{TEXT}</div><div>{TEXT}</div></div></div>', ["A tale of two rivers", TEXT], ["Home"]),
+        (f"<p>{TEXT}</p>", [TEXT], []),
+    ],
+)
+def test_hand_written_pages(net, html, kept, gone):
+    lines = htmlmain.main_texts(net, [html])[0].split("\n")
+    assert all(k in lines for k in kept) and not any(g in line for g in gone for line in lines)
