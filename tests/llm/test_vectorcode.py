@@ -3,7 +3,6 @@ import math
 import random
 
 import numpy as np
-import pytest
 
 from gridspark.llm import vectorcode as v
 
