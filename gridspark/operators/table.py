@@ -158,7 +158,7 @@ def in_key_order(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     return groups.orderBy(*[shown(k) for k in sorted(keys)])
 
 
-def list_rows(df: DataFrame, order_by: Sequence[str], *, filters: Sequence[Filter] = (), limit: int | None = None) -> DataFrame:
+def list_rows(df: DataFrame, order_by: Sequence[str | Column], *, filters: Sequence[Filter] = (), limit: int | None = None) -> DataFrame:
     """The first ``limit`` (``MAX_LISTED`` at most) rows that match; how many there are is :func:`aggregate`'s count."""
     return where(df, filters).orderBy(*order_by).limit(min(limit or MAX_LISTED, MAX_LISTED))
 

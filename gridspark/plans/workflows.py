@@ -7,14 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from gridspark.functions import text
+from gridspark.functions import concepts, text
 from gridspark.functions.formula import column_letters, coordinate
 from gridspark.operators import cells as grid
-from gridspark.operators import diff, graph, rules, table
+from gridspark.operators import columns, diff, graph, rules, table
 from gridspark.session import saved
 
 
@@ -145,16 +145,24 @@ def _forms(name: str) -> set[str]:
 
 
 def resolve(df: DataFrame, name: str, choices: list[int] | None = None) -> str:
-    """The column that ``name`` means: by exact spelling, else by any folded form.  One choice is taken off for each ambiguity."""
+    """The column that ``name`` means: by exact spelling, else by any folded form, else by what it speaks of.  One choice is taken off for each ambiguity."""
     if df.columns.count(name) == 1:
         return name
     wanted = _forms(name)
-    found = [c for c in df.columns if _forms(c) & wanted]
+    found = [c for c in df.columns if _forms(c) & wanted] or _meant(df, name)
     if not found:
-        raise CannotAnswer(f"no column is called {name!r}")
+        raise CannotAnswer(f"no column is called {name!r} or holds it")
     return _chosen(repr(name), found, choices)
 
 
+def _meant(df: DataFrame, name: str) -> list[str]:
+    """The columns that share a concept with ``name``; those for amounts must be numeric."""
+    wanted = concepts.wanted(F.lit(name))
+    shared = [F.array_intersect(wanted, concepts.of_name(F.lit(f.name))) for f in df.schema]
+    tests = [columns.fits(s, F.lit(isinstance(f.dataType, NumericType))) for s, f in zip(shared, df.schema, strict=True)]
+    return [c for c, fit in zip(df.columns, df.sparkSession.range(1).select(F.array(*tests)).first()[0], strict=True) if fit]
+
+
 def _chosen(what: str, found: list[str], choices: list[int] | None) -> str:
     """The only one, or the one that a choice picks."""
     if not found:
@@ -176,11 +184,13 @@ def resolve_value(df: DataFrame, choices: list[int] | None = None) -> str:
     return _chosen("a value", numeric, choices)
 
 
-def resolve_date(df: DataFrame, hint: str | None = None, choices: list[int] | None = None) -> str:
-    """The column that ``hint`` names, else the only one with dates; several ask for a choice."""
-    if hint and any(_forms(c) & _forms(hint) for c in df.columns):
+def resolve_date(df: DataFrame, hint: str | None = None, choices: list[int] | None = None, deadline: bool = False) -> str:
+    """The column that ``hint`` names or means, else the only one with dates; several ask for a choice, but for a ``deadline`` the only one that speaks of a due date is taken."""
+    if hint and (any(_forms(c) & _forms(hint) for c in df.columns) or _meant(df, hint)):
         return resolve(df, hint, choices)
-    return _chosen("a date", [f.name for f in df.schema if isinstance(f.dataType, DateType | TimestampType | TimestampNTZType)], choices)
+    dates = [f.name for f in df.schema if isinstance(f.dataType, DateType | TimestampType | TimestampNTZType)]
+    due = _meant(df.select(*[df[f"`{c}`"] for c in dates]), "due date") if deadline and len(dates) > 1 else []
+    return _chosen("a date", due if len(due) == 1 else dates, choices)
 
 
 def by_month(df: DataFrame, function: str, column: str | None = None, *, date: str | None = None, filters: Sequence[table.Filter] = (), choices: Sequence[int] = ()) -> DataFrame:
@@ -231,6 +241,29 @@ def answer(df: DataFrame, function: str, column: str | None = None, *, filters:
     return Answer(rows, one["value"], column, [str(f) for f in filters], one["n"], one["kept"], one["blank"], warnings)
 
 
+def listed(df: DataFrame, order_by: Sequence[str], *, filters: Sequence[table.Filter] = (), limit: int | None = None, choices: Sequence[int] = ()) -> Answer:
+    """The first rows that match, with how many there are as ``value``: rows, counts and values that are no dates come from one job.
+
+    At most ``MAX_LISTED`` rows are held, in the order of the columns in ``order_by`` (one at least); where more match, a warning says so.
+    """
+    if not order_by:
+        raise ValueError("rows are listed in the order of some column")
+    left = list(choices)
+    order = [resolve(df, c, left) for c in order_by]
+    filters = [table.Filter(resolve(df, f.column, left), f.operator, f.value) for f in filters]
+    bad = table.unreadable(df, filters)
+    before, after = Observation(), Observation()
+    seen = df.observe(before, F.count(F.lit(1)).alias("n"), *[b.alias(f"bad{i}") for i, b in enumerate(bad)])
+    found = table.where(seen, filters).observe(after, F.count(F.lit(1)).alias("n"))
+    # No input is known to be in the order of a struct; one that is in the wanted order would be read only up to the limit.
+    rows = table.list_rows(found, [F.struct(*[F.col(f"`{c}`") for c in order])], limit=limit)
+    held = df.sparkSession.createDataFrame(rows.collect(), df.schema)
+    n, shown = after.get["n"], min(limit or table.MAX_LISTED, table.MAX_LISTED)
+    warnings = [f"only the first {shown} of {n} rows are listed"] if n > shown else []
+    warnings += [f"{before.get[f'bad{i}']} values are no dates" for i in range(len(bad)) if before.get[f"bad{i}"]]
+    return Answer(held, n, None, [str(f) for f in filters], before.get["n"], n, 0, warnings)
+
+
 def detect(cells: DataFrame, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables and their columns."""
     found = grid.tables(cells, declared)

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gridspark.functions import text
+from gridspark.functions import concepts, text
 from gridspark.functions.formula import matching_shift, parsed, renamed
 from gridspark.operators import cells as grid
-from gridspark.operators import diff, graph, rules, table
+from gridspark.operators import columns, diff, graph, rules, table
 from gridspark.operators.table import Filter
 from gridspark.plans import workflows
 from gridspark.session import saved
@@ -178,6 +178,62 @@ def normalize_text(spark, d):
     return p.select("p_partkey", text.normalized(F.concat("p_name", F.lit("  #"), "p_brand")).alias("name"))
 
 
+# Headers: one of these before each part's name; a workbook of eight columns for eight parts, and two questions for each workbook.
+_HEADERS = ["Нетен  Оборот", "Net sales", "Invoice Date", "Unit-Price", "krayen srok", "Клиент ID", "Customer", "Item", "Gross margin (plan)", "Sales", "Приходи", "Due date"]
+_QUESTIONS = ["Какъв е оборотът по клиенти?", "net revenue", "average unit price", "когато е датата", "СРОК", "red", "tell me", "sales and net sales"]
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "part")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _HEADERS)), (F.pmod("p_partkey", F.lit(len(_HEADERS))) + 1).cast("int")), F.lit(" "), F.col("p_name"))
+    kind = F.when(F.col("p_size") % 3 == 0, "text").when(F.col("p_size") % 3 == 1, "currency").otherwise("date")
+    return p.select("p_partkey", F.expr("'w' || p_partkey div 8").alias("wb"), F.lit("S").alias("sheet"), F.lit(1).alias("block"), F.expr("cast(p_partkey % 8 + 1 as int)").alias("col"), name.alias("name"), kind.alias("type"))
+
+
+def _quoted(items: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in items)
+
+
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_LATIN = "{}"
+for _k, _v in text.CYRILLIC.items():
+    _LATIN = f"replace({_LATIN}, '{_k}', '{_v}')"
+_HEADS = f"""aliases AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{c}')" for f, c in concepts.FORMS.items())}) v(form, concept)),
+heads AS (SELECT p_partkey, 'w' || p_partkey // 8 AS wb, CAST(p_partkey % 8 + 1 AS INT) AS col, plain, {_LATIN.format('plain')} AS latin, CASE p_size % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'currency' ELSE 'date' END AS type, name
+FROM (SELECT *, {_PLAIN.format('name')} AS plain FROM (SELECT *, ([{_quoted(_HEADERS)}])[p_partkey % {len(_HEADERS)} + 1] || ' ' || p_name AS name FROM part))),
+spoken AS (SELECT DISTINCT p_partkey, wb, col, type, name, concept FROM heads, aliases WHERE contains(' ' || plain || ' ', ' ' || form || ' ') OR contains(' ' || latin || ' ', ' ' || form || ' '))"""
+
+
+@query(f"WITH {_HEADS} SELECT p_partkey, coalesce(string_agg(concept, ',' ORDER BY concept), '') AS concepts FROM heads LEFT JOIN spoken USING (p_partkey) GROUP BY 1")
+def concepts_of_headers(spark, d):
+    return _heads(spark, d).select("p_partkey", F.array_join(concepts.of_name(F.col("name")), ",").alias("concepts"))
+
+
+@query(f"""WITH {_HEADS}, asked AS (SELECT wb, k AS ask, ([{_quoted(_QUESTIONS)}])[(k + CAST(substr(wb, 2) AS INT)) % {len(_QUESTIONS)} + 1] AS text FROM (SELECT DISTINCT wb FROM heads), (SELECT unnest([0, 3]) AS k)),
+plain AS (SELECT *, {_PLAIN.format('text')} AS plain FROM asked), said AS (SELECT wb, ask, form, concept FROM (SELECT *, {_LATIN.format('plain')} AS latin FROM plain), aliases WHERE contains(' ' || plain || ' ', ' ' || form || ' ') OR contains(' ' || latin || ' ', ' ' || form || ' ')),
+kept AS (SELECT DISTINCT wb, ask, concept FROM said s WHERE NOT EXISTS (SELECT 1 FROM said t WHERE t.wb = s.wb AND t.ask = s.ask AND t.form <> s.form AND contains(' ' || t.form || ' ', ' ' || s.form || ' '))),
+wanted AS (SELECT * FROM kept UNION SELECT wb, ask, 'net_revenue' FROM kept WHERE concept = 'revenue' UNION SELECT wb, ask, 'due_date' FROM kept WHERE concept = 'date'),
+fitting AS (SELECT w.wb, w.ask, s.col FROM wanted w JOIN spoken s USING (wb, concept) GROUP BY w.wb, w.ask, s.col, s.type HAVING s.type = 'currency' OR NOT bool_or(concept IN ({_quoted(list(concepts.MONETARY))})))
+SELECT a.wb, CAST(a.ask AS INT) AS ask, CASE count(f.col) WHEN 0 THEN 'not_found' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(string_agg(f.col, ',' ORDER BY f.col), '') AS cols FROM asked a LEFT JOIN fitting f ON a.wb = f.wb AND a.ask = f.ask GROUP BY 1, 2""")
+def resolve_metrics(spark, d):
+    heads = _heads(spark, d)
+    nth = F.pmod(F.col("ask") + F.substring("wb", 2, 20).cast("int"), F.lit(len(_QUESTIONS))) + 1
+    asked = heads.select("wb").distinct().withColumn("ask", F.explode(F.array(F.lit(0), F.lit(3)))).withColumn("text", F.element_at(F.array(*map(F.lit, _QUESTIONS)), nth))
+    return columns.resolved(asked, heads).select("wb", "ask", "status", F.array_join(F.transform("matches", lambda m: m["col"].cast("string")), ",").alias("cols"))
+
+
+@query(f"""WITH {_HEADS}, dates AS (SELECT h.wb, h.col, bool_or(coalesce(s.concept = 'due_date', FALSE)) AS due FROM heads h LEFT JOIN spoken s USING (p_partkey) WHERE h.type = 'date' GROUP BY 1, 2)
+SELECT wb, count(*) AS n_dates, CASE WHEN count(*) = 1 OR count(*) FILTER (due) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(*) = 1 THEN min(col) WHEN count(*) FILTER (due) = 1 THEN min(col) FILTER (due) END AS col FROM dates GROUP BY 1""")
+def deadline_columns(spark, d):
+    return columns.deadlines(_heads(spark, d)).select("wb", "n_dates", "status", "col")
+
+
+@query("WITH m AS (SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997 AND o_totalprice > 200000), n AS (SELECT count(*) AS n FROM m) SELECT o_orderkey, n AS n_matching, n > 50 AS truncated FROM m, n ORDER BY o_orderkey LIMIT 50")
+def list_rows_counted(spark, d):
+    got = workflows.listed(load(spark, d, "orders"), ["o_orderkey"], filters=[Filter("o_orderdate", "year_equals", 1997), Filter("o_totalprice", "greater_than", 200000)])
+    return got.rows.select("o_orderkey", F.lit(got.value).cast("long").alias("n_matching"), F.lit(bool(got.warnings)).alias("truncated"))
+
+
 @query("SELECT month AS start, event_type, count(*) AS n_rows, count(value) AS n_values, round(sum(value), 2) AS total FROM (SELECT date_trunc('day', ts) AS month, event_type, value FROM events) GROUP BY 1, 2")
 def windowed_events(spark, d):
     out = ingest.windowed(load(spark, d, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")), "ts", ["event_type"], "value")
