@@ -870,17 +870,21 @@ def _zipped(first: pd.Series, table_xml: pd.Series, second: pd.Series) -> pd.Ser
     return pd.Series(out)
 
 
-def _books(spark: SparkSession, d: str) -> DataFrame:
-    n = load(spark, d, "nation")
-    r = (F.row_number().over(grid.Window.partitionBy("n_regionkey").orderBy("n_nationkey")) + 1).cast("string")
-    row = F.format_string('<row r="%s"><c r="A%s" t="inlineStr"><is><t>%s</t></is></c><c r="B%s"><v>%s</v></c><c r="C%s"><f>B%s*2</f><v>%s</v></c></row>', r, r, F.col("n_name"), r, F.col("n_nationkey").cast("string"), r, r, (F.col("n_nationkey") * 2).cast("string"))
-    rows = n.select("n_regionkey", row.alias("x"), "n_nationkey").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "x"))).alias("l"), F.count("*").alias("k"))
+def _filled(items: DataFrame) -> DataFrame:
+    """A workbook for each ``book`` of ``items`` (``book``, ``key``, ``name``); every fifth is damaged."""
+    r = (F.row_number().over(grid.Window.partitionBy("book").orderBy("key")) + 1).cast("string")
+    row = F.format_string('<row r="%s"><c r="A%s" t="inlineStr"><is><t>%s</t></is></c><c r="B%s"><v>%s</v></c><c r="C%s"><f>B%s*2</f><v>%s</v></c></row>', r, r, F.col("name"), r, F.col("key").cast("string"), r, r, (F.col("key") * 2).cast("string"))
+    rows = items.select("book", row.alias("x"), "key").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("key", "x"))).alias("l"), F.count("*").alias("k"))
     head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{t}</t></is></c>' for c, t in zip("ABC", ("Name", "Key", "Double"), strict=True))
     first = F.concat(F.lit(f'<worksheet {_MAIN}><sheetData><row r="1" hidden="1">{head}</row>'), F.array_join(F.transform("l", lambda s: s["x"]), ""), F.lit('</sheetData><mergeCells><mergeCell ref="E1:F2"/></mergeCells></worksheet>'))
     table_xml = F.concat(F.lit(f'<table {_MAIN} displayName="T" ref="A1:C'), (F.col("k") + 1).cast("string"), F.lit('"/>'))
-    notes = F.when(F.col("n_regionkey") == 4, "<worksheet><broken").otherwise(f'<worksheet {_MAIN}><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>')
+    notes = F.when(F.col("book") % 5 == 4, "<worksheet><broken").otherwise(f'<worksheet {_MAIN}><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>')
     content = F.pandas_udf(_zipped, "binary")(first, table_xml, notes)
-    return rows.select(F.concat(F.lit("/books/"), F.col("n_regionkey").cast("string"), F.lit(".xlsx")).alias("path"), content.alias("content"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("wb"))
+    return rows.select(F.concat(F.lit("/books/"), F.col("book").cast("string"), F.lit(".xlsx")).alias("path"), content.alias("content"), F.concat(F.lit("r"), F.col("book").cast("string")).alias("wb"))
+
+
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(load(spark, d, "nation").selectExpr("n_regionkey as book", "n_nationkey as key", "n_name as name"))
 
 
 _GOOD = "(SELECT 'r' || n_regionkey AS wb, n_name, n_nationkey AS v, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS INT) AS row, CAST(count(*) OVER (PARTITION BY n_regionkey) AS INT) AS k FROM nation WHERE n_regionkey < 4)"
@@ -900,3 +904,15 @@ for _name, _columns, _sql in (
 @query("SELECT '/books/4.xlsx' AS path FROM region WHERE r_regionkey = 4")
 def workbook_rejected(spark, d):
     return workbook.rejected(_books(spark, d)).select("path")
+
+
+@query("""WITH b AS (SELECT p_partkey // 50 AS book, count(*) AS k, sum(p_partkey) AS total FROM part GROUP BY 1)
+SELECT '/books/' || book || '.xlsx' AS path, book % 5 = 4 AS damaged, CASE WHEN book % 5 < 4 THEN 3 * k + 4 ELSE 0 END AS n_cells, CASE WHEN book % 5 < 4 THEN k ELSE 0 END AS n_formulas, CASE WHEN book % 5 < 4 THEN CAST(3 * total + 1 AS DOUBLE) ELSE 0 END AS total, CASE WHEN book % 5 < 4 THEN 2 ELSE 0 END AS n_sheets FROM b""")
+def workbooks_unpacked(spark, d):
+    """Workbooks of fifty parts each, all of their relations from one parse."""
+    books = workbook.unpacked(_filled(load(spark, d, "part").selectExpr("p_partkey div 50 as book", "p_partkey as key", "p_name as name")))
+    cells = books.read().groupBy("wb").agg(F.count("*").alias("n_cells"), F.count("formula").alias("n_formulas"), F.sum("num").alias("total"))
+    sheets = books.read("sheets").groupBy("wb").agg(F.count("*").alias("n_sheets"))
+    good = books.read("workbooks").select("wb", "path").join(cells, "wb", "left").join(sheets, "wb", "left").select("path", F.lit(False).alias("damaged"), "n_cells", "n_formulas", "total", "n_sheets")
+    zero = F.lit(0).cast("long")
+    return good.unionByName(books.rejected.select("path", F.lit(True).alias("damaged"), zero.alias("n_cells"), zero.alias("n_formulas"), F.lit(0.0).alias("total"), zero.alias("n_sheets")))

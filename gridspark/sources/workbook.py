@@ -24,6 +24,7 @@ from gridspark.functions.formula import column_number, translated
 from gridspark.operators.cells import CELLS
 from gridspark.operators.graph import DECLARED, LINKS, NAMES
 from gridspark.operators.rules import Audit
+from gridspark.session import new_path
 
 MAX_ENTRIES, MAX_EXPANDED, MAX_RATIO, RATIO_FROM = 10_000, 250 << 20, 200, 10 << 20
 WORKBOOKS = "wb string, path string, bytes long, has_macros boolean, has_connections boolean, is_protected boolean, full_precision boolean"
@@ -48,6 +49,11 @@ def _attr(e, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
 
 
+def _plain(head: bytes) -> None:
+    if b"<!DOCTYPE" in head or b"<!ENTITY" in head:
+        raise Rejected("a document type declaration")
+
+
 def opened(content: bytes) -> zipfile.ZipFile:
     """The file's container, if it is one that may be read."""
     if content[:4] != b"PK\x03\x04":
@@ -87,8 +93,7 @@ class Reader:
 
     def _xml(self, name: str):
         data = self.box.read(name)
-        if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data[:4096]:
-            raise Rejected("a document type declaration")
+        _plain(data[:4096])
         return ElementTree.fromstring(data)
 
     def _all(self, name: str, tag: str) -> list:
@@ -127,57 +132,85 @@ class Reader:
                     self.styles.append((code, f"{code}|{fonts[font] if font < len(fonts) else '000'}|{fills[fill] if fill < len(fills) else ''}", dated))
 
     def everything(self) -> Iterator[tuple[str, tuple]]:
-        """(relation, row) of all that is in the workbook; each sheet is parsed once and let go."""
+        """(relation, row) of all that is in the workbook, as it is read; no sheet is held."""
         for number, (sheet, state, part) in enumerate(self.listed):
-            elements = list(self._xml(part).iter()) if part in self.names else []
-            yield "sheets", self._sheet(number, sheet, state, elements)
-            for row in self._cells(number, sheet, elements):
-                yield "cells", row
+            yield from self._sheet(number, sheet, state, part)
         for relation, rows in (("names", self._names_defined()), ("declared", self._declared()), ("links", self._links()), ("workbooks", self._workbook()), ("settings", self._settings())):
             for row in rows:
                 yield relation, row
 
-    def _cells(self, number: int, sheet: str, elements: list) -> Iterator[tuple]:
+    def _closed(self, part: str) -> Iterator:
+        """The elements of a sheet as they end, cells with all that is in them; what is given out is let go when the next one is asked for."""
+        with self.box.open(part) as f:
+            _plain(f.read(4096))
+        with self.box.open(part) as f:
+            above: list = []
+            inside = 0
+            for event, e in ElementTree.iterparse(f, ("start", "end")):
+                cell = _tag(e) == "c"
+                if event == "start":
+                    above.append(e)
+                    inside += cell
+                    continue
+                above.pop()
+                inside -= cell
+                if not inside:
+                    yield e
+                    if above:
+                        above[-1].remove(e)
+
+    def _sheet(self, number: int, sheet: str, state: str, part: str) -> Iterator[tuple[str, tuple]]:
+        """A sheet's cells, and its own row when all have been seen."""
         shared: dict[str, tuple[str, int, int]] = {}
-        for c in elements:
-            if _tag(c) == "c":
-                letters, digits = _ADDRESS.match(c.get("r")).groups()
-                row, col = int(digits), column_number(letters)
-                code, style, dated = self.styles[int(c.get("s", 0))] if self.styles else ("General", "", False)
-                parts = {_tag(e): e for e in c}
-                f, v = parts.get("f"), parts.get("v")
-                formula = None
-                if f is not None:
-                    formula = f"={f.text}" if f.text else None
-                    if f.get("t") == "shared" and formula:
-                        shared[f.get("si")] = formula, row, col
-                    elif f.get("t") == "shared" and f.get("si") in shared:
-                        first, r, k = shared[f.get("si")]
-                        formula = translated(first, row - r, col - k)
-                kind, num, text, moment = None, None, None, None
-                raw = v.text if v is not None else None
-                sort = c.get("t", "n")
-                if sort == "inlineStr" and "is" in parts:
-                    kind, text = "s", "".join(t.text or "" for t in parts["is"].iter() if _tag(t) == "t")
-                elif raw is not None:
-                    if sort == "s":
-                        kind, text = "s", self.strings[int(raw)]
-                    elif sort in ("str", "e", "d"):
-                        kind, text = "e" if sort == "e" else "s", raw
-                    elif sort == "b":
-                        kind, num = "b", float(raw)
-                    else:
-                        kind, num = "n", float(raw)
-                        if dated and 0 <= num < 2_958_466:
-                            kind, moment, num = "d", self.epoch + timedelta(milliseconds=round(num * 86_400_000)), None
-                if kind is not None or formula is not None:
-                    yield self.wb, sheet, number, row, col, kind, num, text, moment, formula, code, style
-
-    def _sheet(self, number: int, sheet: str, state: str, elements: list) -> tuple:
-        hidden = lambda e: e.get("hidden") in ("1", "true")
-        rows = sorted(int(e.get("r")) for e in elements if _tag(e) == "row" and hidden(e))
-        cols = sorted({k for e in elements if _tag(e) == "col" and hidden(e) for k in range(int(e.get("min")), min(int(e.get("max")), 16_384) + 1)})
-        return self.wb, sheet, number, state, rows, cols, sorted(e.get("ref") for e in elements if _tag(e) == "mergeCell"), any(_tag(e) == "sheetProtection" for e in elements)
+        rows, cols, merged, locked = set(), set(), [], False
+        for e in self._closed(part) if part in self.names else ():
+            tag = _tag(e)
+            if tag == "c":
+                row = self._cell(number, sheet, e, shared)
+                if row:
+                    yield "cells", row
+            elif tag == "mergeCell":
+                merged.append(e.get("ref"))
+            elif tag == "sheetProtection":
+                locked = True
+            elif tag in ("row", "col") and e.get("hidden") in ("1", "true"):
+                if tag == "row":
+                    rows.add(int(e.get("r")))
+                else:
+                    cols.update(range(int(e.get("min")), min(int(e.get("max")), 16_384) + 1))
+        yield "sheets", (self.wb, sheet, number, state, sorted(rows), sorted(cols), sorted(merged), locked)
+
+    def _cell(self, number: int, sheet: str, c, shared: dict[str, tuple[str, int, int]]) -> tuple | None:
+        letters, digits = _ADDRESS.match(c.get("r")).groups()
+        row, col = int(digits), column_number(letters)
+        code, style, dated = self.styles[int(c.get("s", 0))] if self.styles else ("General", "", False)
+        parts = {_tag(e): e for e in c}
+        f, v = parts.get("f"), parts.get("v")
+        formula = None
+        if f is not None:
+            formula = f"={f.text}" if f.text else None
+            if f.get("t") == "shared" and formula:
+                shared[f.get("si")] = formula, row, col
+            elif f.get("t") == "shared" and f.get("si") in shared:
+                first, r, k = shared[f.get("si")]
+                formula = translated(first, row - r, col - k)
+        kind, num, text, moment = None, None, None, None
+        raw = v.text if v is not None else None
+        sort = c.get("t", "n")
+        if sort == "inlineStr" and "is" in parts:
+            kind, text = "s", "".join(t.text or "" for t in parts["is"].iter() if _tag(t) == "t")
+        elif raw is not None:
+            if sort == "s":
+                kind, text = "s", self.strings[int(raw)]
+            elif sort in ("str", "e", "d"):
+                kind, text = "e" if sort == "e" else "s", raw
+            elif sort == "b":
+                kind, num = "b", float(raw)
+            else:
+                kind, num = "n", float(raw)
+                if dated and 0 <= num < 2_958_466:
+                    kind, moment, num = "d", self.epoch + timedelta(milliseconds=round(num * 86_400_000)), None
+        return (self.wb, sheet, number, row, col, kind, num, text, moment, formula, code, style) if kind is not None or formula is not None else None
 
     def _names_defined(self) -> Iterator[tuple]:
         for n in (n for e in self.book if _tag(e) == "definedNames" for n in e):
@@ -263,9 +296,68 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path)
 
 
+_REJECTED = "path string, reason string"
+_OWN = {r: dict(c.split() for c in schema.split(", ")) for r, schema in (RELATIONS | {"rejected": _REJECTED}).items()}
+_FIELDS = {name: kind for columns in _OWN.values() for name, kind in columns.items()}
+
+
+class Books:
+    """All relations of some workbooks in one working table, from one parse of each file."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.rejected = table.where("relation = 'rejected'").select("path", "reason")
+        self._whole = self.rejected.isEmpty()
+
+    def read(self, relation: str = "cells") -> DataFrame:
+        """One relation; what was read of a file before it turned out to be damaged is left out."""
+        rows = self.table.where(F.col("relation") == relation)
+        rows = rows if self._whole else rows.join(self.rejected.select("path").distinct(), "path", "left_anti")
+        return rows.select(*_OWN[relation])
+
+    def audit(self) -> Audit:
+        return Audit(*(self.read(r) for r in ("cells", "sheets", "workbooks", "names", "declared", "links")))
+
+
+def unpacked(source: DataFrame) -> Books:
+    """The workbooks in ``source`` (as for :func:`read`, not streamed), each parsed once; rows leave a task as they are read, so that no sheet is held.
+
+    The table has a column for each column of any relation, and lies in a folder for each relation; of one file, all rows have its ``path``.
+    """
+    spark, path = source.sparkSession, new_path(source.sparkSession, "workbooks")
+    names = ["relation", *_FIELDS]
+    numbers = {r: {n: "Int32" for n, kind in columns.items() if kind == "int"} for r, columns in _OWN.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(relation: str, rows: list[tuple], path: str) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=list(_OWN[relation])).astype(numbers[relation]).assign(relation=relation, path=path)
+            return out.assign(**{n: None for n in names if n not in out})[names]
+
+        for batch in batches:
+            for path, content, wb in _contents(batch):
+                held: dict[str, list[tuple]] = {r: [] for r in _OWN}
+                try:
+                    for relation, row in Reader(path, content, wb).everything():
+                        held[relation].append(row)
+                        if len(held[relation]) >= BATCH:
+                            yield frame(relation, held[relation], path)
+                            held[relation] = []
+                except Rejected as e:
+                    held = {"rejected": [(path, str(e))]}
+                except Exception as e:  # noqa: BLE001 - as in read()
+                    held = {"rejected": [(path, f"damaged: {type(e).__name__}: {e}")]}
+                for relation, rows in held.items():
+                    if rows:
+                        yield frame(relation, rows, path)
+
+    schema = ", ".join(["relation string", *(f"{name} {kind}" for name, kind in _FIELDS.items())])
+    _slim(source).mapInPandas(run, schema).write.partitionBy("relation").parquet(path)
+    return Books(spark.read.schema(schema).parquet(path))
+
+
 def audit_source(source: DataFrame) -> Audit:
-    """All relations of the workbooks in ``source``, as rules read them."""
-    return Audit(*(read(source, r) for r in ("cells", "sheets", "workbooks", "names", "declared", "links")))
+    """All relations of the workbooks in ``source``, as rules read them; each file is parsed once, now."""
+    return unpacked(source).audit()
 
 
 def rejected(source: DataFrame) -> DataFrame:

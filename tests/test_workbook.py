@@ -1,9 +1,11 @@
 """Workbooks written by hand as zipped XML, read back as relations, in batches and as a stream."""
 
 import io
+import tracemalloc
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.plans import workflows
 from gridspark.sources import workbook
@@ -118,3 +120,50 @@ def test_damaged_workbooks_are_rejected_whole(spark, tmp_path):
     assert workbook.read(files).count() == 12
     keyed = files.where("path like '%good%'").selectExpr("path", "content", "'pair' as wb")
     assert {r["wb"] for r in workbook.read(keyed, "workbooks").collect()} == {"pair"}
+
+
+def test_one_parse_gives_all_relations(spark, folder, tmp_path):
+    files = workbook.files(spark, folder).withColumn("relation", F.lit("clash"))
+    books = workbook.unpacked(files)
+    show = lambda df: sorted(map(str, df.collect()))
+    for relation in workbook.RELATIONS:
+        one, each = books.read(relation), workbook.read(files, relation)
+        assert one.schema == each.schema and show(one) == show(each)
+        assert "MapInPandas" not in one._jdf.queryExecution().toString()  # nothing is parsed again
+    assert show(books.rejected) == show(workbook.rejected(files))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    source = workbook.audit_source(files.select("path", "content").mapInPandas(counted, "path string, content binary"))
+    assert source.cells.count() == 12 and source.sheets.count() == 2 and source.names.count() == 2 and source.declared.count() == 1
+    assert seen.value == 6  # six files, each asked for once
+    nothing = workbook.unpacked(files.limit(0))
+    assert nothing.read().isEmpty() and nothing.read("links").isEmpty() and nothing.rejected.isEmpty()
+
+
+def test_rows_of_a_file_that_breaks_late_are_left_out(spark, tmp_path):
+    rows = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, workbook.BATCH + 5_001))
+    late = zipped(PARTS | {"xl/worksheets/sheet1.xml": f"<worksheet {MAIN}><sheetData>{rows}</sheetData><broken"})
+    books = workbook.unpacked(spark.createDataFrame([("late", late), ("good", zipped(PARTS)), ("none", None)], "path string, content binary"))
+    assert books.table.where("path = 'late' and relation = 'cells'").count() == workbook.BATCH
+    assert books.read().count() == 12 and {r["path"] for r in books.rejected.collect()} == {"late", "none"}
+    assert books.read("sheets").select("wb").distinct().count() == 1
+
+
+def test_memory_does_not_grow_with_a_sheet():
+    def peak(n):
+        rows = "".join(f'<row r="{r}"><c r="A{r}" t="inlineStr"><is><t>{r}</t></is></c><c r="B{r}"><f>A{r}*2</f><v>{r}</v></c></row>' for r in range(1, n + 1))
+        reader = workbook.Reader("x", zipped(PARTS | {"xl/worksheets/sheet1.xml": f"<worksheet {MAIN}><sheetData>{rows}</sheetData></worksheet>"}))
+        tracemalloc.start()
+        cells = sum(relation == "cells" for relation, _ in reader.everything())
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert cells == 2 * n + 1
+        return top
+
+    peak(100)
+    assert peak(40_000) < 1.5 * peak(2_000)
