@@ -16,7 +16,8 @@ _CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
 _COLUMN = r"\$?[A-Za-z]{1,3}"
 _LINE = r"\$?[0-9]{1,7}"
 _END = r"(?![A-Za-z0-9_.(!\[])"
-_SHEET = r"(?:'(?:[^']|'')+'|(?:\[[^\]]*\])?[^\W\d][\w.]*|\[[^\]]*\][\w.]*)!"
+# A sheet, quoted or not, or the first and the last of a span of sheets.
+_SHEET = r"(?:'(?:[^']|'')+'|(?:\[[^\]]*\])?[^\W\d][\w.]*(?::[^\W\d][\w.]*)?|\[[^\]]*\][\w.]*)!"
 _LEXICON = re.compile(
     rf"""(?P<space>\s+)
     |(?P<text>"(?:[^"]|"")*")
@@ -194,9 +195,10 @@ def sheets_renamed(formula: str, names: dict[str, str]) -> str:
         piece, at = found[0], found.end()
         if found.lastgroup in ("ref", "name") and "!" in piece:
             external, sheet, rest = split_sheet(piece)
-            if external is None and sheet in names:
-                new = names[sheet]
-                quoted = new if _BARE_SHEET.fullmatch(new) and piece[0] != "'" else "'" + new.replace("'", "''") + "'"
+            ends = sheet.split(":") if sheet else []  # two for a span
+            if external is None and any(end in names for end in ends):
+                new = ":".join(names.get(end, end) for end in ends)
+                quoted = new if all(map(_BARE_SHEET.fullmatch, new.split(":"))) and piece[0] != "'" else "'" + new.replace("'", "''") + "'"
                 piece = f"{quoted}!{rest}"
         out.append(piece)
     return "".join(out)

@@ -112,15 +112,53 @@ def _name_areas(parsed_cells: DataFrame, names: DataFrame, declared: DataFrame)
     return areas.where("areas is not null").select(*ADDRESS, F.explode("areas").alias("ref")), areas.where("areas is null").select(*ADDRESS).distinct()
 
 
-def areas(parsed_cells: DataFrame, names: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
-    """What each formula refers to, as intervals: its address, ``to_sheet``, ``row1``, ``col1``, ``row2``, ``col2`` and ``truncated``."""
+def _unfolded(refs: DataFrame, parsed_cells: DataFrame) -> DataFrame:
+    """References with spans of sheets (``First:Last!A1``) as one reference to each sheet from the first to the last, in the workbook's order; a span whose ends are not both there is none."""
+    span = F.coalesce(F.col("ref.sheet").contains(":") & F.col("ref.external").isNull(), F.lit(False))
+    if "sheet_no" not in parsed_cells.columns:
+        return refs.where(~span)
+    sheets = parsed_cells.select("wb", "sheet", "sheet_no").distinct()
+    end = lambda k: sheets.select("wb", F.upper("sheet").alias(f"_end{k}"), F.col("sheet_no").alias(f"_no{k}"))
+    ends = refs.where(span).select("*", *[F.get(F.split(F.upper("ref.sheet"), ":"), F.lit(k)).alias(f"_end{k}") for k in (0, 1)])
+    told = ends.join(end(0), ["wb", "_end0"]).join(end(1), ["wb", "_end1"])
+    inside = told.join(sheets.select("wb", F.col("sheet").alias("_sheet"), F.col("sheet_no").alias("_no")), "wb").where("_no between least(_no0, _no1) and greatest(_no0, _no1)")
+    return refs.where(~span).unionByName(inside.select(*ADDRESS, F.col("ref").withField("sheet", F.col("_sheet")).alias("ref")))
+
+
+def _all_references(parsed_cells: DataFrame, names: DataFrame | None, declared: DataFrame | None) -> DataFrame:
+    """``ref`` of each formula's address: its own references, and what its names and table columns stand for."""
     spark = parsed_cells.sparkSession
     direct = references(parsed_cells).select(*ADDRESS, "ref")
     if names is None and declared is None:
-        return _area(direct, used_ranges(parsed_cells))
+        return direct
     names = names if names is not None else spark.createDataFrame([], NAMES)
     declared = declared if declared is not None else spark.createDataFrame([], DECLARED)
-    return _area(direct.unionByName(_name_areas(parsed_cells, names, declared)[0]), used_ranges(parsed_cells))
+    return direct.unionByName(_name_areas(parsed_cells, names, declared)[0])
+
+
+def areas(parsed_cells: DataFrame, names: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """What each formula refers to, as intervals: its address, ``to_sheet``, ``row1``, ``col1``, ``row2``, ``col2`` and ``truncated``."""
+    return _area(_unfolded(_all_references(parsed_cells, names, declared), parsed_cells), used_ranges(parsed_cells))
+
+
+def left_out(parsed_cells: DataFrame, found: DataFrame, names: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """What the graph does not hold of each workbook: ``wb``, ``kind``, ``n`` and ``cells`` (formulas), and ``example``, the first of these by sheet, row and column.
+
+    Kinds are ``missing_sheet`` (references, spans of sheets too, to sheets without cells), ``truncated`` (areas of ``found``, as :func:`areas` gives them, that
+    were cut to a strip), ``unresolved_name`` and ``other_workbook``.  A workbook of which nothing is left out has no row.
+    """
+    spark = parsed_cells.sparkSession
+    refs = _all_references(parsed_cells, names, declared)
+    sheets = parsed_cells.select("wb", F.upper("sheet").alias("_upper")).distinct()
+    own = refs.where("ref.external is null and ref.sheet is not null").select(*ADDRESS, F.col("ref.text").alias("what"), F.explode(F.split(F.upper("ref.sheet"), ":")).alias("_upper"))
+    missing = own.join(sheets, ["wb", "_upper"], "left_anti").select(*ADDRESS, "what").distinct().select(*ADDRESS, F.lit("missing_sheet").alias("kind"))
+    cut = found.where("truncated").select(*ADDRESS, F.lit("truncated").alias("kind"))
+    empty = lambda x, schema: x if x is not None else spark.createDataFrame([], schema)
+    unsure = unresolved(parsed_cells, empty(names, NAMES), empty(declared, DECLARED)).select(*ADDRESS, F.lit("unresolved_name").alias("kind"))
+    away = refs.where("ref.external is not null").select(*ADDRESS, F.lit("other_workbook").alias("kind"))
+    rows = missing.unionByName(cut).unionByName(unsure).unionByName(away)
+    each = rows.groupBy(*ADDRESS, "kind").agg(F.count("*").alias("n"))
+    return each.groupBy("wb", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.min(F.struct("sheet", "row", "col")).alias("example"))
 
 
 def unresolved(parsed_cells: DataFrame, names: DataFrame, declared: DataFrame) -> DataFrame:

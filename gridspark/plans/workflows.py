@@ -37,18 +37,20 @@ def _shared(a: rules.Audit) -> rules.Audit:
 
 @dataclass
 class Report:
-    """``findings`` repeated ones grouped, ``failed`` (``rule``, ``reason``) and ``risk`` of each workbook."""
+    """``findings`` repeated ones grouped, ``failed`` (``rule``, ``reason``) and ``risk`` of each workbook, and ``left_out``: what its graph does not hold."""
 
     findings: DataFrame
     failed: DataFrame
     risk: DataFrame
+    left_out: DataFrame
 
 
 def audited(source: rules.Audit) -> Report:
     """All rules, each on its own: one that fails is reported and the others go on."""
-    found, failed = rules.isolated(_shared(settled(source)))
+    book = _shared(settled(source))
+    found, failed = rules.isolated(book)
     linked = rules.grouped(rules.cross_linked(found))
-    return Report(linked.orderBy("wb", F.desc(rules.rank(rules.SEVERITIES, F.col("severity"))), "rule", "sheet_no", "row", "col"), failed, rules.risk(linked))
+    return Report(linked.orderBy("wb", F.desc(rules.rank(rules.SEVERITIES, F.col("severity"))), "rule", "sheet_no", "row", "col"), failed, rules.risk(linked), graph.left_out(book.parsed, book.areas, book.names, book.declared))
 
 
 def audit(source: rules.Audit) -> DataFrame:

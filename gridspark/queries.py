@@ -623,6 +623,34 @@ def cycles_of_cumulative_sums(spark, d):
     return graph.interval_cycles(graph.areas(grid.with_formulas(c))).groupBy("wb").agg(F.count("*").alias("n"))
 
 
+# Three sheets for each hundred parts, with a formula of one of seven sorts beside each part.
+_SPANNING = ["=Gone!A1+'Gone'!A1", "=SUM(S1:S3!A{r})", "=Rate*2", "=SUM(S2!A1:A20000)", "=S1:Gone!A1", "=[o.xlsx]S!A1", "=s3:S2!A{r}"]
+
+
+def _spanning(spark: SparkSession, d: str) -> DataFrame:
+    row = (F.col("p_partkey") % 100 + 1).cast("int")
+    p = load(spark, d, "part").select(F.expr("'w' || p_partkey div 100").alias("wb"), row.alias("row"), F.replace(F.element_at(F.array(*map(F.lit, _SPANNING)), (F.col("p_partkey") % 7 + 1).cast("int")), F.lit("{r}"), row.cast("string")).alias("formula"))
+    cell = lambda no, r, c, f: F.struct(F.lit(f"S{no}").alias("sheet"), F.lit(no).alias("sheet_no"), r.alias("row"), F.lit(c).alias("col"), f.alias("formula"))
+    none = F.lit(None).cast("string")
+    far = p.select("wb").distinct().select("wb", F.lit("S2").alias("sheet"), F.lit(2).alias("sheet_no"), F.lit(20_000).alias("row"), F.lit(1).alias("col"), none.alias("formula"))
+    cells = p.select("wb", F.inline(F.array(cell(1, F.col("row"), 2, F.col("formula")), *[cell(k, F.col("row"), 1, none) for k in (1, 2, 3)]))).unionByName(far)
+    return cells.select("*", none.alias("str"), parsed(F.col("formula"), F.col("row"), F.col("col")).alias("f"))
+
+
+@query("SELECT 'w' || p_partkey // 100 AS wb, unnest(CASE p_partkey % 7 WHEN 1 THEN ['S1', 'S2', 'S3'] ELSE ['S2', 'S3'] END) AS sheet, CAST(p_partkey % 100 + 1 AS INT) AS row, CAST(p_partkey % 100 + 1 AS INT) AS to_row FROM part WHERE p_partkey % 7 IN (1, 6)")
+def edge_sheet_spans(spark, d):
+    c = _spanning(spark, d)
+    spans = c.where(F.col("formula").isNull() | F.col("formula").rlike("(?i)s[13]:s"))
+    return graph.edges(graph.areas(spans), spans).select("wb", "sheet", "row", "to_row")
+
+
+@query("""SELECT 'w' || p_partkey // 100 AS wb, CASE p_partkey % 7 WHEN 2 THEN 'unresolved_name' WHEN 3 THEN 'truncated' WHEN 5 THEN 'other_workbook' ELSE 'missing_sheet' END AS kind, CAST(sum(CASE p_partkey % 7 WHEN 0 THEN 2 ELSE 1 END) AS BIGINT) AS n, count(*) AS cells, 'S1!B' || min(p_partkey % 100 + 1) AS example FROM part WHERE p_partkey % 7 NOT IN (1, 6) GROUP BY 1, 2""")
+def graph_left_out(spark, d):
+    c = _spanning(spark, d)
+    at = F.concat("example.sheet", F.lit("!B"), F.col("example.row").cast("string"))
+    return graph.left_out(c, graph.areas(c)).select("wb", "kind", "n", "cells", at.alias("example"))
+
+
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS wb, 'Chain!A1 feeds 1 direct and ' || CASE WHEN n_regionkey % 2 = 1 THEN count(*) ELSE count(*) - 1 END || ' transitive dependent cell(s) across Chain.' AS message FROM nation GROUP BY n_regionkey")
 def trace(spark, d):
     c = _chains(spark, d)

@@ -1,6 +1,6 @@
 import pytest
 
-from gridspark.functions.formula import column_letters, column_number, coordinate, matching_shift, parse, translated
+from gridspark.functions.formula import column_letters, column_number, coordinate, matching_shift, parse, sheets_renamed, translated
 
 
 @pytest.mark.parametrize(
@@ -42,3 +42,12 @@ def test_copies_move_relative_references():
 def test_shift(spark):
     df = spark.createDataFrame([("=A4*2", 5, 2, "RC[-1]*2", True), ("=A5*3", 5, 2, "RC[-1]*2", True)], "f string, r int, c int, e string, v boolean")
     assert [x[0] for x in df.select(matching_shift(df["f"], df["r"], df["c"], df["e"], df["v"])).collect()] == [-1, None]
+
+
+def test_spans_of_sheets_are_one_reference():
+    refs = lambda f: [(r["sheet"], r["external"], r["row1"], r["col2"]) for r in parse(f, 1, 1)["refs"]]
+    assert refs("=SUM(S1:S3!A1:B2)") == [("S1:S3", None, 1, 2)] == refs("=SUM('S1:S3'!A1:B2)")
+    assert refs("=SUM(A1:B2,Jan:Dec!$C$4)") == [(None, None, 1, 2), ("Jan:Dec", None, 4, 3)]
+    assert refs("=A1:B2+[x.xlsx]S!C3") == [(None, None, 1, 2), ("S", "x.xlsx", 3, 3)]
+    assert sheets_renamed("=SUM(Jan:Dec!A1)+'Jan:Mid'!B2", {"Jan": "Feb", "Mid": "My Mid"}) == "=SUM(Feb:Dec!A1)+'Feb:My Mid'!B2"
+    assert sheets_renamed("=Jan:Dec!A1", {"Dec": "Year End"}) == "='Jan:Year End'!A1"
