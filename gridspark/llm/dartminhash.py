@@ -423,7 +423,7 @@ def _repeated(docs: DataFrame, id_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``class_id`` and ``kept`` of every row of ``docs``: the first of its class is kept, and what is alone.
 
-    Of rows with equal ids one alone is kept.
+    Of rows with equal ids one alone is kept; such rows differ here in nothing but ``kept``.  :func:`first_of_class`, which gives whole rows, keeps that with the least text.
     """
     found = classes(docs, id_col=id_col, text_col=text_col)
     kept = F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))

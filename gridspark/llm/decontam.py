@@ -296,7 +296,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted strings) and ``spans``.
 
     A span is {start, end} in bytes of the UTF-8 text, from the first to the last word of a merged run of hit words.
-    A null or empty text has no words; null items are ignored; an item with fewer than ten words is one window;
+    A null or empty text has no words; rows of the benchmark with a null id or a null text are no items, so their windows hit nothing; an item with fewer than ten words is one window;
     an empty benchmark hits nothing; equal rows give equal results each.  A very long text is one block of its own, never cut.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -321,7 +321,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     """All rows of ``docs`` with the removal spans cut out of their texts and ``chars_col``, if there, counted anew.
 
     Spans of all items are cut together, and cutting goes on until no window is left across a cut either, with one part as with several.
-    A document that is nothing but benchmark text (no word is left) goes; others stay, null texts too.
+    A document that is nothing but benchmark text (no word is left) goes; others stay, null and empty texts too.  Repeated rows are cut alike and all stay, extra
+    columns of any name as they are, an empty table gives no rows, and a very long text is cut whole.
     """
     parts = _parts(benchmark, item_col, item_text_col)
     part, following = next(parts), next(parts, None)

@@ -287,7 +287,8 @@ def encoder(path: str, check: bool = True) -> Encoder:
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` (with the end id) of every row; a null or empty text has the end id alone.
 
-    ``model_path`` is a file that every executor has.  Rows with equal ids give a row each; an empty table none.
+    ``model_path`` is a file that every executor has.  A very long text is encoded whole.  Rows with equal or null ids give a row each; an empty table
+    none.  Extra columns are ignored.
     """
     rows = docs.select(id_col, text_col).toDF("_id", "_text")
 
@@ -315,7 +316,8 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 def digest_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every row in one pass: ``doc_id``, ``n_tokens`` (all ids), ``ids_sha256`` and ``decoded_sha256``.
 
-    A null or empty text has the end id alone and decodes to nothing.  Rows with equal ids give a row each; an empty table none.
+    A null or empty text has the end id alone and decodes to nothing; a very long one is encoded whole.  Rows with equal or null ids give a row each;
+    an empty table none.  Extra columns are ignored.
     """
     rows = docs.select(id_col, text_col).toDF("_id", "_text")
 

@@ -35,17 +35,21 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-_encodings: dict[tuple[str, str], object] = {}
+_encodings: dict[tuple[str, str, int], object] = {}
 
 
-def encoding(ranks_path: str, pattern: str):
-    """The worker's encoding from a file of ranks, which every executor has."""
+def encoding(ranks_path: str, pattern: str, end_id: int = END_ID):
+    """The worker's encoding from a file of ranks, which every executor has; a ValueError if its ids and ``end_id`` cannot be told apart in 16 bits."""
     import tiktoken
 
-    key = ranks_path, pattern
+    key = ranks_path, pattern, end_id
     if key not in _encodings:
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in file if line.strip())}
+        if max(end_id, *ranks.values()) > np.iinfo(ID).max or end_id < 0:
+            raise ValueError(f"ids of {ranks_path} or the end id {end_id} do not fit {8 * ID.itemsize} bits")
+        if end_id in ranks.values():
+            raise ValueError(f"the end id {end_id} is an id of {ranks_path}")
         _encodings[key] = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _encodings[key]
 
@@ -53,8 +57,8 @@ def encoding(ranks_path: str, pattern: str):
 def write_flat(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes ``docs`` as a flat file for each partition, in the order of their rows, and returns which document is which: ``file_no``, ``nth``, ``doc_id``.
 
-    A null text is empty.  Nothing is shuffled.  A file appears under its name when it is whole, so a task that runs again after its
-    executor was lost writes the same file once more.
+    A null text is empty; null ids and repeated rows are documents like others, and a very long text is written whole.  Nothing is shuffled.  A file appears under
+    its name when it is whole, so a task that runs again after its executor was lost writes the same file once more; an attempt that fails deletes what it wrote.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -64,16 +68,20 @@ def write_flat(docs: DataFrame, folder: str, ranks_path: str, pattern: str, *, i
         system, path = _open(folder)
         system.create_dir(path, recursive=True)
         own = f"{path}/_{number}-{uuid.uuid4().hex}"
-        e = encoding(ranks_path, pattern)
+        e = encoding(ranks_path, pattern, end_id)
         at = 0
-        with system.open_output_stream(own) as out:
-            for batch in batches:
-                for text in batch.column(1).to_pylist():
-                    ids = e.encode_ordinary(text) if text else []
-                    out.write(np.array([*ids, end_id], ID).tobytes())
-                n = len(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(np.arange(at, at + n)), batch.column(0)], ["file_no", "nth", "doc_id"])
-                at += n
+        try:
+            with system.open_output_stream(own) as out:
+                for batch in batches:
+                    for text in batch.column(1).to_pylist():
+                        ids = e.encode_ordinary(text) if text else []
+                        out.write(np.array([*ids, end_id], ID).tobytes())
+                    n = len(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(np.arange(at, at + n)), batch.column(0)], ["file_no", "nth", "doc_id"])
+                    at += n
+        except BaseException:
+            system.delete_file(own)
+            raise
         if at:
             system.move(own, f"{path}/part-{number:06d}.ids")
         else:
@@ -145,7 +153,7 @@ def count_tokens(blocks: DataFrame, *, end_id: int = END_ID) -> DataFrame:
 def document_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id`` and ``n_tokens`` (with the end id) of every row of ``docs``, scanned from flat files of its texts.
 
-    Null and empty texts have the end id alone; an empty table gives no rows; extra columns are ignored.
+    Null and empty texts have the end id alone; rows with equal or null ids give a row each; an empty table gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "flat-ids")

@@ -179,7 +179,11 @@ def describe_ids(stored: DataFrame) -> DataFrame:
 
 
 def stored_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes ``docs`` into the shared folder and describes what is read back.  An empty table gives no rows; extra columns are ignored."""
+    """Writes ``docs`` into the shared folder and describes what is read back.
+
+    Null and empty texts have the end id alone; null ids come first; rows with equal ids follow each other by text and give a row each; a very long
+    text is encoded whole.  An empty table gives no rows; extra columns are ignored.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
     write_ids(docs, tokenizer_path, path, id_col=id_col, text_col=text_col)

@@ -36,3 +36,19 @@ def test_awkward_and_empty_tables(awkward, no_documents):
     want = sorted((r["doc_id"] or -1, len(e.encode_ordinary(r["text"] or "")) + 1) for r in awkward.collect())
     assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in tokencount.document_tokens(awkward, PATH, PATTERN, block_bytes=1000).collect()) == want
     assert tokencount.document_tokens(no_documents, PATH, PATTERN).count() == 0
+
+
+def test_ranks_that_do_not_fit_are_refused(tmp_path):
+    for name, rank in (("end", tokencount.END_ID), ("large", 1 << 16)):
+        (tmp_path / name).write_text(f"YQ== 0\nYg== {rank}\n")
+        with pytest.raises(ValueError, match="end id" if name == "end" else "fit"):
+            tokencount.encoding(str(tmp_path / name), PATTERN)
+    with pytest.raises(ValueError, match="fit"):
+        tokencount.encoding(PATH, PATTERN, end_id=-1)
+
+
+def test_a_failed_attempt_leaves_no_file(spark, tmp_path):
+    bad = spark.range(4000, numPartitions=2).selectExpr("id as doc_id", "if(id = 3999, raise_error('lost'), 'a text') as text")
+    with pytest.raises(Exception, match="lost"):
+        tokencount.write_flat(bad, f"file://{tmp_path}/flat", PATH, PATTERN)
+    assert not [f for f in (tmp_path / "flat").iterdir() if f.name.startswith("_")]
