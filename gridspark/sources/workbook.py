@@ -329,26 +329,30 @@ def unpacked(source: DataFrame) -> Books:
     numbers = {r: {n: "Int32" for n, kind in columns.items() if kind == "int"} for r, columns in _OWN.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(relation: str, rows: list[tuple], path: str) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=list(_OWN[relation])).astype(numbers[relation]).assign(relation=relation, path=path)
+        def frame(relation: str, rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame([r for r, _ in rows], columns=list(_OWN[relation])).astype(numbers[relation]).assign(relation=relation, path=[p for _, p in rows])
             return out.assign(**{n: None for n in names if n not in out})[names]
 
+        held: dict[str, list[tuple]] = {r: [] for r in _OWN}
         for batch in batches:
             for path, content, wb in _contents(batch):
-                held: dict[str, list[tuple]] = {r: [] for r in _OWN}
+                reason = None
                 try:
                     for relation, row in Reader(path, content, wb).everything():
-                        held[relation].append(row)
+                        held[relation].append((row, path))
                         if len(held[relation]) >= BATCH:
-                            yield frame(relation, held[relation], path)
+                            yield frame(relation, held[relation])
                             held[relation] = []
                 except Rejected as e:
-                    held = {"rejected": [(path, str(e))]}
+                    reason = str(e)
                 except Exception as e:  # noqa: BLE001 - as in read()
-                    held = {"rejected": [(path, f"damaged: {type(e).__name__}: {e}")]}
-                for relation, rows in held.items():
-                    if rows:
-                        yield frame(relation, rows, path)
+                    reason = f"damaged: {type(e).__name__}: {e}"
+                if reason is not None:
+                    held = {r: [x for x in rows if r == "rejected" or x[1] != path] for r, rows in held.items()}
+                    held["rejected"].append(((path, reason), path))
+        for relation, rows in held.items():
+            if rows:
+                yield frame(relation, rows)
 
     schema = ", ".join(["relation string", *(f"{name} {kind}" for name, kind in _FIELDS.items())])
     _slim(source).mapInPandas(run, schema).write.partitionBy("relation").parquet(path)
