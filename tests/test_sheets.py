@@ -336,3 +336,9 @@ def test_no_cells_go_through_the_driver_in_the_graph_and_changes(spark):
     assert "Broadcast" not in plan(impact)
     changes = saved(diff.cell_changes(cells, cells, diff.match_sheets(cells, cells)), "changes")
     assert "Broadcast" not in plan(diff.rated(changes, saved(impact, "impact").withColumn("unresolved", F.lit(False))))
+
+
+def test_no_cells_go_through_the_driver_in_rules(spark):
+    a = workflows.settled(rules.Audit(sheet(spark, ("t", TABLE))))
+    assert "Broadcast" not in plan(rules.RULES["EA-RNG-001"](a))
+    assert re.search("SortMergeJoin [^\n]*LeftAnti", plan(rules.RULES["EA-RNG-002"](a)))
