@@ -48,3 +48,14 @@ def test_entry(spark):
 def test_imports_without_the_training_data_operators():
     code = "import sys; sys.modules['gridspark.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'audit' in e.queries() and not any(q.startswith('op') for q in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["rule_rounding_drift", "rule_rounding_typed_totals"])
+def test_prices_that_add_up_by_chance_are_no_totals(spark, tmp_path, name):
+    """The fourth price is the sum of the three before it, up to less than one, and shows another figure."""
+    prices = {1: (100.4, 100.4, 100.4, 301.2), 2: (100.4, 100.4, 100.4, 301.2, 7.0)}
+    items = pd.DataFrame([(k, n, p, 0.0) for k, of in prices.items() for n, p in enumerate(of, 1)], columns=["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"])
+    items.to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
