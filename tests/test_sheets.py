@@ -342,3 +342,11 @@ def test_no_cells_go_through_the_driver_in_rules(spark):
     a = workflows.settled(rules.Audit(sheet(spark, ("t", TABLE))))
     assert "Broadcast" not in plan(rules.RULES["EA-RNG-001"](a))
     assert re.search("SortMergeJoin [^\n]*LeftAnti", plan(rules.RULES["EA-RNG-002"](a)))
+
+
+def test_gaps_are_found_without_sorting_all_cells(spark):
+    """Few gaps are hashed; the cells and lines stream past them."""
+    cells = saved(grid.with_formulas(sheet(spark, ("t", TABLE))), "cells")
+    text_of_plan = plan(grid.pattern_gaps(cells))
+    assert re.search("ShuffledHashJoin [^\n]*BuildLeft", text_of_plan)
+    assert "SortMergeJoin" not in text_of_plan and "BuildRight" not in text_of_plan
