@@ -11,10 +11,12 @@ Nulls count as empty; a text is encoded whole, however long; columns other than
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ CACHE = 5_000_000
 LONG = 64
 ROWS = 16_384
 #: Bytes of text that are encoded together.
-GROUP = 1 << 20
+GROUP = 1 << 22
+#: Chunks that the library checks as one text.
+TOGETHER = 64
 _NONE = np.int32(2**31 - 1)
 
 
@@ -66,16 +70,20 @@ class Vocabulary:
         joined = set("".join(p for p in self.pieces if len(p) > 1))
         self.splits = "".join(c for c in "\n\t\r" if c not in joined)
         apart = re.escape(self.splits)
-        # So does a letter before a mark that no piece has after a letter.
-        marks = "".join(c for c in ".," if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.pieces))
-        word = rf" *+[^\W\d_]++(?=[{re.escape(marks)}])|" if marks else ""
-        self.chunks = re.compile(word + (f" +[^ {apart}]*|[{apart}]|[^ {apart}]+" if apart else " +[^ ]*|[^ ]+"))
+        self.chunks = re.compile(f" +[^ {apart}]*|[{apart}]|[^ {apart}]+" if apart else " +[^ ]*|[^ ]+")
         if sp.normalize("a  b\tc\n ﬁ") != MARK + "a  b\tc\n ﬁ".replace(" ", MARK):
             raise ValueError("the model rewrites texts before it encodes them")
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text with the leading space that the model adds; none of an empty text."""
-        return self.chunks.findall(" " + text.replace(MARK, " ")) if text else []
+        if not text:
+            return []
+        text = " " + text.replace(MARK, " ")
+        if "  " in text or "\0" in text or any(c in text for c in self.splits if c != "\n"):
+            return self.chunks.findall(text)
+        # The same without the pattern: chunks begin at spaces, and at and after line breaks.
+        text = text.replace(" ", "\0 ")
+        return list(filter(None, (text.replace("\n", "\0\n\0") if "\n" in self.splits else text).split("\0")))
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of one chunk: joins the agenda's best pair, the leftmost among equals, until no pair is a piece."""
@@ -108,7 +116,9 @@ class Vocabulary:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k][0] for k in self.pair_keys.tolist()], np.int32)
         self.pair_made = np.array([pairs[k][1] for k in self.pair_keys.tolist()], np.int32)
-        self.ids = [self._fallback(s) for s in names]
+        ids = [self._fallback(s) for s in names]
+        self.n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids_at, self.ids = np.cumsum(self.n_ids) - self.n_ids, np.fromiter(chain.from_iterable(ids), np.int32)
 
     def _fallback(self, symbol: str) -> list[int]:
         if (found := self.pieces.get(symbol)) is not None:
@@ -142,9 +152,7 @@ class Vocabulary:
     def _merge_rows(self, chunks: list[str], lengths: np.ndarray, at: np.ndarray, width: int, out: list) -> None:
         points = np.frombuffer("".join([chunks[i].ljust(width, "\0") for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.char[points].reshape(len(at), width)
-        column = np.arange(width)
-        inside = column < lengths[at][:, None]
-        symbols[~inside] = -2
+        symbols[np.arange(width) >= lengths[at][:, None]] = -2
         known = ~(symbols == -1).any(1)  # other chunks hold characters that no piece has, and are merged one by one
         at, symbols = at[known], symbols[known]
         if not len(at):
@@ -158,13 +166,15 @@ class Vocabulary:
             best = ranks[row, place]
             done = best == _NONE
             if done.any():
-                for i, own in zip(at[done].tolist(), symbols[done].tolist(), strict=True):
-                    ids: list[int] = []
-                    for s in own:
-                        if s < 0:
-                            break
-                        ids += self.ids[s]
-                    out[i] = ids
+                own = symbols[done]
+                inside = own >= 0
+                flat = own[inside]
+                sizes = self.n_ids[flat]
+                ends = np.cumsum(sizes)
+                ids = self.ids[np.repeat(self.ids_at[flat] - (ends - sizes), sizes) + np.arange(ends[-1])].tolist()
+                ends = ends[np.cumsum(inside.sum(1)) - 1].tolist()
+                for i, a, b in zip(at[done].tolist(), [0, *ends[:-1]], ends, strict=True):
+                    out[i] = ids[a:b]
                 left = ~done
                 at, symbols, ranks, place = at[left], symbols[left], ranks[left], place[left]
                 row = np.arange(len(at))
@@ -203,19 +213,36 @@ class Vocabulary:
                 heapq.heappush(agenda, (rank[new], h, new))
         return [s for s in symbols if s is not None]
 
+    def decoded(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.text.__getitem__, ids))
+
     def checked(self, chunks: dict[str, list[int]]) -> None:
-        """Raises unless the library agrees on every chunk, both ways; a line break before a chunk keeps it from being a text's start."""
+        """Raises unless the library agrees on every chunk, both ways.
+
+        A line break that ends chunks keeps them apart, so that many are encoded and decoded as one text; where a text differs, its chunks are looked at one by one.
+        """
+        if "\n" not in self.splits:
+            return self._checked_apart(chunks)
+        start = self.library.encode("\n")
+        for some in batched(chunks.items(), TOGETHER):
+            ids = [start[0], *chain.from_iterable(start[1:] + own for _, own in some)]
+            theirs = self.library.encode("".join(["\n" + c for c, _ in some]))
+            if theirs != ids or self.library.decode(theirs) != self.finish(self.decoded(ids)):
+                self._checked_apart(dict(some))
+
+    def _checked_apart(self, chunks: dict[str, list[int]]) -> None:
+        """The same for one chunk at a time; a line break before it keeps it from being a text's start."""
         theirs = self.library.encode(["\n" + c for c in chunks], num_threads=1)
         for (chunk, own), ids in zip(chunks.items(), theirs, strict=True):
             if own != ids[2:]:
                 raise ValueError(f"the library encodes {chunk!r} as {ids[2:]}, not {own}")
         for (chunk, own), text in zip(chunks.items(), self.library.decode(theirs, num_threads=1), strict=True):
-            if text != "\n" + b"".join(map(self.text.__getitem__, own)).decode("utf-8", "replace"):
+            if text != "\n" + self.decoded(own).decode("utf-8", "replace"):
                 raise ValueError(f"the library decodes {own} as {text[1:]!r}")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, as the library gives it: the first space mark, which encoding added, goes."""
-        return self.finish(b"".join(map(self.text.__getitem__, ids)))
+        return self.finish(self.decoded(ids))
 
     @staticmethod
     def finish(raw: bytes) -> str:
@@ -224,39 +251,41 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts chunk by chunk with a cache of bounded size: chunk -> (its ids as text, what they decode to)."""
+    """Encodes texts chunk by chunk with a cache of bounded size: chunk -> its ids as text; ``odd`` holds what those chunks decode to that do not decode to themselves."""
 
     def __init__(self, path: str, check: bool = True):
         self.vocabulary = Vocabulary(path)
         self.check = check
-        self.new: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.new: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
         self.held = 0
         self.names = [str(i) for i in range(len(self.vocabulary.text))]
 
-    def learn(self, texts: list[list[str]]) -> dict[str, tuple[str, bytes]]:
+    def learn(self, texts: list[list[str]]) -> dict[str, str]:
         """All chunks of ``texts``; the older of the cache's two generations goes when the newer is full.  Chunks over ``LONG`` are not kept."""
         if self.held > CACHE:
             self.old, self.new, self.held = self.new, {}, 0
-        cache, old, v = self.new, self.old, self.vocabulary
-        missing, long = [], {}
-        for chunk in set().union(*texts) - cache.keys():
-            if (entry := old.get(chunk)) is None:
-                missing.append(chunk)
-            else:
-                cache[chunk] = entry
-                self.held += len(chunk) + len(entry[0])
-        found = v.merge_all(missing)
-        names, text = self.names, v.text
-        for chunk, ids in zip(missing, found, strict=True):
-            entry = " ".join([names[i] for i in ids]), b"".join([text[i] for i in ids])
-            if len(chunk) > LONG:
-                long[chunk] = entry
-            else:
-                cache[chunk] = entry
-                self.held += len(chunk) + len(entry[0])
-        if self.check and missing:
-            v.checked(dict(zip(missing, found, strict=True)))
+            self.odd = {c: raw for c, raw in self.odd.items() if c in self.old}
+        cache, v, name = self.new, self.vocabulary, self.names.__getitem__
+        missing = set().union(*texts) - cache.keys()
+        for chunk in missing & self.old.keys():
+            cache[chunk] = entry = self.old[chunk]
+            self.held += len(chunk) + len(entry)
+        missing, long = list(missing - cache.keys()), {}
+        gc.disable()  # so many new lists and no cycle among them
+        try:
+            found = v.merge_all(missing)
+            if self.check and missing:
+                v.checked(dict(zip(missing, found, strict=True)))
+            for chunk, ids in zip(missing, found, strict=True):
+                entry = " ".join(map(name, ids))
+                (cache if len(chunk) <= LONG else long)[chunk] = entry
+                self.held += len(chunk) + len(entry)
+                if (raw := v.decoded(ids)) != chunk.encode():
+                    self.odd[chunk] = raw
+        finally:
+            gc.enable()
         return cache | long if long else cache
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -265,7 +294,7 @@ class Encoder:
         split = [self.vocabulary.split(t or "") for t in texts]
         cache = self.learn(split)
         for chunks in split:
-            yield np.array(" ".join([*[cache[c][0] for c in chunks], end]).split(" "), np.int32)
+            yield np.array(" ".join([*map(cache.__getitem__, chunks), end]).split(" "), np.int32)
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text) of each text."""
@@ -273,9 +302,11 @@ class Encoder:
         split = [self.vocabulary.split(t or "") for t in texts]
         cache = self.learn(split)
         for chunks in split:
-            found = [cache[c] for c in chunks]
-            joined = " ".join([*[f[0] for f in found], end])
-            decoded = b"".join([f[1] for f in found])
+            joined = " ".join([*map(cache.__getitem__, chunks), end])
+            if self.odd.keys().isdisjoint(chunks):
+                decoded = "".join(chunks).encode()
+            else:
+                decoded = b"".join([self.odd[c] if c in self.odd else c.encode() for c in chunks])
             yield joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.vocabulary.finish(decoded).encode()).hexdigest()
 
 

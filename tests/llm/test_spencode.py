@@ -59,3 +59,35 @@ def test_awkward_and_empty_tables(awkward, no_documents, library):
     back = {r["doc_id"]: r["text"] for r in spencode.decode_documents(rows, PATH).collect() if r["doc_id"] is not None}
     assert back[5] == known[5] and back[1] == ""
     assert spencode.digest_documents(no_documents, PATH).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab ▁\n\t\0ç,."), max_size=40))
+def test_texts_fall_apart_as_by_the_pattern(text):
+    v = spencode.encoder(PATH).vocabulary
+    assert v.split(text) == (v.chunks.findall(" " + text.replace("▁", " ")) if text else [])
+
+
+def test_chunks_are_checked_together(monkeypatch):
+    e, asked = spencode.Encoder(PATH), []
+
+    class Asked:
+        def encode(self, x, **more):
+            asked.extend(x if isinstance(x, list) else [x])
+            return library.encode(x, **more)
+
+        def decode(self, x, **more):
+            return library.decode(x, **more)
+
+    library = e.vocabulary.library
+    monkeypatch.setattr(e.vocabulary, "library", Asked())
+    list(e.digests([" ".join(f"w{i}" for i in range(1_000)) + "\n  \t x"]))
+    assert all(any(f" w{i}" in a for a in asked) for i in range(1_000)) and len(asked) < 100
+
+
+def test_chunks_that_decode_to_something_else_and_long_ones(own):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    e = spencode.Encoder(PATH)
+    e.learn([[" hello"]])
+    e.odd[" hello"] = b" odd"
+    assert [g[2] for g in e.digests(["hello you", "z" * 99 + " you"])] == [sha("odd you"), sha("z" * 99 + " you")]
