@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm._shared import saved
 from gridspark.llm._text import SPACE_WORDS, Words, blocks, encoded, mix
 from gridspark.llm._worker import tidy
 
@@ -23,8 +24,8 @@ BUCKETS = 1 << 16
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: The classifier learns from at most about so many labelled documents.
-MAX_LABELS = 200_000
+#: Up to so many labels are broadcast to the documents; beyond that, documents and labels are joined by a shuffle. All labels count either way.
+BROADCAST_LABELS = 1_000_000
 #: Used if the labels hold no bad or no good document.
 DEFAULT_THRESHOLD = -0.25
 _BINS, _LOW, _HIGH = 2048, -8.0, 8.0
@@ -118,59 +119,39 @@ def _measured(llr_b):
     return run
 
 
-def trusted(labels: DataFrame, id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted id hashes of labelled documents, and their qualities (the least where labels disagree).
-
-    Bounded: of more than ``MAX_LABELS`` labels, those are taken whose hashes fall into a share that holds about so many.
-    """
-    known = labels.where("quality in (0, 1)").where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col("quality").cast("int").alias("q"))
-    share = MAX_LABELS / max(known.count(), 1)
-    if share < 1:
-        known = known.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = known.groupBy("h").agg(F.min("q").alias("q")).orderBy("h").toPandas()
-    return rows["h"].to_numpy(np.int64), rows["q"].to_numpy(np.int64)
+def trusted(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Id hashes of all labelled documents, and their qualities (the least where labels disagree)."""
+    known = labels.where("quality in (0, 1)").where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col("quality").cast("long").alias("quality"))
+    return known.groupBy("_h").agg(F.min("quality").alias("quality"))
 
 
-def _quality_of(hashes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """1, 0 or -1 (without label) of each id hash."""
-    if not len(known[0]):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
-    return np.where(known[0][at] == hashes, known[1][at], -1)
+def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``quality`` and ``_text`` of every labelled document, however many there are."""
+    known = trusted(labels, id_col)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(text_col).cast("string").alias("_text"))
+    if known.count() <= BROADCAST_LABELS:
+        return rows.join(F.broadcast(known), "_h").select("quality", "_text")
+    # Each task holds its share of the labels and the texts stream by; saved, because they are read twice.
+    return saved(rows.join(known.hint("shuffle_hash"), "_h").select("quality", "_text"), "labelled-documents")
 
 
-def counted(docs: DataFrame, known, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(raw, target): the n-grams of each of ``BUCKETS`` buckets over every document and over the good ones, without a shuffle of texts.
-
-    ``known`` is the broadcast result of :func:`trusted`.  What reaches the driver is one row for each bucket.
-    """
+def counted(texts: DataFrame) -> np.ndarray:
+    """The n-grams of each of ``BUCKETS`` buckets over all texts, the only column.  What reaches the driver is one row for each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Pre-aggregates a whole partition: at most a row for each bucket leaves a task.
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            good = _quality_of(batch.column(0).to_numpy(zero_copy_only=False), known.value) == 1
-            for first, texts in blocks(encoded(batch.column(1))):
-                doc, bucket = _buckets(Words(texts, SPACE_WORDS, False))
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[good[first : first + len(texts)][doc]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
-
-    counts = _hashed(docs, id_col, text_col).mapInArrow(tidy(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas().to_numpy()
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    if len(counts):
-        raw[counts[:, 0].astype(int)], target[counts[:, 0].astype(int)] = counts[:, 1], counts[:, 2]
-    return raw, target
+            for _, held in blocks(encoded(batch.column(0))):
+                total += np.bincount(_buckets(Words(held, SPACE_WORDS, False))[1], minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-
-def fit(docs: DataFrame, known, *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratios of all buckets."""
-    return weights(*counted(docs, known, id_col=id_col, text_col=text_col))
-
-
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(text_col).cast("string").alias("_text"))
+    counts = texts.mapInArrow(tidy(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n")).toPandas().to_numpy()
+    out = np.zeros(BUCKETS, np.int64)
+    if len(counts):
+        out[counts[:, 0].astype(int)] = counts[:, 1]
+    return out
 
 
 def best_threshold(scores: DataFrame) -> float:
@@ -194,21 +175,20 @@ def best_threshold(scores: DataFrame) -> float:
 def _prepared(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, threshold: float | None):
     """The broadcast log ratios and the threshold."""
     context = docs.sparkSession.sparkContext
-    known = context.broadcast(trusted(labels, id_col))  # two integers for each of at most MAX_LABELS labels
-    raw, target = counted(docs, known, id_col=id_col, text_col=text_col)
+    known = labelled(docs, labels, id_col=id_col, text_col=text_col)
+    raw, target = counted(docs.select(F.col(text_col).cast("string"))), counted(known.where("quality = 1").select("_text"))
     llr = context.broadcast(weights(raw, target))  # BUCKETS doubles: 512 KB
     if threshold is None and target.sum():
         counts = context.broadcast((raw, target))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                quality = _quality_of(batch.column(0).to_numpy(zero_copy_only=False), known.value)
-                at = np.flatnonzero(quality >= 0)
-                for first, texts in blocks(encoded(batch.column(1).take(pa.array(at)))):
-                    own = quality[at[first : first + len(texts)]]
+                quality = batch.column(0).to_numpy(zero_copy_only=False)
+                for first, texts in blocks(encoded(batch.column(1))):
+                    own = quality[first : first + len(texts)]
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(scores_without_own(texts, *counts.value, own == 1))], ["quality", "score"])
 
-        threshold = best_threshold(_hashed(docs, id_col, text_col).mapInArrow(tidy(score), "quality long, score double"))
+        threshold = best_threshold(known.mapInArrow(tidy(score), "quality long, score double"))
     return llr, DEFAULT_THRESHOLD if threshold is None else threshold
 
 

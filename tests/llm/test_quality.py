@@ -89,3 +89,15 @@ def test_other_names_of_columns(spark, documents, tiny):
     renamed = documents.withColumnRenamed("doc_id", "k").withColumnRenamed("text", "t")
     got = q.quality(renamed, labels.withColumnRenamed("doc_id", "k"), id_col="k", text_col="t").collect()
     assert {(r["doc_id"], r["score"], r["kept"]) for r in got} == want
+
+
+def test_all_labels_count_however_many(spark, documents, tiny, monkeypatch):
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    # Labels of unknown documents are no part of any share of the known ones.
+    many = labels.select("doc_id", "quality").union(spark.range(10**9, 10**9 + 250_000).selectExpr("id", "1"))
+    want = sorted(q.quality(documents, labels).collect())
+    assert sorted(q.quality(documents, many).collect()) == want
+    monkeypatch.setattr(q, "BROADCAST_LABELS", 0)
+    assert sorted(q.quality(documents, labels).collect()) == want
+    joined = q.labelled(documents, labels)
+    assert joined.count() == documents.join(labels.where("quality in (0, 1)").select("doc_id").distinct(), "doc_id").count()
