@@ -350,3 +350,9 @@ def test_gaps_are_found_without_sorting_all_cells(spark):
     text_of_plan = plan(grid.pattern_gaps(cells))
     assert re.search("ShuffledHashJoin [^\n]*BuildLeft", text_of_plan)
     assert "SortMergeJoin" not in text_of_plan and "BuildRight" not in text_of_plan
+
+
+def test_references_meet_used_ranges_without_being_sorted(spark):
+    """A sheet's used range is one row, which is hashed; the references stream past it."""
+    a = workflows.settled(rules.Audit(sheet(spark, ("t", TABLE))))
+    assert re.search("ShuffledHashJoin [^\n]*Inner, BuildRight", plan(rules.RULES["EA-RNG-002"](a)))
