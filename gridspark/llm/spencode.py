@@ -26,13 +26,13 @@ from gridspark.llm._text import slices
 from gridspark.llm._worker import kept
 
 MARK = "▁"
-#: Characters of chunks and of their ids kept in each of the cache's two generations; some 200,000 chunks, with what Python adds 80 MB.
-CACHE = 5_000_000
+#: Characters of chunks and of their ids kept in each of the cache's two generations; some 60,000 chunks, with what Python adds 20 MB.
+CACHE = 1_500_000
 #: Chunks of more characters use a heap; others merge side by side, so many at once.
 LONG = 64
 ROWS = 16_384
-#: Bytes of text that are encoded together.
-GROUP = 1 << 22
+#: Bytes of text that are encoded together; their chunks, held apart, take some ten times as much.
+GROUP = 1 << 20
 #: Chunks that the library checks as one text.
 TOGETHER = 64
 _NONE = np.int32(2**31 - 1)

@@ -1,11 +1,14 @@
 import hashlib
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridspark.llm import spencode
+from gridspark.llm._text import slices
 from gridspark.llm.queries import QUERIES, tokenizer_path
 
 PATH = tokenizer_path("piece_bpe_32k.model")
@@ -91,3 +94,18 @@ def test_chunks_that_decode_to_something_else_and_long_ones(own):
     e.learn([[" hello"]])
     e.odd[" hello"] = b" odd"
     assert [g[2] for g in e.digests(["hello you", "z" * 99 + " you"])] == [sha("odd you"), sha("z" * 99 + " you")]
+
+
+def test_memory_does_not_grow_with_new_chunks():
+    """Texts of nothing but new chunks, several caches full: what is held at once stays below a bound."""
+    e = spencode.Encoder(PATH, check=False)
+    texts = [[" ".join(f"{k:x}q{i:x}" for i in range(j, j + 1_000)) for j in range(0, 100_000, 1_000)] for k in range(4)]
+    batch = [pa.RecordBatch.from_arrays([pa.array(t)], ["t"]) for t in texts]
+    tracemalloc.start()
+    try:
+        for b in batch:
+            for part in slices(b, 0, spencode.GROUP):
+                list(e.digests(part.column(0).to_pylist()))
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
