@@ -3,11 +3,13 @@
 import re
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.functions import formula as formula_functions
 from gridspark.functions import text
-from gridspark.functions.formula import column_number
+from gridspark.functions.formula import PARSED, column_number
 from gridspark.operators import cells as grid
 from gridspark.operators import diff, graph, rules
 from gridspark.operators.cells import CELLS
@@ -356,3 +358,16 @@ def test_references_meet_used_ranges_without_being_sorted(spark):
     """A sheet's used range is one row, which is hashed; the references stream past it."""
     a = workflows.settled(rules.Audit(sheet(spark, ("t", TABLE))))
     assert re.search("ShuffledHashJoin [^\n]*Inner, BuildRight", plan(rules.RULES["EA-RNG-002"](a)))
+
+
+def test_formulas_without_a_span_of_sheets_are_parsed_once(spark):
+    parses = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(PARSED)
+    def counted(formula: pd.Series, row: pd.Series, col: pd.Series) -> pd.DataFrame:
+        parses.add(len(formula))
+        return formula_functions._parsed(formula, row, col)
+
+    rows = spark.range(1, 41, 1, 2).select(F.lit("w").alias("wb"), F.lit("S").alias("sheet"), F.lit(0).alias("sheet_no"), F.col("id").cast("int").alias("row"), F.lit(2).alias("col"), F.format_string("=A%s+1", "id").alias("formula"))
+    found = graph.areas(rows.withColumn("f", counted("formula", "row", "col"))).select("row", "row1", "col1").collect()
+    assert sorted(map(tuple, found)) == [(r, r, 1) for r in range(1, 41)] and parses.value == 40
