@@ -4,9 +4,11 @@ import io
 import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark import queries
 from gridspark.plans import workflows
 from gridspark.sources import workbook
 from gridspark.streaming import ingest
@@ -167,3 +169,45 @@ def test_memory_does_not_grow_with_a_sheet():
 
     peak(100)
     assert peak(40_000) < 1.5 * peak(2_000)
+
+
+def test_memory_does_not_grow_with_the_number_of_files(monkeypatch):
+    good = zipped(PARTS | {"xl/worksheets/sheet1.xml": TWO})
+
+    def peak(n):
+        batches = (pa.RecordBatch.from_pylist([{"path": f"/{i}-{k}.xlsx", "content": b"no" if k % 5 == 4 else good} for k in range(50)]) for i in range(n // 50))
+        tracemalloc.start()
+        sizes = [len(out) for out in workbook._parsed(batches)]
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sizes) == n // 5 + n // 5 * 4 * 9 and max(sizes) <= 500  # two cells, two sheets, two names, a table, the workbook and its settings; no link
+        return top
+
+    monkeypatch.setattr(workbook, "BATCH", 500)
+    peak(50)
+    assert peak(800) < 1.4 * peak(200)
+    refused = (pa.RecordBatch.from_pylist([{"path": f"/{i}.xlsx", "content": b"no"}]) for i in range(1_200))
+    assert [len(out) for out in workbook._parsed(refused)] == [500, 500, 200]
+
+
+def test_long_texts_leave_a_task_in_small_batches():
+    cells = "".join(f'<row r="{r}"><c r="A{r}" t="s"><v>0</v></c></row>' for r in range(1, 3_001))  # one shared text of 10,000 characters
+    book = zipped(PARTS | {"xl/sharedStrings.xml": f"<sst {MAIN}><si><t>{'ab c' * 2_500}</t></si></sst>", "xl/worksheets/sheet1.xml": f"<worksheet {MAIN}><sheetData>{cells}</sheetData></worksheet>"})
+    outs = [(len(out), out.nbytes) for out in workbook._parsed(iter([pa.RecordBatch.from_pylist([{"path": "a", "content": book}])]))]
+    assert sum(n for n, _ in outs) == 3_001 + 2 + 2 + 1 + 1 + 1
+    assert max(size for _, size in outs) < 10_000_000
+
+
+def test_numbers_that_are_none_and_nulls_are_as_before(spark):
+    odd = zipped(PARTS | {"xl/worksheets/sheet2.xml": TWO.replace("<v>1</v>", "<v>nan</v>")})
+    source = spark.createDataFrame([("odd", odd, None), ("none", None, "k"), ("good", zipped(PARTS), "k")], "path string, content binary, wb string").coalesce(1)
+    books = workbook.unpacked(source)
+    assert "MapIn" not in books.read()._jdf.queryExecution().toString()  # nothing is parsed again
+    for df in (books.read(), workbook.read(source)):
+        assert {(r["wb"] == "k", r["kind"], r["num"]) for r in df.where("sheet = 'Two'").collect()} == {(False, "n", None), (True, "n", 1.0)}
+    assert [r["path"] for r in books.rejected.collect()] == ["none"]
+
+
+def test_workbooks_are_zipped_a_few_at_a_time(spark, tiny):
+    plan = queries._books(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # by Arrow, a task holds the sheets of 10,000 workbooks
