@@ -16,7 +16,7 @@ def workbook_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Audits each micro-batch of workbooks; a batch's findings replace those of an earlier try of the same batch."""
+    """Audits each micro-batch of workbooks; a batch's findings replace those of an earlier try of the same batch.  A batch in which a rule fails ends the query and is not written."""
 
     def write(batch: DataFrame, number: int) -> None:
         workflows.audit(workbook.audit_source(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -271,6 +271,19 @@ def test_a_failing_rule_sinks_no_other(spark, monkeypatch):
     assert found(report.findings, "rule") == [("EA-VOL-001",)]
 
 
+def test_a_failing_rule_looks_like_no_result(spark, monkeypatch):
+    book = rules.Audit(sheet(spark, ("S", {"A1": "=TODAY()"})))
+    whole = workflows.audited(book)
+    assert found(whole.risk, "wb", "risk") == [("w", "low")] and whole.whole() is whole and found(workflows.audit(book), "rule") == [("EA-VOL-001",)]
+    monkeypatch.setitem(rules.RULES, "EA-ERR-001", lambda a: rules._finding(a.cells.where(F.raise_error(F.lit("boom")).isNull()), "EA-ERR-001", "low", "low", {}))
+    report = workflows.audited(book)
+    assert found(report.risk, "wb", "risk", "n_low") == [("w", workflows.INCOMPLETE, 1)]
+    for read in (report.whole, lambda: workflows.audit(book), lambda: workflows.compare(book, book).summary):
+        with pytest.raises(workflows.RulesFailed, match="EA-ERR-001") as e:
+            read()
+        assert [rule for rule, _ in e.value.failed] == ["EA-ERR-001"]
+
+
 def test_seven_decimals_and_huge_figures(spark):
     parts = {f"A{i}": (None, v, "0.0000000") for i, v in enumerate([0.12345674, 0.22345674, 0.32345674], 1)} | {f"C{i}": (None, 1e30, "0.00") for i in range(1, 5)}
     r = audit(spark, ("S", parts | {"A4": ("=SUM(A1:A3)", 0.67037022, "0.0000000")})).where("rule = 'EA-RND-001'").collect()
