@@ -331,6 +331,34 @@ def test_totals_of_areas_equal_plain_sums(spark):
         assert r["sum_stored"] == sum((f["stored"] or Decimal(0) for f in inside), Decimal(0)) and r["sum_displayed"] == sum((f["displayed"] or Decimal(0) for f in inside), Decimal(0))
 
 
+def test_runs_before_typed_totals_equal_plain_sums(spark, monkeypatch):
+    import random
+    from decimal import Decimal
+
+    monkeypatch.setattr(rules, "MAX_RUN", 5)
+    rng = random.Random(9)
+    kinds = [(None, 1.25, "0.0"), (None, 2.05, "0.00"), (None, 3.5, "General"), ("=B1+1", 7.75, "0.0"), "text"]
+    cells = {(r, c): rng.choices(kinds, [8, 8, 1, 2, 1])[0] for r in range(1, 25) for c in range(1, 20) if rng.random() < 0.9}
+    a = rules.Audit(sheet(spark, ("S", {grid_name(*at): v for at, v in cells.items()})))
+    figure = {(r["row"], r["col"]): r for r in rules.figures(a.cells).collect()}
+    want = {}
+    for (r, c), f in figure.items():
+        for way, (down, right) in ((rules.BELOW, (1, 0)), (rules.RIGHT, (0, 1))):
+            run = []
+            while len(run) < 5 and (g := figure.get((r - down * (len(run) + 1), c - right * (len(run) + 1)))) and g["number"]:
+                run.append(g)
+            if f["number"] and f["typed"] and f["stored"] is not None and len(run) >= 3 and all(g["stored"] is not None for g in run):
+                want[r, c, way] = len(run), 0, sum(g["stored"] for g in run), sum(g["displayed"] for g in run)
+    got = {(r["row"], r["col"], r["_way"]): (r["n"], r["n_bad"], r["sum_stored"], r["sum_displayed"]) for r in rules._totals(rules.total_areas(a), rules.figures(a.cells)).collect()}
+    assert len(want) > 50 and got == want and {n for n, *_ in want.values()} == {3, 4, 5} and isinstance(next(iter(got.values()))[2], Decimal)
+
+
+def test_cells_are_shuffled_once_for_rounding_drift(spark):
+    """Of the two shuffles, the other has only findings; nothing is joined."""
+    text_of_plan = plan(rules.RULES["EA-RND-001"](rules.Audit(saved(sheet(spark, ("S", TABLE)), "cells"))))
+    assert text_of_plan.count("Exchange hashpartitioning") == 2 and "Join" not in text_of_plan
+
+
 def grid_name(row, col):
     from gridspark.functions.formula import column_letters
 
