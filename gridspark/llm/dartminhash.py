@@ -180,9 +180,13 @@ def _similar(u: Column, v: Column) -> Column:
     return F.least(u, v) >= F.lit(SIMILARITY) * F.greatest(u, v)
 
 
-def candidates_texts(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``t`` of the rows that ``ids`` names: the one place where the corpus is shuffled."""
-    return saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(ids, "id", "left_semi"), "near-texts")
+def candidates_texts(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, repeated: bool = False) -> DataFrame:
+    """``id`` and ``t`` of the rows that ``ids`` names: the one place where the corpus is shuffled.
+
+    Where rows are ``repeated``, each text of an id is there once: a pair of ids meets in all pairs of their texts.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null").join(ids, "id", "left_semi")
+    return saved(texts.dropDuplicates(["id", "t"]) if repeated else texts, "near-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -374,7 +378,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     sketch = saved(sketches(docs, id_col=id_col, text_col=text_col), "near-sketches")
     same = sketch.groupBy("a", "b").agg(F.min("id").alias("id"))
-    own = saved(_copies(sketch).groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("_last"), F.collect_set("first").alias("_all")), "near-copies")
+    own = saved(_copies(sketch).groupBy("id").agg(F.min("first").alias("first"), F.max("first").alias("_last"), F.collect_set("first").alias("_all"), F.count("*").alias("_rows")), "near-copies")
     # An id that has several texts joins their classes.
     twice = own.where("first <> _last").select(F.explode("_all").alias("u"), F.col("first").alias("v")).where("u <> v")
     # Of each group of exact copies, the first one's band keys go on; only keys that two of them share do.
@@ -384,7 +388,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     met = saved(bands.join(shared, "key"), "near-members")
     weight = met.groupBy("id").agg(F.sum("_size").alias("w"))
     members = met.join(weight, "id").select("key", "id", "n", "w")
-    texts = candidates_texts(docs, weight.select("id"), id_col=id_col, text_col=text_col)
+    repeated = not own.where(F.col("_rows") > F.size("_all")).isEmpty()  # an id has a text more than once
+    texts = candidates_texts(docs, weight.select("id"), id_col=id_col, text_col=text_col, repeated=repeated)
     roots, done = (None if twice.isEmpty() else components(twice)), None
     # First each member and the leader that it meets in the most buckets, then all leaders, a second one, and small buckets.
     for step in range(4):

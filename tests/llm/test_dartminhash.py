@@ -118,6 +118,21 @@ def test_equal_ids_with_different_texts_share_a_class(spark):
     assert {(r["doc_id"], r["class_id"]) for r in dm.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_repeated_rows_are_compared_once(spark, documents, monkeypatch):
+    """A table that is there three times over, ids and all: a pair of ids is one pair of texts, not nine."""
+    met, plain = [], dm.verified
+
+    def counted(pairs, texts):
+        met.append((pairs.count(), pairs.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v").count()))
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(dm, "verified", counted)
+    want = {(r["id"], r["class_id"]) for r in dm.classes(documents).collect()}
+    once, met[:] = list(met), []
+    assert {(r["id"], r["class_id"]) for r in dm.classes(documents.union(documents).union(documents)).collect()} == want
+    assert once and met == once
+
+
 def test_one_of_repeated_rows_is_kept(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     docs = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, a, "z"), (3, b, "z"), (3, b, "z"), (4, None, "n"), (4, None, "n"), (None, b, "q"), (None, b, "q")], "doc_id long, text string, source string")
